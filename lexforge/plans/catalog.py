@@ -1,0 +1,3 @@
+"""Loads the modules that register queries."""
+
+from lexforge.plans import q_search  # noqa: F401
