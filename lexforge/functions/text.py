@@ -126,6 +126,10 @@ def count_terms(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(c, F.lit(t)).cast("int") for t in terms], F.lit(0))
 
 
+def _grams(t: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+
+
 def terms(c: Column, *, cjk_min: int | None = 5, sizes: tuple[int, ...] = (2,), phrases: list[str] | None = None, stop: list[str] | None = None, limit: int | None = None, lower: bool = False, pattern: str = C.TERM, distinct: bool = True, ascii_lower: bool = False) -> Column:
     """Search terms of a text.
 
@@ -139,7 +143,7 @@ def terms(c: Column, *, cjk_min: int | None = 5, sizes: tuple[int, ...] = (2,),
     if cjk_min is not None:
 
         def spread(t):
-            grams = [F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in sizes]
+            grams = [_grams(t, n) for n in sizes]
             return F.when(F.regexp_like(t, F.lit(f"^{C.CJK}{{{cjk_min},}}$")), F.concat(F.array(t), *grams)).otherwise(F.array(t))
 
         found = F.flatten(F.transform(found, spread))
