@@ -1,3 +1,3 @@
 """Loads the modules that register queries."""
 
-from lexforge.plans import q_facts, q_search  # noqa: F401
+from lexforge.plans import q_evals, q_facts, q_frames, q_search, q_tree  # noqa: F401

@@ -14,7 +14,7 @@ from lexforge.plans.registry import query
 #: The corpus is invented words, so terms are chosen by how often they occur.
 KINDS = {"method": ["tion"], "result": ["able", "ment"], "limitation": ["que", "ing"]}
 KNOWN = {"task": ["theand", "dela"], "metric": ["ertion", "enque"], "model": ["oras", "chver"]}
-PATTERNS = {"method": r"[A-Za-z]{3,12}tion\b"}
+PATTERNS = {"method": r"[A-Za-z]{3,12}tion"}
 POSITIVE, NEGATIVE = ["with", "avec", "mit"], ["this", "pas", "nicht"]
 
 
@@ -59,9 +59,9 @@ def claim_sentences(spark, sf_dir):
 
 
 ENTITIES = "WITH " + I.SQL_LINES + r""",
-known(type, name, at) AS (VALUES ('task','theand',1000),('task','dela',1001),('metric','ertion',2000),('metric','enque',2001),('model','oras',3000),('model','chver',3001)),
+known(type, name, pos) AS (VALUES ('task','theand',1000),('task','dela',1001),('metric','ertion',2000),('metric','enque',2001),('model','oras',3000),('model','chver',3001)),
 named AS (SELECT doc_id, node_id, type, name, 0.62::DOUBLE AS confidence FROM nodes JOIN known ON contains(text, name)),
-matched AS (SELECT doc_id, node_id, 'method' AS type, unnest(regexp_extract_all(text, '[A-Za-z]{3,12}tion\b')) AS name, 0.56::DOUBLE AS confidence FROM nodes),
+matched AS (SELECT doc_id, node_id, 'method' AS type, unnest(regexp_extract_all(text, '[A-Za-z]{3,12}tion')) AS name, 0.56::DOUBLE AS confidence FROM nodes),
 ents AS (SELECT * FROM named UNION ALL SELECT * FROM matched)"""
 
 
@@ -71,8 +71,8 @@ def entity_extract(spark, sf_dir):
 
 
 @query("relation_mentions", CLAIMS + r""",
-known(type, name, at) AS (VALUES ('task','theand',1000),('task','dela',1001),('metric','ertion',2000),('metric','enque',2001),('model','oras',3000),('model','chver',3001)),
-names AS (SELECT DISTINCT node_id, name FROM (SELECT node_id, name FROM nodes JOIN known ON contains(text, name) UNION ALL SELECT node_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,12}tion\b')) FROM nodes))
+known(type, name, pos) AS (VALUES ('task','theand',1000),('task','dela',1001),('metric','ertion',2000),('metric','enque',2001),('model','oras',3000),('model','chver',3001)),
+names AS (SELECT DISTINCT node_id, name FROM (SELECT node_id, name FROM nodes JOIN known ON contains(text, name) UNION ALL SELECT node_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,12}tion')) FROM nodes))
 SELECT k.fact_id AS subject_name, n.name AS object_name, CASE WHEN k.type = 'limitation' THEN 'limits' ELSE 'uses' END AS type, k.doc_id FROM keyed k JOIN names n ON k.node_id = n.node_id AND contains(k.text, n.name)""")
 def relation_mentions(spark, sf_dir):
     return A.mentions(_claims(spark, sf_dir), _entities(spark, sf_dir)).select("subject_name", "object_name", "type", "doc_id")
