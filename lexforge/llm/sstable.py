@@ -233,6 +233,16 @@ class LibraryWords:
         return ids if self.end is None else np.append(ids, np.uint32(self.end)).astype("<u4")
 
 
+_WORDS: dict[tuple[str, int | None], LibraryWords] = {}
+
+
+def _words(path: str, end_id: int | None) -> LibraryWords:
+    """The encoder of a file, kept by each worker from task to task with its words."""
+    if (path, end_id) not in _WORDS:
+        _WORDS[path, end_id] = LibraryWords(path, end_id)
+    return _WORDS[path, end_id]
+
+
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write ``docs`` to shard files in ``folder``; returns the
     manifest (shard, file, size, n_docs, n_tokens), one row for each file.
@@ -250,7 +260,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
 
         from pyspark import TaskContext
 
-        words, writer, out = LibraryWords(path, end_id), None, None
+        words, writer, out = _words(path, end_id), None, None
         store, base = _store(folder)
         shard = TaskContext.get().partitionId()
         name, draft = f"{base}/shard-{shard:06d}.sst", f"{base}/_draft-{uuid.uuid4().hex}"
