@@ -252,7 +252,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
 
 def _packed(block: np.ndarray, compression: int, predictor: int) -> bytes:
     if predictor == 2:
-        block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+        block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1])).astype(block.dtype)
     data = block.tobytes()
     return {NONE: lambda d: d, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 6)}[compression](data)
 
