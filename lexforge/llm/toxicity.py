@@ -5,7 +5,8 @@ unlabelled, whatever a label says. With the class prior p, the risk of a
 classifier is p R+(positives) + max(0, R-(unlabelled) - p R-(positives)); where
 the second part falls below zero the step goes against it, which keeps a
 flexible model from driving it negative. The loss is logistic, so the output
-is a probability.
+is a probability; its bias is set last so that scores of unlabelled text have
+the class prior as their mean.
 
 Features are the presence of words (hashed), of which those that differ most
 between positives and unlabelled text are kept.
@@ -29,8 +30,9 @@ from lexforge.llm.shared import OWN, held_out
 BUCKETS = 1 << 18
 #: Rows that a model is fitted on at most, of each kind; chosen by a hash of the identifier.
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-MAX_FEATURES = 512
+MAX_FEATURES = 256
 THRESHOLD = 0.3
+CEILING = 4.0
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -74,7 +76,7 @@ def _matrix(rows: list[np.ndarray], place: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> Model:
     """Train on hashed words. No positives or no unlabelled rows: all score 0."""
     place = np.full(BUCKETS, -1, np.int32)
     if not positive or not unlabelled:
@@ -92,23 +94,33 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     prior = float(np.clip(prior, 1e-4, 0.9))
     w, b = np.zeros(len(best)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
-    rng, order_p, order_u = np.random.default_rng(0), np.arange(len(xp)), np.arange(len(xu))
     for t in range(1, steps + 1):
-        sp, su = rng.choice(order_p, min(len(order_p), 1024), replace=False), rng.choice(order_u, min(len(order_u), 2048), replace=False)
-        gp, gu = xp[sp] @ w + b, xu[su] @ w + b
+        # scores above CEILING count as CEILING: a few documents full of toxic words must not decide the sign of the risk
+        gp, gu = xp @ w + b, xu @ w + b
+        free_p, free_u = gp < CEILING, gu < CEILING
+        gp, gu = np.minimum(gp, CEILING), np.minimum(gu, CEILING)
         risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         # derivatives by the score: l(g) = log(1 + e^-g) for +1, log(1 + e^g) for -1
-        plus, minus_p, minus_u = -1 / (1 + np.exp(gp)), 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        dp, du = prior * plus / len(sp), minus_u / len(su)
+        plus, minus_p, minus_u = -1 / (1 + np.exp(gp)) * free_p, 1 / (1 + np.exp(-gp)) * free_p, 1 / (1 + np.exp(-gu)) * free_u
+        dp, du = prior * plus / len(xp), minus_u / len(xu)
         if risk < -beta:
-            dp, du = gamma * prior * minus_p / len(sp), -gamma * du
+            dp, du = gamma * prior * minus_p / len(xp), -gamma * du
         else:
-            dp = dp - prior * minus_p / len(sp)
-        grad = np.append(xp[sp].T @ dp + xu[su].T @ du + decay * w, dp.sum() + du.sum())
+            dp = dp - prior * minus_p / len(xp)
+        grad = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(place, w.astype(np.float32), float(b), prior)
+    return Model(place, w.astype(np.float32), _calibrated(xu @ w, prior), prior)
+
+
+def _calibrated(z: np.ndarray, prior: float) -> float:
+    """The bias at which the mean score of unlabelled text is the class prior."""
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(z + middle, -60, 60)))).mean() < prior else (low, middle)
+    return (low + high) / 2
 
 
 def _hashed(rows: DataFrame) -> list[np.ndarray]:
