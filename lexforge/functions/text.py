@@ -104,7 +104,7 @@ def fact_key(c: Column, limit: int = 120) -> Column:
 
 
 def clamp01(c: Column, default: float, digits: int = 3) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.expr("try_cast(null as double)") if c is None else c.try_cast("double"), F.lit(default)))), digits)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.try_cast("double"), F.lit(default)))), digits)
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 16) -> Column:
@@ -263,18 +263,16 @@ def noise_reasons(c: Column, *, heading: Column | None = None, page: Column | No
 
 
 def clean_research_text(c: Column) -> Column:
-    """Pieces between line ends and full stops, without noise and repeats.
+    """Pieces between full stops and semicolons, without noise and repeats; line
+    ends are white space.
 
     A caption that repeats at once is cut first, three times over, which undoes
     eight copies in a row.
     """
-    flat = compact(text_of(c))
-    text = text_of(c)
-    again = F.regexp_like(flat, F.lit(r"((?:图|表)\s*\d+[\s\S]{2,80}?)(?:\s+\1)+"))
-    cut = flat
+    cut = compact(text_of(c))
     for _ in range(3):
         cut = F.regexp_replace(cut, r"((?:图|表)\s*\d+[\s\S]{2,80}?)(?:\s+\1)+", "$1")
-    pieces = F.transform(F.split(F.when(again, cut).otherwise(text), r"[\n\r。；;]+"), compact)
+    pieces = F.transform(F.split(cut, r"[。；;]+"), compact)
     kept = F.filter(pieces, lambda p: (p != "") & (F.size(noise_reasons(p)) == 0))
     return compact(F.array_join(F.array_distinct(kept), " "))
 

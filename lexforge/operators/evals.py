@@ -31,11 +31,11 @@ def metrics(results: DataFrame, expected: DataFrame, queries: DataFrame) -> Data
     )
 
 
-def mode_score(doc_recall, node_recall, precision, mrr, keyword=F.lit(1.0), fallback=F.lit(0.0), weak=F.lit(0.0)) -> Column:
+def mode_score(doc_recall, node_recall, precision, mrr, keyword=1.0, fallback=0.0, weak=0.0) -> Column:
     return 0.3 * doc_recall + 0.35 * node_recall + 0.15 * precision + 0.15 * mrr + 0.05 * keyword - 0.05 * fallback - 0.03 * weak
 
 
-def benchmark_score(doc_recall, node_recall, precision, mrr, table=F.lit(1.0), trace=F.lit(1.0), fallback=F.lit(0.0), weak=F.lit(0.0)) -> Column:
+def benchmark_score(doc_recall, node_recall, precision, mrr, table=1.0, trace=1.0, fallback=0.0, weak=0.0) -> Column:
     return 0.25 * doc_recall + 0.35 * node_recall + 0.15 * precision + 0.1 * mrr + 0.1 * table + 0.05 * trace - 0.05 * fallback - 0.03 * weak
 
 
