@@ -8,8 +8,21 @@ from pyspark.sql import functions as F
 from lexforge.operators.nodes import chunk_nodes, line_nodes
 
 
+#: Below so many bytes for each core, a table of texts is dealt out anew: a small file is often one row group, hence one task.
+SMALL = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of texts over all cores, so that work on its rows is not
+    left to one; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL else df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
