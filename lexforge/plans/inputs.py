@@ -21,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table of texts over all cores, so that work on its rows is not
     left to one; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL else df
 
 

@@ -153,7 +153,8 @@ def _memories(spark, sf_dir):
 
 @query("memory_rank", """
 WITH m AS (SELECT conv_id || '-' || turn AS memory_id, role AS scope, (['preference','project_rule','task_progress','failure','setting'])[conv_id % 5 + 1] AS type, text, (turn % 10) / 10.0::DOUBLE AS importance, (conv_id % 10) / 10.0::DOUBLE AS confidence FROM conversations),
-s AS (SELECT memory_id, scope, round(2.0 * importance + confidence + least(2.0, 0.35 * (contains(lower(text), 'the')::INT + contains(lower(text), 'tion')::INT + contains(lower(text), 'ing')::INT)) + CASE type WHEN 'preference' THEN 0.35 WHEN 'project_rule' THEN 0.35 WHEN 'task_progress' THEN 0.25 WHEN 'failure' THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM m),
+h AS (SELECT *, lower(scope || ' ' || type || ' k ' || text) AS hay FROM m),
+s AS (SELECT memory_id, scope, round(2.0 * importance + confidence + least(2.0, 0.35 * (contains(hay, 'the')::INT + contains(hay, 'tion')::INT + contains(hay, 'ing')::INT)) + CASE type WHEN 'preference' THEN 0.35 WHEN 'project_rule' THEN 0.35 WHEN 'task_progress' THEN 0.25 WHEN 'failure' THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, memory_id) AS rank FROM s)
 SELECT memory_id, scope, score, rank::INT AS rank FROM r WHERE rank <= 8""")
 def memory_rank(spark, sf_dir):
