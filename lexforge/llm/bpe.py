@@ -31,13 +31,26 @@ CACHE = 1 << 20
 FEED = 256
 
 
+_MAPS: list[Halves] = []
+
+
+def enter(owner: str) -> None:
+    """Called when a task begins: what other operators have kept in this worker
+    goes, so that a worker's memory is that of one operator, not of all it has run."""
+    for kept in _MAPS:
+        if kept.owner != owner:
+            kept.new.clear()
+            kept.old = {}
+
+
 class Halves:
     """A bounded map: two generations, of which the older is dropped when the
     newer is full; what is used again moves to the newer."""
 
-    def __init__(self, make, size: int = CACHE):
-        self.make, self.size, self.old = make, size // 2, {}
+    def __init__(self, make, size: int = CACHE, owner: str = ""):
+        self.make, self.size, self.old, self.owner = make, size // 2, {}, owner
         outer = self
+        _MAPS.append(self)
 
         class New(dict):
             def __missing__(self, key):
@@ -210,7 +223,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 class Tokenizer:
     """A byte-level BPE tokenizer file, read by its own description."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE // 2):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
@@ -238,8 +251,8 @@ class Tokenizer:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         back = {c: bytes([b]) for b, c in enumerate(self.alphabet)}
         self.bytes = [b"".join(back.get(c, c.encode()) for c in t) if i not in self.special.values() else t.encode() for i, t in enumerate(self.names)]
-        self.pretoken = Halves(self._pretoken, cache // 2)
-        self.word = Halves(self._word, cache)
+        self.pretoken = Halves(self._pretoken, cache // 2, path)
+        self.word = Halves(self._word, cache, path)
 
     def _pretoken(self, text: str) -> bytes:
         """Ids (little-endian, 32 bits) of one pre-token, from the transducer."""
@@ -320,6 +333,7 @@ _OPEN: dict[str, Tokenizer] = {}
 
 def opened(path: str) -> Tokenizer:
     """The tokenizer of a file, read once by each worker."""
+    enter(path)
     if path not in _OPEN:
         _OPEN[path] = Tokenizer(path)
     return _OPEN[path]

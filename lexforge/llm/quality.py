@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.bpe import Halves
+from lexforge.llm.bpe import Halves, enter
 from lexforge.llm.shared import OWN, discard, written
 
 BUCKETS = 1 << 14
@@ -35,7 +35,7 @@ def _tokens(piece: str) -> bytes:
     return b"".join(zlib.crc32(t.encode("utf-8", "surrogatepass")).to_bytes(4, "little") for t in _TOKEN.findall(piece))
 
 
-_PIECES = Halves(_tokens, 1 << 19)
+_PIECES = Halves(_tokens, 1 << 18, "quality")
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -79,6 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_target: int = MAX_TARGET, seed:
     marked = docs.join(F.broadcast(target.withColumn(f"{OWN}good", F.lit(True))), "doc_id", "left").select(F.col("text").cast("string").alias("text"), F.coalesce(f"{OWN}good", F.lit(False)).alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for text, is_good in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -116,6 +117,7 @@ def weighed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         m = shipped.value
         for batch in batches:
             w = np.array([m.weight(t.as_py()) for t in batch.column(1)], np.float64)
@@ -191,6 +193,7 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         m = shipped.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))

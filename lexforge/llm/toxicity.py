@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.bpe import Halves
+from lexforge.llm.bpe import Halves, enter
 from lexforge.llm.shared import OWN, held_out
 
 BUCKETS = 1 << 18
@@ -40,7 +40,7 @@ def _bucket(piece: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in _OTHER.split(piece) if w)
 
 
-_PIECES = Halves(_bucket, 1 << 19)
+_PIECES = Halves(_bucket, 1 << 18, "toxicity")
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -125,6 +125,7 @@ def _calibrated(z: np.ndarray, prior: float) -> float:
 
 def _hashed(rows: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in batches:
             found = [buckets(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "found"])
@@ -164,6 +165,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in batches:
             scores = np.array([shipped.value.score(buckets(t.as_py())) for t in batch.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["id", "score", "predicted"])
@@ -178,6 +180,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))
             keep = pa.array([shipped.value.score(buckets(t.as_py())) < THRESHOLD for t in texts], pa.bool_())
