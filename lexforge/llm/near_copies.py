@@ -1,0 +1,140 @@
+"""Near copies by the Jaccard similarity of word shingles, checked exactly.
+
+Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, so a
+pair of similarity s meets in a band with probability 1 - (1 - s^ROWS)^BANDS,
+which is 0.999997 at 0.8. Each candidate pair is then checked by its sets of
+shingles; only pairs that reach the similarity are linked, and a component of
+links is one group.
+
+How it scales. Texts of the same words are one class and take part once. In a
+bucket (band and key) each class meets the ``REACH`` before it and the first of
+the bucket, so all pairs of a bucket of up to ``REACH`` + 1 classes are
+candidates, and larger ones give a bounded number for each class. Buckets above
+``LIMIT`` classes are dealt into parts that share the first of the bucket. Two
+near copies among many texts that share one passage still meet in the bands
+whose minima lie outside it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexforge.llm.shared import discard, written
+from lexforge.llm.simhash import SEED, first_of_each, grouped
+
+WIDTH, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 5
+REACH, LIMIT = 16, 256
+#: Shingles hashed at a time.
+STRIP = 1 << 12
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z is lower-cased; words are runs of bytes other than space and 9 to 13."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> set[bytes]:
+    """Runs of ``width`` words; fewer words give one shingle, none give none."""
+    width = min(width, len(words))
+    return set(map(b" ".join, zip(*(words[k:] for k in range(width)))))
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def class_of(words: list[bytes]) -> int:
+    """Equal for texts of the same words, as a signed 64-bit integer."""
+    h = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def band_keys(words: list[bytes], width: int = WIDTH) -> np.ndarray | None:
+    """One key for each band; None for a text without words."""
+    found = shingles(words, width)
+    if not found:
+        return None
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), STRIP):
+        np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + STRIP]).min(axis=1), out=least)
+    least ^= least >> np.uint64(29)
+    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            fps = pa.array([class_of(w) for w in words], pa.int64())
+            keys = pa.array([band_keys(w, width) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, keys], names=["id", "fp", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, keys array<long>")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of classes (fp, keys) that meet in a bucket."""
+    members = classes.select("fp", F.posexplode("keys").alias("band", "key"))
+    large = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fp").alias("first")).filter("n > 1")
+    dealt = members.join(large, ["band", "key"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / LIMIT)))
+    before = Window.partitionBy("band", "key", "part").orderBy("fp").rowsBetween(-REACH, -1)
+    met = dealt.select("fp", F.array_union(F.collect_list("fp").over(before), F.array("first")).alias("others"))
+    return met.select(F.col("fp").alias("a"), F.explode("others").alias("b")).filter("a > b").distinct()
+
+
+def _texts(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """(fp, text) of the classes in ``pairs``, one text for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([class_of(words_of(t)) for t in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([fps, batch.column(0)], names=["fp", "text"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    every = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "fp long, text string")
+    return every.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+
+
+def checked(docs: DataFrame, text_col: str, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs`` whose shingles reach the similarity ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (map(lambda t: shingles(words_of(t), width), batch.column(k).to_pylist()) for k in (2, 3))
+            near = pa.array([similarity(x, y) >= least for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(near)
+
+    texts = written(_texts(docs, text_col, pairs), "texts")
+    side = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"{c}_text"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    found = written(both.mapInArrow(run, "a long, b long"), "near")
+    discard(texts)
+    return found
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group: that with the smallest id.
+
+    Null and repeated ids and texts without words are as in
+    :func:`simhash.keep_one`.
+    """
+    fps = written(_with_keys(docs, id_col, text_col, width), "keys")
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
+    pairs = written(candidates(classes), "pairs")
+    links = checked(docs, text_col, pairs, width, least)
+    discard(pairs)
+    return first_of_each(docs, grouped(fps, classes, links, id_col), id_col, text_col)

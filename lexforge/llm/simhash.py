@@ -182,7 +182,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = written(with_fingerprints(docs, id_col, text_col, width), "fps")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "classes")
-    labels = components(near_links(classes, radius, cell_size, cell_limit))  # (node, root) of linked fingerprints
+    return grouped(fps, classes, near_links(classes, radius, cell_size, cell_limit), id_col)
+
+
+def grouped(fps: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, fp) with the component of their class: classes are (fp, first,
+    copies), links (a, b) join two of them."""
+    labels = components(links)  # (node, root) of linked fingerprints
     rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = rooted.filter((F.col("copies") > 1) | F.col("root").isNotNull())
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("size")).filter(F.col("size") > 1)
@@ -203,7 +209,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     told apart and all stay, but a document with an id is never dropped for one
     without.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dropped = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col)
     kept = docs.join(dropped, id_col, "left_anti").select(docs.columns)
     alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())

@@ -1,0 +1,52 @@
+import random
+
+from lexforge.llm import near_copies, simhash
+
+
+def plain_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similarity(a, b):
+    a, b = plain_shingles(a), plain_shingles(b)
+    return len(a & b) / len(a | b) if a & b else 0.0
+
+
+def edited(rng, words, n):
+    """``words`` with ``n`` of them changed, at least five apart."""
+    words = list(words)
+    for at in rng.sample(range(3, len(words) // 10), n):
+        words[at * 10] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def test_edited_copies_are_found(spark):
+    """Each text with a copy of 1 to 10 changed words: those of Jaccard >= 0.8 go, others stay."""
+    rng = random.Random(4)
+    rows, want, wide = [], set(), 0
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        text, copy = " ".join(words), edited(rng, words, 1 + k % 10)
+        rows += [(2 * k, text), (2 * k + 1, copy)]
+        near = plain_similarity(text, copy) >= 0.8
+        want |= {2 * k} if near else {2 * k, 2 * k + 1}
+        wide += near and (simhash.fingerprint(text) ^ simhash.fingerprint(copy)).bit_count() > 2
+    rows += [(1000, rows[0][1].upper()), (1001, "a b"), (1002, "A  b"), (1003, "a c"), (1004, None), (1005, "")]
+    want |= {1001, 1003, 1004}
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} != want
+    got = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
+    assert wide > 10 and got == want
+
+
+def test_large_groups_and_odd_rows(spark, odd_docs, no_docs):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    docs = spark.createDataFrame([(k, edited(rng, words, 1)) for k in range(700)] + [(1000 + k, " ".join(words[:100] + [f"v{k}-{i}" for i in range(100)])) for k in range(60)], "doc_id long, text string")
+    got = {r["doc_id"] for r in near_copies.keep_one(docs).collect()}
+    assert got == {0, *range(1000, 1060)}
+    ids = [r["doc_id"] for r in near_copies.keep_one(odd_docs).collect()]
+    assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(9) == 1 and ids.count(None) == 1
+    assert 4 in ids and 5 not in ids and 7 not in ids
+    assert near_copies.keep_one(no_docs).count() == 0
