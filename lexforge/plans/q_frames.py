@@ -17,10 +17,11 @@ FAMILIES = {"alpha": ["theand", "leque"], "beta": ["onth", "aux"], "gamma": ["ch
 NEGATIVE, POSITIVE = ["this", "pas", "nicht"], ["with", "avec", "mit"]
 
 
-def _frames(spark, sf_dir):
-    """Claims of the first line of each document as frames."""
-    rows = _claims(spark, sf_dir).filter("position < 5")
-    text = F.substring("text", 1, 200)
+def _frames(spark, sf_dir, whole=False):
+    """Claims as frames: whole claims of all lines, or, as the SQL has them, the
+    first 200 characters of those of the first line of each document."""
+    rows = _claims(spark, sf_dir)
+    rows, text = (rows, F.col("text")) if whole else (rows.filter("position < 5"), F.substring("text", 1, 200))
     return rows.select(
         F.col("fact_id").alias("frame_id"), "doc_id", F.col("type").alias("claim_type"), text.alias("short_claim"), "confidence", "source", "position",
         F.when(F.col("type") == "limitation", text).otherwise("").alias("problem"), F.when(F.col("type") == "method", text).otherwise("").alias("method"),
@@ -51,8 +52,13 @@ def frame_normalize(spark, sf_dir):
     return _normal(spark, sf_dir).select("frame_id", "normalized_subject", "method_family", "metric", "polarity")
 
 
-def _normal(spark, sf_dir):
-    return R.normalized(_frames(spark, sf_dir), FAMILIES, METRICS, NEGATIVE, POSITIVE)
+@query("frame_normalize_whole")
+def frame_normalize_whole(spark, sf_dir):
+    return _normal(spark, sf_dir, True).select("frame_id", "normalized_subject", "method_family", "metric", "polarity")
+
+
+def _normal(spark, sf_dir, whole=False):
+    return R.normalized(_frames(spark, sf_dir, whole), FAMILIES, METRICS, NEGATIVE, POSITIVE)
 
 
 SCORE = f"""
@@ -72,7 +78,7 @@ def frame_score(spark, sf_dir):
 
 @query("frame_quality")
 def frame_quality(spark, sf_dir):
-    f = _frames(spark, sf_dir)
+    f = _frames(spark, sf_dir, True)
     score = R.quality_score(F.col("short_claim"), F.col("n_units"), F.lit("claim"), F.col("claim_type"), F.col("confidence"))
     return f.select("frame_id", F.round(score, 3).alias("quality_score"), R.quality_level(score).alias("frame_quality"))
 
@@ -93,8 +99,17 @@ scored AS (SELECT *, least(1.0, 0.55 * h / greatest(1, len(c)) + 0.35 * s / grea
 per AS (SELECT frame_id, any_value(len(c)) AS n, max(score) AS best, max(score) FILTER (WHERE x) AS bc, max(cc) AS cc, max(s) AS s, count(*) FILTER (WHERE score >= 0.5 AND (s > 0 OR h >= 3)) AS prim, count(*) FILTER (WHERE NOT (score >= 0.5 AND (s > 0 OR h >= 3)) AND (score >= 0.18 OR h > 0 OR s > 0)) AS weak, count(*) FILTER (WHERE x) AS con FROM scored GROUP BY frame_id)
 SELECT frame_id, CASE WHEN n = 0 THEN 'not_checked' WHEN con > 0 THEN 'contradicted' WHEN prim > 0 AND best >= 0.58 AND cc >= 0.65 AND s >= 2 THEN 'semantically_supported' WHEN prim > 0 OR s > 0 THEN 'partially_supported' WHEN weak > 0 THEN 'related_only' ELSE 'insufficient_evidence' END AS status FROM per""")
 def semantic_support(spark, sf_dir):
-    f = _frames(spark, sf_dir).select("frame_id", "doc_id", "claim_type", F.col("short_claim").alias("claim"), F.lit("").alias("core"))
-    units = I.lines(spark, sf_dir).filter("order_index <= 3").select("doc_id", F.col("node_id").alias("unit_id"), F.col("text").alias("unit"), F.lit(0.6).alias("confidence"))
+    return _support(_frames(spark, sf_dir), I.lines(spark, sf_dir).filter("order_index <= 3"))
+
+
+@query("semantic_support_whole")
+def semantic_support_whole(spark, sf_dir):
+    return _support(_frames(spark, sf_dir, True), I.lines(spark, sf_dir))
+
+
+def _support(frames, lines):
+    f = frames.select("frame_id", "doc_id", "claim_type", F.col("short_claim").alias("claim"), F.lit("").alias("core"))
+    units = lines.select("doc_id", F.col("node_id").alias("unit_id"), F.col("text").alias("unit"), F.lit(0.6).alias("confidence"))
     return R.semantic_support(f.join(units, "doc_id"), ["idiot"]).select("frame_id", "status")
 
 
@@ -125,8 +140,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY s
 kept AS (SELECT * FROM ranked WHERE rank <= 8)"""
 
 
-def _buckets(spark, sf_dir):
-    f = _frames(spark, sf_dir)
+def _buckets(spark, sf_dir, whole=False):
+    f = _frames(spark, sf_dir, whole)
     return R.answer_buckets(f.select((F.col("doc_id") % 50).alias("query_id"), "doc_id", "frame_id", "short_claim", F.col("confidence").alias("score"), "semantic_support_status", R.risk(F.col("semantic_support_status")).alias("citation_risk")))
 
 
@@ -135,8 +150,18 @@ def answer_buckets(spark, sf_dir):
     return _buckets(spark, sf_dir)
 
 
+@query("answer_buckets_whole")
+def answer_buckets_whole(spark, sf_dir):
+    return _buckets(spark, sf_dir, True)
+
+
 @query("answerability", BUCKETS + """
 SELECT query_id, CASE WHEN bool_or(bucket = 'conflicting_claims') THEN 'conflicting' WHEN bool_or(bucket = 'strong_claims') THEN 'answerable' WHEN bool_or(bucket = 'qualified_claims') THEN 'partially_answerable' ELSE 'insufficient_evidence' END AS answerability,
   concat_ws(',', CASE WHEN bool_or(bucket = 'conflicting_claims') THEN 'answer_plan_conflicting_claims' END, CASE WHEN bool_or(bucket = 'insufficient_claims') AND NOT bool_or(bucket IN ('strong_claims', 'qualified_claims')) THEN 'answer_plan_insufficient_evidence' END, CASE WHEN bool_or(bucket = 'unchecked_claims') THEN 'answer_plan_unchecked_claims' END) AS warnings FROM kept GROUP BY query_id""")
 def answerability(spark, sf_dir):
     return R.answerability(_buckets(spark, sf_dir))
+
+
+@query("answerability_whole")
+def answerability_whole(spark, sf_dir):
+    return R.answerability(_buckets(spark, sf_dir, True))

@@ -1,0 +1,37 @@
+"""Queries over whole inputs, against the SQL of their narrower namesakes without its filters."""
+
+import duckdb
+import pytest
+
+from lexforge.plans import registry
+from test_queries import SF, TABLES, cells
+
+CUTS = [(" WHERE position < 5", ""), ("substr(text, 1, 200) AS short_claim", "text AS short_claim"), (" WHERE order_index <= 3", ""), (" WHERE l_orderkey <= 2000", ""), ("substr(text, 1, 60)", "text"), (" WHERE item_id < 20", "")]
+WHOLE = ["frame_normalize", "semantic_support", "answer_buckets", "answerability"]
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole(spark, db, name):
+    sql = registry.oracle_sql()[name]
+    for cut, whole in CUTS:
+        sql = sql.replace(cut, whole)
+    assert sql != registry.oracle_sql()[name]
+    got = registry.queries()[f"{name}_whole"](spark, SF)
+    want = db.execute(sql)
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert cells(got.collect()) == cells([tuple(r[names.index(c)] for c in got.columns) for r in want.fetchall()])
+
+
+def test_every_claim_is_rated(spark):
+    claims = registry.queries()["claim_sentences"](spark, SF)
+    rated = registry.queries()["frame_quality"](spark, SF)
+    assert cells(rated.select("frame_id").collect()) == cells(claims.select("fact_id").collect())
