@@ -7,7 +7,7 @@ from lexforge.plans import registry
 from test_queries import SF, TABLES, cells
 
 CUTS = [(" WHERE position < 5", ""), ("substr(text, 1, 200) AS short_claim", "text AS short_claim"), (" WHERE order_index <= 3", ""), (" WHERE l_orderkey <= 2000", ""), ("substr(text, 1, 60)", "text"), (" WHERE item_id < 20", "")]
-WHOLE = ["frame_normalize", "semantic_support", "answer_buckets", "answerability"]
+WHOLE = ["frame_normalize", "semantic_support", "answer_buckets", "answerability", "table_facts"]
 
 
 @pytest.fixture(scope="module")
