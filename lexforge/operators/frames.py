@@ -68,17 +68,24 @@ def match_score(found: Column, query: Column, support: Column, semantic: Column)
     return F.when(~weak & ((quality < C.MIN_QUALITY) | (support == "unsupported")), 0.0).otherwise(score)
 
 
-def search(queries: DataFrame, frames: DataFrame, k: int = 8) -> DataFrame:
-    """(query_id, rank, frame_id, score). Each query meets every frame: frames
-    are scored for a stated set of queries, a row at a time."""
+#: Queries that are sent to the frames at a time.
+BLOCK = 1000
+
+
+def search(queries: DataFrame, frames: DataFrame, k: int = 8, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, frame_id, score). Each query meets every frame, in
+    blocks of at most ``block`` queries: frames are scored a row at a time."""
     asked = queries.select("query_id", F.col("query").alias("_q"), T.frame_terms(T.text_of("query")).alias("_terms"))
-    n = asked.count()
-    if n > 1000:
-        raise ValueError("search frames for at most 1000 queries at a time")
-    rows = F.broadcast(asked)  # at most 1000 rows
-    both = frames.join(rows)
-    scored = both.select("query_id", "frame_id", match_score(F.col("_terms"), F.col("_q"), F.col("support_status"), F.col("semantic_support_status")).alias("score")).filter("score > 0")
-    return ranked(scored, k, F.round("score", 6).desc(), F.col("frame_id")).select("query_id", "rank", "frame_id", F.round("score", 3).alias("score"))
+    ids = [r[0] for r in asked.select("query_id").distinct().orderBy("query_id").collect()]
+    cuts = [ids[at : at + block] for at in range(0, len(ids), block)] or [[]]
+
+    def best(part: list) -> DataFrame:
+        these = F.col("query_id").isin([x for x in part if x is not None]) | (F.col("query_id").isNull() & F.lit(None in part))
+        both = frames.join(F.broadcast(asked.filter(these)))
+        scored = both.select("query_id", "frame_id", match_score(F.col("_terms"), F.col("_q"), F.col("support_status"), F.col("semantic_support_status")).alias("score")).filter("score > 0")
+        return ranked(scored, k, F.round("score", 6).desc(), F.col("frame_id")).select("query_id", "rank", "frame_id", F.round("score", 3).alias("score"))
+
+    return reduce(DataFrame.unionByName, map(best, cuts))
 
 
 def semantic_terms(c: Column, stop: list[str] | None = None) -> Column:

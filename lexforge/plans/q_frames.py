@@ -76,6 +76,12 @@ def frame_score(spark, sf_dir):
     return R.search(asked, _frames(spark, sf_dir), 8)
 
 
+@query("frame_score_whole")
+def frame_score_whole(spark, sf_dir):
+    asked = I.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.search(asked, _frames(spark, sf_dir, True), 8)
+
+
 @query("frame_quality")
 def frame_quality(spark, sf_dir):
     f = _frames(spark, sf_dir, True)

@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
+from lexforge.operators import frames as R
 from lexforge.plans import registry
 from test_queries import SF, TABLES, cells
 
-CUTS = [(" WHERE position < 5", ""), ("substr(text, 1, 200) AS short_claim", "text AS short_claim"), (" WHERE order_index <= 3", ""), (" WHERE l_orderkey <= 2000", ""), ("substr(text, 1, 60)", "text"), (" WHERE item_id < 20", "")]
-WHOLE = ["frame_normalize", "semantic_support", "answer_buckets", "answerability", "table_facts"]
+CUTS = [(" WHERE position < 5", ""), ("substr(text, 1, 200) AS short_claim", "text AS short_claim"), (" WHERE order_index <= 3", ""), (" WHERE l_orderkey <= 2000", ""), ("substr(text, 1, 60)", "text"), (" WHERE item_id < 20", ""), ("list_distinct(w) AS w FROM asked", "list_filter(w, lambda t, i: list_position(w, t) = i)[1:16] AS w FROM asked")]
+WHOLE = ["frame_normalize", "semantic_support", "answer_buckets", "answerability", "table_facts", "frame_score"]
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +36,12 @@ def test_every_claim_is_rated(spark):
     claims = registry.queries()["claim_sentences"](spark, SF)
     rated = registry.queries()["frame_quality"](spark, SF)
     assert cells(rated.select("frame_id").collect()) == cells(claims.select("fact_id").collect())
+
+
+def test_more_queries_than_a_block(spark):
+    from pyspark.sql import functions as F
+
+    frame = [F.lit(x).alias(c) for c, x in {"frame_id": "f", "claim_type": "method", "short_claim": "sorting method", "problem": "", "method": "", "dataset_or_setting": "", "metric_or_signal": "", "result_or_gain": "", "limitation": "", "n_units": 1, "n_noise": 0, "confidence": 0.5, "quality_score": 0.8, "support_status": "unchecked", "semantic_support_status": "not_checked"}.items()]
+    asked = spark.range(1001).select(F.col("id").alias("query_id"), F.lit("sorting").alias("query"))
+    rows = R.search(asked, spark.range(1).select(*frame), 8).collect()
+    assert sorted(r["query_id"] for r in rows) == list(range(1001))
