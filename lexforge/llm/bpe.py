@@ -17,58 +17,22 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer as Library
 
-#: Words kept by a worker; the older half goes when the newer is full.
-CACHE = 1 << 20
-#: Characters of a pre-token that are fed to the transducer at a time; longer keys are not kept.
-FEED = 256
+from lexforge.llm.caches import BUDGET, Kept, enter
 
-
-_MAPS: list[Halves] = []
-
-
-def enter(owner: str) -> None:
-    """Called when a task begins: what other operators have kept in this worker
-    goes, so that a worker's memory is that of one operator, not of all it has run."""
-    for kept in _MAPS:
-        if kept.owner != owner:
-            kept.new.clear()
-            kept.old = {}
-
-
-class Halves:
-    """A bounded map: two generations, of which the older is dropped when the
-    newer is full; what is used again moves to the newer."""
-
-    def __init__(self, make, size: int = CACHE, owner: str = ""):
-        self.make, self.size, self.old, self.owner = make, size // 2, {}, owner
-        outer = self
-        _MAPS.append(self)
-
-        class New(dict):
-            def __missing__(self, key):
-                return outer._missing(key)
-
-        self.new = New()
-
-    def _missing(self, key):
-        if len(key) > FEED:
-            return self.make(key)
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self.new) >= self.size:
-            self.old = dict(self.new)
-            self.new.clear()
-        self.new[key] = value
-        return value
+#: Symbols of a pre-token that are fed to the transducer at a time.
+FEED = 1024
+#: Characters of a text that are fed to the encoder at a time, and those of one
+#: pre-token that it holds before it opens a transducer for it.
+SLICE, HOLD = 1 << 16, 4096
 
 
 def byte_alphabet() -> list[str]:
@@ -139,19 +103,17 @@ class Merges:
         """All merges of a list of symbols, lowest rank first, leftmost first."""
         pair = self.pair
         if len(ids) <= 64:
-            ids, none = ids[:], self.none
-            ranks = [pair.get(p, none)[0] for p in zip(ids, ids[1:])]
-            while ranks:
-                best = min(ranks)
-                if best == none[0]:
-                    break
+            get, none, product = pair.get, self.none, self.product
+            never, ids = none[0], ids[:]
+            ranks = [get(p, none)[0] for p in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) != never:
                 k = ranks.index(best)
-                ids[k : k + 2] = [self.product[best]]
-                del ranks[k]
+                ids[k] = new = product[best]
+                del ids[k + 1], ranks[k]
                 if k < len(ranks):
-                    ranks[k] = pair.get((ids[k], ids[k + 1]), none)[0]
+                    ranks[k] = get((new, ids[k + 1]), none)[0]
                 if k:
-                    ranks[k - 1] = pair.get((ids[k - 1], ids[k]), none)[0]
+                    ranks[k - 1] = get((ids[k - 1], new), none)[0]
             return ids
         n = len(ids)
         ids = ids[:]
@@ -171,29 +133,42 @@ class Merges:
                     heapq.heappush(heap, (got[0], x, ids[x], ids[y], got[1]))
         return [t for t, ok in zip(ids, alive) if ok]
 
-    def stream(self, pieces: Iterator[str]) -> Iterator[int]:
-        """Token ids of one pre-token that comes in pieces.
-
-        Holds at most two pieces and the lookahead. A token is emitted when it
-        and the lookahead after it have been read.
-        """
-        held, ahead = "", None
+    def stream(self, pieces: Iterable[str]) -> Iterator[int]:
+        """Token ids of one pre-token that comes in pieces."""
+        machine = Transducer(self)
         for piece in pieces:
-            if ahead is not None:
-                held += ahead
-                if len(held) > 2 * self.lookahead:
-                    ids = self.merged(self.symbols(held, False))
-                    stable, at = len(held) - self.lookahead, 0
-                    for t in ids:
-                        if at + self.width[t] > stable:
-                            break
-                        at += self.width[t]
-                        yield t
-                    held = held[at:]
-            ahead = piece
-        held += ahead or ""
-        if held:
-            yield from self.merged(self.symbols(held, True))
+            yield from machine.feed(piece)
+        yield from machine.end()
+
+
+class Transducer:
+    """Encodes the symbols of one pre-token as they come.
+
+    Holds at most one piece and twice the lookahead. A token is emitted when it
+    and the lookahead after it have been read; the last symbol is always held,
+    since it alone may carry the word end.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held = merges, ""
+
+    def feed(self, chars: str) -> list[int]:
+        merges = self.merges
+        self.held += chars
+        if len(self.held) <= 2 * merges.lookahead + 1:
+            return []
+        stable, at, out = len(self.held) - 1 - merges.lookahead, 0, []
+        for t in merges.merged(merges.symbols(self.held[:-1], False)):
+            if at + merges.width[t] > stable:
+                break
+            at += merges.width[t]
+            out.append(t)
+        self.held = self.held[at:]
+        return out
+
+    def end(self) -> list[int]:
+        held, self.held = self.held, ""
+        return self.merges.merged(self.merges.symbols(held, True)) if held else []
 
 
 class Decoder:
@@ -220,30 +195,47 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+LETTER, NUMBER, SPACE, OTHER = (regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+"))
+_UNKNOWN: list[regex.Pattern] = []
+
+
+def _unknown() -> regex.Pattern:
+    """Characters that this Python's tables do not know: the library may class
+    them otherwise than the regex module does."""
+    if not _UNKNOWN:
+        free = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+        starts = [c for k, c in enumerate(free) if not k or free[k - 1] != c - 1]
+        ends = [c for k, c in enumerate(free) if k + 1 == len(free) or free[k + 1] != c + 1]
+        _UNKNOWN.append(regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]"))
+    return _UNKNOWN[0]
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer file, read by its own description."""
 
-    def __init__(self, path: str, cache: int = CACHE // 2):
+    def __init__(self, path: str, budget: int = BUDGET):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
+        self.path = path
         self.merges = Merges(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"]):
-            raise ValueError("special tokens with stripping or normalising are not supported")
-        self._specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] for t in file["added_tokens"]):
+            raise ValueError("special tokens with stripping, normalising or spaces are not supported")
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.margin = max(map(len, self.special), default=1) - 1
         steps = _steps(file["normalizer"], "normalizers")
         if not {s["type"] for s in steps} <= {"NFC", "Lowercase", "Replace"}:
             raise ValueError("unknown normaliser")
         self.steps = [(s["type"], regex.compile(s["pattern"]["Regex"]) if s["type"] == "Replace" else None, s.get("content")) for s in steps]
-        self.spaced = any(s[0] == "Replace" for s in self.steps)  # white space only parts words
+        self.lower = any(s[0] == "Lowercase" for s in self.steps)
         pre = _steps(file["pre_tokenizer"], "pretokenizers")
         own = [s for s in pre if s["type"] == "Split"]
         if own and not (own[0]["behavior"] == "Removed" and own[0]["invert"]):
             raise ValueError("unknown pre-tokenizer")
         self.pattern = regex.compile(own[0]["pattern"]["Regex"] if own else BYTE_LEVEL)
-        self.drops_space = bool(own)
+        self.by_word = bool(own) and any(s[0] == "Replace" for s in self.steps)  # white space only parts words
         self.alphabet = byte_alphabet()
         self.table = {i: c for i, c in enumerate(self.alphabet)}
         self.byte_decoder = bool(file["decoder"]) and file["decoder"]["type"] == "ByteLevel"
@@ -251,22 +243,43 @@ class Tokenizer:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         back = {c: bytes([b]) for b, c in enumerate(self.alphabet)}
         self.bytes = [b"".join(back.get(c, c.encode()) for c in t) if i not in self.special.values() else t.encode() for i, t in enumerate(self.names)]
-        self.pretoken = Halves(self._pretoken, cache // 2, path)
-        self.word = Halves(self._word, cache, path)
+        self.library: Library | None = None
+        self.stand_ins: dict[str, str] = {}
+        #: Ids of pre-tokens, and of words that are several.
+        self.known = Kept(self._word, path, budget)
+
+    def symbols_of(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
 
     def _pretoken(self, text: str) -> bytes:
         """Ids (little-endian, 32 bits) of one pre-token, from the transducer."""
-        chars = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-        if len(chars) <= FEED:
-            ids = self.merges.merged(self.merges.symbols(chars, True))
-        else:
-            ids = list(self.merges.stream(chars[at : at + FEED] for at in range(0, len(chars), FEED)))
-        return np.array(ids, "<u4").tobytes()
+        chars, machine = self.symbols_of(text), Transducer(self.merges)
+        ids = machine.feed(chars) if len(chars) <= FEED else [t for at in range(0, len(chars), FEED) for t in machine.feed(chars[at : at + FEED])]
+        return array("I", ids + machine.end()).tobytes()
 
     def _word(self, text: str) -> bytes:
-        """Ids of one run of characters other than white space."""
-        known = self.pretoken.new
-        return b"".join([known[p] for p in self.pattern.findall(text)])
+        """Ids of a stretch of normalised text that is cut into pre-tokens."""
+        pieces = self.cut(text)
+        if len(pieces) == 1:
+            return self._pretoken(pieces[0])
+        known = self.known.new
+        return b"".join([known[p] for p in pieces])
+
+    def shadow(self, text: str) -> str:
+        """The text with a stand-in of the library's class for each character
+        that Python's tables lack."""
+        if PLAIN.fullmatch(text) or not (odd := set(_unknown().findall(text))):
+            return text
+        for c in odd - self.stand_ins.keys():
+            self.library = self.library or Library.from_file(self.path)
+            joins = [len(self.library.pre_tokenizer.pre_tokenize_str(before + c)) == 1 for before in ("a", "!")]
+            self.stand_ins[c] = "a" if joins[0] else "!" if joins[1] else "1"
+        return text.translate({ord(c): self.stand_ins[c] for c in odd})
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a normalised text."""
+        shadow = self.shadow(text)
+        return self.pattern.findall(text) if shadow is text else [text[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
 
     def normalized(self, text: str) -> str:
         for kind, pattern, content in self.steps:
@@ -276,54 +289,175 @@ class Tokenizer:
                 text = pattern.sub(content, text)
             else:
                 text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
+        if self.steps and not PLAIN.fullmatch(text) and (odd := set(_unknown().findall(text))):
+            self.library = self.library or Library.from_file(self.path)
+            text = text.translate({ord(c): self.library.normalizer.normalize_str(c) for c in odd})
         return text
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        if self.drops_space and self.spaced:
+    def plain(self, text: str) -> bytes:
+        """Ids of a piece of text that no pre-token crosses, without special tokens."""
+        if self.by_word:
             if PLAIN.fullmatch(text):
-                text = text.lower() if any(s[0] == "Lowercase" for s in self.steps) else text
-                words = text.split()
+                words = (text.lower() if self.lower else text).split()
             else:
                 words = self.normalized(text).split(" ")
-            known = self.word.new
+            known = self.known.new
             return b"".join([known[w] for w in words])
-        return self._word(self.normalized(text))
+        known = self.known.new
+        return b"".join([known[p] for p in self.cut(self.normalized(text))])
+
+    def stream(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """Ids of a text that comes in pieces, in parts of bounded size."""
+        machine = Encoder(self)
+        for piece in pieces:
+            yield machine.feed(piece)
+        yield machine.end()
+
+    def slices(self, text: str | None) -> Iterator[bytes]:
+        """Ids of a whole text as little-endian unsigned 32-bit integers, in
+        parts. Null counts as empty. The strings of special tokens become their ids."""
+        text = text or ""
+        return self.stream(text[at : at + SLICE] for at in range(0, len(text), SLICE))
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers.
-
-        Null counts as empty. The strings of special tokens become their ids.
-        """
-        if not text:
-            return b""
-        if self._specials is None or not self._specials.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self._specials.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join(self.slices(text))
 
     def decode(self, ids: bytes) -> Iterator[str]:
-        """The text of ids, in parts of bounded length, special tokens included.
-
-        Files with a byte-level decoder give their tokens' bytes through the
-        state machine; files without one give the tokens themselves, parted by
-        a space.
-        """
-        machine, first = Decoder(), True
-        for at in range(0, len(ids), 1 << 16):
-            part = np.frombuffer(ids[at : at + (1 << 16)], "<u4").tolist()
-            if self.byte_decoder:
-                yield machine.feed(b"".join([self.bytes[i] for i in part]))
-            else:
-                names = self.names
-                yield machine.feed((("" if first else " ") + " ".join([names[i] for i in part])).encode("utf-8"))
-            first = False
+        """The text of ids, in parts of bounded length, special tokens included."""
+        machine = IdDecoder(self)
+        for at in range(0, len(ids), SLICE):
+            yield machine.feed(ids[at : at + SLICE])
         yield machine.end()
 
 
+def safe_cut(text: str) -> int:
+    """The last place in a text that no pre-token, special token or composed
+    character crosses: before a single space with characters on both sides (0:
+    none)."""
+    at = text.rfind(" ", 1, len(text) - 1)
+    while at > 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+        at = text.rfind(" ", 1, at)
+    return max(at, 0)
+
+
+def inert_cut(text: str, at: int) -> int:
+    """The last place up to ``at`` where normalising may be cut: before a
+    character that does not join the one before it."""
+    while at > 0 and (unicodedata.category(text[at])[0] == "M" or 0x1160 <= ord(text[at]) <= 0x11FF):
+        at -= 1
+    return at
+
+
+class Encoder:
+    """Encodes a text as it comes, in memory that does not grow with it.
+
+    What lies before a safe cut is encoded at once. A stretch without one, as a
+    pre-token of millions of letters, is normalised and cut as it comes: a
+    pre-token that is longer than ``HOLD`` is handed to a transducer of its own
+    while it goes on. (Only a run of combining marks without end is held
+    whole, since their order is settled at its end.)
+    """
+
+    def __init__(self, tok: Tokenizer):
+        self.tok, self.raw, self.norm = tok, "", ""
+        self.run: tuple[regex.Pattern, Transducer] | None = None
+
+    def feed(self, text: str) -> bytes:
+        tok, out = self.tok, []
+        text = self.raw + text
+        while m := tok.specials.search(text):
+            out += [self._close(text[: m.start()]), tok.special[m[0]].to_bytes(4, "little")]
+            text = text[m.end() :]
+        if cut := safe_cut(text):
+            out.append(self._close(text[:cut]))
+            text = text[cut:]
+        if len(text) > HOLD and (cut := inert_cut(text, len(text) - 1 - tok.margin)):
+            out.append(self._grind(text[:cut], False))
+            text = text[cut:]
+        self.raw = text
+        return b"".join(out)
+
+    def end(self) -> bytes:
+        text, self.raw = self.raw, ""
+        out = []
+        while m := self.tok.specials.search(text):
+            out += [self._close(text[: m.start()]), self.tok.special[m[0]].to_bytes(4, "little")]
+            text = text[m.end() :]
+        return b"".join([*out, self._close(text)])
+
+    def _close(self, text: str) -> bytes:
+        """The rest of a stretch: no pre-token goes on after it."""
+        return self._grind(text, True) if self.norm or self.run else self.tok.plain(text)
+
+    def _run(self, chars: str) -> bytes:
+        tok, machine = self.tok, self.run[1]
+        symbols = tok.symbols_of(chars)
+        return np.array([t for at in range(0, len(symbols), FEED) for t in machine.feed(symbols[at : at + FEED])], "<u4").tobytes()
+
+    def _grind(self, text: str, last: bool) -> bytes:
+        tok, out, at = self.tok, [], 0
+        text = self.norm + tok.normalized(text)
+        shadow = tok.shadow(text)
+        if self.run:
+            at = self._extent(shadow, 0, self.run[0], last)
+            out.append(self._run(text[:at]))
+            if at >= len(text) - 1 and not last:  # it may go on
+                self.norm = text[at:]
+                return b"".join(out)
+            out.append(np.array(self.run[1].end(), "<u4").tobytes())
+            self.run = None
+        known, rest = tok.known.new, None
+        for m in tok.pattern.finditer(shadow, at):
+            if not last and m.end() > len(text) - 3:
+                rest = m
+                break
+            out.append(known[text[m.start() : m.end()]])
+            at = m.end()
+        if last:
+            self.norm = ""
+            return b"".join(out)
+        if rest and rest.end() - rest.start() > HOLD:
+            kind = next(k for k in (LETTER, NUMBER, SPACE, OTHER) if k.match(shadow[rest.end() - 1]))
+            self.run = (kind, Transducer(tok.merges))
+            at = self._extent(shadow, rest.start() + (shadow[rest.start()] == " " and kind is not SPACE), kind, False)
+            out.append(self._run(text[rest.start() : at]))
+        self.norm = text[at:]
+        return b"".join(out)
+
+    @staticmethod
+    def _extent(shadow: str, at: int, kind: regex.Pattern, last: bool) -> int:
+        """Where a run of one class ends. The last white space before another
+        character starts the next pre-token, so it is held back."""
+        m = kind.match(shadow, at)
+        end = m.end() if m else at
+        return end - 1 if kind is SPACE and end > at and not (last and end == len(shadow)) else end
+
+
+class IdDecoder:
+    """Ids to text as they come.
+
+    Files with a byte-level decoder give their tokens' bytes through the state
+    machine; files without one give the tokens themselves, parted by a space.
+    """
+
+    def __init__(self, tok: Tokenizer):
+        self.tok, self.machine, self.first = tok, Decoder(), True
+
+    def feed(self, ids: bytes) -> str:
+        part = np.frombuffer(ids, "<u4").tolist()
+        if not part:
+            return ""
+        if self.tok.byte_decoder:
+            return self.machine.feed(b"".join([self.tok.bytes[i] for i in part]))
+        names = self.tok.names
+        text = ("" if self.first else " ") + " ".join([names[i] for i in part])
+        self.first = False
+        return self.machine.feed(text.encode("utf-8"))
+
+    def end(self) -> str:
+        return self.machine.end()
+
+
 def _steps(part: dict | None, name: str) -> list[dict]:
     return [] if not part else part[name] if part["type"] == "Sequence" else [part]
 
@@ -345,8 +479,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ``ids_sha256`` is that of the ids as little-endian unsigned 32-bit
     integers, ``decoded_sha256`` that of the decoded text in UTF-8. A narrow
-    map over the rows: no shuffle, memory bounded by a batch and the worker's
-    caches.
+    map over the rows: no shuffle. A text is fed to the encoder in slices, and
+    its ids to the digest and the decoder as they come; besides the batch, a
+    worker holds a slice, the lookahead and its caches (``caches.BUDGET``).
 
     Defined results: null counts as empty, and an empty text has no tokens and
     decodes to nothing; null ids and repeated rows stay as they are; an empty
@@ -360,19 +495,25 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             counts, shas, backs, lists, texts = array("q"), [], [], [], []
             for text in batch.column(1):
-                ids = tok.encode(text.as_py())
-                back, parts = hashlib.sha256(), []
-                for part in tok.decode(ids):
+                sha, back, machine, n, ids_of, parts = hashlib.sha256(), hashlib.sha256(), IdDecoder(tok), 0, [], []
+                for ids in tok.slices(text.as_py()):
+                    sha.update(ids)
+                    n += len(ids) // 4
+                    part = machine.feed(ids)
                     back.update(part.encode("utf-8", "surrogatepass"))
+                    if keep_ids:
+                        ids_of.append(ids)
                     if keep_text:
                         parts.append(part)
-                counts.append(len(ids) // 4)
-                shas.append(hashlib.sha256(ids).hexdigest())
+                part = machine.end()
+                back.update(part.encode("utf-8", "surrogatepass"))
+                counts.append(n)
+                shas.append(sha.hexdigest())
                 backs.append(back.hexdigest())
                 if keep_ids:
-                    lists.append(np.frombuffer(ids, "<i4"))
+                    lists.append(np.frombuffer(b"".join(ids_of), "<i4"))
                 if keep_text:
-                    texts.append("".join(parts))
+                    texts.append("".join([*parts, part]))
             columns = [batch.column(0), pa.array(np.frombuffer(counts, np.int64) if len(counts) else [], pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
             columns += [pa.array(lists, pa.list_(pa.int32()))] * keep_ids + [pa.array(texts, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])

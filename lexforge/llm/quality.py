@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.bpe import Halves, enter
+from lexforge.llm.caches import Kept, enter
 from lexforge.llm.shared import OWN, discard, written
 
 BUCKETS = 1 << 14
@@ -35,7 +35,7 @@ def _tokens(piece: str) -> bytes:
     return b"".join(zlib.crc32(t.encode("utf-8", "surrogatepass")).to_bytes(4, "little") for t in _TOKEN.findall(piece))
 
 
-_PIECES = Halves(_tokens, 1 << 18, "quality")
+_PIECES = Kept(_tokens, "quality")
 
 
 def grams(text: str | None) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.bpe import Halves, enter
+from lexforge.llm.caches import Kept, enter
 from lexforge.llm.shared import new_folder, written
 
 MAGIC = b"LFSSTB01"
@@ -221,7 +221,7 @@ class LibraryWords:
         rules = (file["normalizer"] or {}).get("normalizers", [file["normalizer"]])
         self.by_word = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps) and any(r and r["type"] == "Replace" for r in rules)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
-        self.word = Halves(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), owner="sstable")
+        self.word = Kept(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), "sstable")
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""

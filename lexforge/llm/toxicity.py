@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.bpe import Halves, enter
+from lexforge.llm.caches import Kept, enter
 from lexforge.llm.shared import OWN, held_out
 
 BUCKETS = 1 << 18
@@ -40,7 +40,7 @@ def _bucket(piece: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in _OTHER.split(piece) if w)
 
 
-_PIECES = Halves(_bucket, 1 << 18, "toxicity")
+_PIECES = Kept(_bucket, "toxicity")
 
 
 def buckets(text: str | None) -> np.ndarray:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Library
 
-from lexforge.llm import bpe, sstable, token_counts
+from lexforge.llm import bpe, caches, sstable, token_counts
 
 WORD, BYTE = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -41,6 +41,58 @@ def test_stream_equals_whole_for_any_cut(path):
                 assert list(own.stream(chars[k : k + size] for k in range(0, n, size))) == whole
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_text_fed_in_slices_equals_the_library(path, monkeypatch):
+    """Pre-tokens longer than what is held go through a transducer of their own."""
+    monkeypatch.setattr(bpe, "HOLD", 40)
+    own, library, rng = bpe.Tokenizer(path), Library.from_file(path), random.Random(6)
+    parts = ["a" * 300, "!?" * 150, " " * 200, "7" * 150, "é" * 90 + "e\u0301" * 60, "x'll" * 50, "\n \t" * 60, "<|endoftext|>", "it's", " ", "漢字", "\u0c5c" * 60, "ἈΣ", "e" + "\u0301\u0323" * 30]
+    for _ in range(12):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        want = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for size in (7, 64, 1000):
+            assert b"".join(own.stream(text[k : k + size] for k in range(0, len(text), size))) == want, (size, text)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_characters_newer_than_the_tables(path):
+    own, library = bpe.Tokenizer(path), Library.from_file(path)
+    for c in [*range(0x300, 0x2FA20, 997), 0x558, 0x1C89, 0xA7CB, 0x1E5F1, 0x3FC36, 0x10940, 0x1D7CE, 0x85, 0x2028]:
+        if not 0xD800 <= c < 0xE000:
+            text = f"ab{chr(c)}cd 1{chr(c)} {chr(c)}"
+            assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(c)
+
+
+@pytest.mark.parametrize("unit", ["ab", "!?", "漢", "lorem ipsum "])
+def test_memory_does_not_grow_with_a_text(unit):
+    import tracemalloc
+
+    own = bpe.Tokenizer(WORD)
+    peaks = []
+    for times in (40_000, 200_000):
+        tracemalloc.start()
+        decoder, n = bpe.IdDecoder(own), 0
+        piece = unit * 2000
+        for ids in own.stream(piece for _ in range(times // 2000 // len(unit))):
+            n += len(decoder.feed(ids))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert n > 0 and peaks[1] < 1.3 * peaks[0] + 100_000
+
+
+def test_kept_maps_are_bounded_in_bytes():
+    made = []
+    kept = caches.Kept(lambda k: made.append(k) or k.encode(), "test", budget=40_000)
+    for k in range(5000):
+        assert kept.new[f"key {k}"] == f"key {k}".encode()
+        assert kept.new["often"] == b"often"
+    size = sum(caches._size(k) + caches._size(v) + caches.SLOT for g in (kept.new, kept.old) for k, v in g.items())
+    assert size <= 40_000 and made.count("often") < 60 and len(made) >= 5000
+    assert kept.new["x" * 300] == b"x" * 300 and "x" * 300 not in kept.new
+    caches.enter("another")
+    assert not kept.new and not kept.old
+
+
 def test_lookahead_of_a_small_merge_list():
     merges = [("a", "b"), ("c", "ab"), ("d", "c")]
     length = {"a": 1, "b": 1, "c": 1, "d": 1, "ab": 2, "cab": 3, "dc": 2}
@@ -73,9 +125,11 @@ def test_encode_decode_rows(odd_docs, no_docs, all_plain):
 
 
 def test_counts_equal_the_library():
-    library, counter = Library.from_file(BYTE), token_counts.Counter(BYTE, token_counts.frequent_lengths(BYTE))
+    library, counter = Library.from_file(BYTE), token_counts.Counter(BYTE, token_counts.frequent_lengths(BYTE, texts()[::3], 500))
     for text in texts():
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    assert 0 < counter.encoded <= counter.missed < counter.asked
+    assert max(counter.tier1.values()) > 1  # counts, not a mere set
 
 
 def test_compact_table_finds_what_it_holds():
