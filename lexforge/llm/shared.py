@@ -58,6 +58,21 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def part_files(df: DataFrame) -> list[str]:
+    """Addresses of the data files of a frame made by :func:`written`."""
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(df._lexforge_path)
+    found = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(str(f.getPath().toString()) for f in found if f.getPath().getName().endswith(".parquet"))
+
+
+def opened_store(address: str):
+    """The file system of an address, for workers, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + address.removeprefix("file:") if address.startswith("file:/") and not address.startswith("file://") else address)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

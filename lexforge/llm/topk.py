@@ -3,29 +3,45 @@
 A vector is cut into segments; with the mean and the deviation of each, the
 Cauchy-Schwarz inequality bounds an inner product from above by the sum over
 segments of length * (mean * mean + deviation * deviation), which is the usual
-lower bound of the squared distance turned round. The bound is evaluated from
-one segment to many; what stays above the query's k-th best score so far goes
-to the next level, and the survivors are scored exactly.
+lower bound of the squared distance turned round. Bounds are evaluated from
+one segment to many, a level being one product of two small matrices; what
+stays above the query's floor goes on to the next level, and the survivors are
+scored exactly.
+
+How the work is laid out. A query's floor is its k-th best score in a bounded
+sample of rows, so no tile starts from nothing. Queries are written in blocks
+to the shared folder; a task reads its rows once, a tile at a time, and meets
+each tile with the blocks in turn, so neither the driver nor a broadcast holds
+the queries. A tile hands on the k best of each query, and those only if they
+reach the floor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.shared import written
+from lexforge.llm.caches import enter
+from lexforge.llm.shared import discard, opened_store, part_files, written
 
-#: Bytes of query vectors that are broadcast at a time.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors in a block, of row vectors in a tile and of the sample that floors are taken from.
+QUERY_BYTES, TILE_BYTES, SAMPLE_BYTES = 8 << 20, 8 << 20, 2 << 20
 LEVELS = (1, 4, 16)
-TILE = 4096
+#: Queries that meet a tile at a time.
+STRIP = 512
+#: Above this share of pairs left, a matrix product of all is cheaper than gathering the pairs that are left.
+DENSE = 1 / 64
+#: A level that leaves more than DENSE of the pairs it sees is left out for so many meetings.
+REST = 15
 #: Integers up to here are exact in products and sums of doubles.
 EXACT = float(1 << 53)
+#: Components up to here have squares and sums that bounds can be taken of.
+BOUNDED = 1e100
+_LOW = np.iinfo(np.int64).min
 
 
 def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
@@ -65,68 +81,100 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x).astype(np.int64)
 
 
-class Search:
-    """The k best of each query over tiles that are added one by one."""
+class Block:
+    """Queries of one length: identifiers, vectors, floors and statistics."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, levels=LEVELS):
-        self.ids, self.q, self.k = ids, vectors, k
+    def __init__(self, key: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, levels=LEVELS):
+        self.key, self.ids, self.q, self.floor = key, ids, vectors, floor.astype(np.float64)
         self.levels = [n for n in levels if n < vectors.shape[1]]
-        self.bounds = [segments(vectors, n) for n in self.levels]
-        self.best = np.full((len(ids), k), np.iinfo(np.int64).min)
-        self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.full = np.zeros(len(ids), np.int64)
-        self.passed = [0] * (len(self.levels) + 1)
-
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        stats = [segments(x, n) for n in self.levels]
-        floor = np.where(self.full >= self.k, self.best[:, -1].astype(np.float64), -np.inf)
-        qi, xi = None, None
-        for n, (a, b) in enumerate(zip(self.bounds, stats)):
-            if qi is None:
+        self.most = float(np.abs(vectors).max(initial=0))
+        fine = self.most <= BOUNDED
+        self.stats = [segments(vectors, n) if fine else None for n in self.levels]
+        self.rest = [0] * len(self.levels)
+        self.pairs = self.exact = 0
+        self.passed = [0] * len(self.levels)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, stats: list, k: int) -> tuple:
+        """(query position, row position, score, own) of a tile: each query's k
+        best other rows that reach its floor, and the rows equal to the query's
+        own, which are marked."""
+        own_q, own_x = self._own(ids, x, k)
+        floor, alive, total = self.floor[:, None], None, len(self.ids) * len(ids)
+        self.pairs += total
+        for n, (a, b) in enumerate(zip(self.stats, stats)):
+            if a is None or b is None:
+                continue
+            if self.rest[n]:
+                self.rest[n] -= 1
+                continue
+            if alive is None or alive.dtype == bool:
                 bound = a @ b.T
-                slack = 1 + 1e-9 * np.abs(bound)
-                qi, xi = np.nonzero(bound + slack >= floor[:, None])
+                here = bound + (1 + 1e-9 * np.abs(bound)) >= floor
+                alive = here if alive is None else alive & here
+                left = int(np.count_nonzero(alive))
+                if left <= DENSE * total:
+                    alive = np.stack(np.nonzero(alive))
+                else:
+                    self.rest[n] = REST
             else:
-                keep = np.empty(len(qi), bool)
-                for at in range(0, len(qi), 1 << 18):
-                    s = slice(at, at + (1 << 18))
-                    bound = np.einsum("ij,ij->i", a[qi[s]], b[xi[s]])
-                    keep[s] = bound + 1 + 1e-9 * np.abs(bound) >= floor[qi[s]]
-                qi, xi = qi[keep], xi[keep]
-            self.passed[n] += len(qi)
-        if qi is None:
-            qi, xi = (g.ravel() for g in np.meshgrid(np.arange(len(self.ids)), np.arange(len(ids)), indexing="ij"))
-        other = self.ids[qi] != ids[xi]
-        qi, xi = qi[other], xi[other]
-        self.passed[-1] += len(qi)
-        for at in range(0, len(qi), 1 << 17):
-            s = slice(at, at + (1 << 17))
-            self._merge(qi[s], ids[xi[s]], exact_scores(self.q[qi[s]], x[xi[s]]))
-
-    def _merge(self, qi: np.ndarray, who: np.ndarray, score: np.ndarray) -> None:
-        """Keep the k best of what there is and what comes, ties to the smaller id."""
-        better = (self.full[qi] < self.k) | (score > self.best[qi, -1]) | ((score == self.best[qi, -1]) & (who < self.who[qi, -1]))
-        qi, who, score = qi[better], who[better], score[better]
-        if not len(qi):
-            return
-        touched = np.unique(qi)
-        has = np.arange(self.k)[None, :] < self.full[touched][:, None]
-        q_all = np.concatenate([np.repeat(touched, self.k)[has.ravel()], qi])
-        w_all = np.concatenate([self.who[touched][has], who])
-        s_all = np.concatenate([self.best[touched][has], score])
-        order = np.lexsort((w_all, -s_all.astype(np.float64), q_all)) if np.abs(s_all).max(initial=0) < EXACT else np.array(sorted(range(len(q_all)), key=lambda n: (q_all[n], -int(s_all[n]), w_all[n])))
-        q_all, w_all, s_all = q_all[order], w_all[order], s_all[order]
-        first = np.searchsorted(q_all, q_all, side="left")
-        rank = np.arange(len(q_all)) - first
-        keep = rank < self.k
-        self.who[q_all[keep], rank[keep]] = w_all[keep]
-        self.best[q_all[keep], rank[keep]] = s_all[keep]
-        ends = np.searchsorted(q_all, touched, side="right") - np.searchsorted(q_all, touched, side="left")
-        self.full[touched] = np.minimum(self.k, ends)
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        has = np.arange(self.k)[None, :] < self.full[:, None]
-        return np.repeat(self.ids, self.full), self.who[has], self.best[has]
+                bound = np.einsum("ij,ij->i", a[alive[0]], b[alive[1]])
+                alive = alive[:, bound + (1 + 1e-9 * np.abs(bound)) >= self.floor[alive[0]]]
+                left = alive.shape[1]
+            self.passed[n] += left
+        if alive is not None and alive.dtype != bool:
+            qi, xi = alive
+            score = exact_scores(self.q[qi], x[xi])
+            self.exact += len(qi)
+            fine = score >= self.floor[qi]
+            qi, xi, score = qi[fine], xi[fine], score[fine]
+        else:
+            self.exact += total
+            qi, xi, score = self._dense(x, k)
+        if len(own_q):  # the query's own row is none of its candidates
+            other = ~np.isin(qi * len(ids) + xi, own_q * len(ids) + own_x)
+            qi, xi, score = qi[other], xi[other], score[other]
+        qi, xi, score = _best(qi, xi, score, ids, k)
+        ends = np.searchsorted(qi, np.arange(len(self.ids)), side="right")
+        full = ends - np.searchsorted(qi, np.arange(len(self.ids))) >= k
+        self.floor[full] = np.maximum(self.floor[full], score[ends[full] - 1])
+        mine = exact_scores(self.q[own_q], x[own_x])
+        return np.append(qi, own_q), np.append(xi, own_x), np.append(score, mine), np.append(np.zeros(len(qi), bool), np.ones(len(own_q), bool))
+
+    def _own(self, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        low, high = np.searchsorted(ids[order], self.ids), np.searchsorted(ids[order], self.ids, side="right")
+        qi = np.repeat(np.arange(len(self.ids)), high - low)
+        xi = order[np.arange(len(qi)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)] if len(qi) else np.zeros(0, np.int64)
+        same = (self.q[qi] == x[xi]).all(axis=1)
+        qi, xi = qi[same], xi[same]
+        few = np.arange(len(qi)) - np.searchsorted(qi, qi) <= k  # equal rows: no more than k + 1 can matter
+        return qi[few], xi[few]
+
+    def _dense(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of the meeting that reach the floor; of a query without one, its best."""
+        if self.most * float(np.abs(x).max(initial=0)) * x.shape[1] >= EXACT:
+            qi, xi = (g.ravel() for g in np.meshgrid(np.arange(len(self.q)), np.arange(len(x)), indexing="ij"))
+            return qi, xi, exact_scores(self.q[qi], x[xi])
+        scores = self.q @ x.T
+        floor, m = self.floor, 2 * k + 1  # own rows are among them, and are no candidates
+        if len(x) > m and floor.min() == float(_LOW):
+            floor = np.maximum(floor, np.partition(scores, -m, axis=1)[:, -m])
+        hit = scores >= floor[:, None]
+        qi, xi = np.nonzero(hit)
+        return qi, xi, scores[qi, xi].astype(np.int64)
+
+
+def _best(qi: np.ndarray, xi: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """The k best of each query, ties to the smaller identifier."""
+    order = np.lexsort((ids[xi], ~score, qi))  # ~s orders integers downwards, without overflow
+    qi, xi, score = qi[order], xi[order], score[order]
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[keep], xi[keep], score[keep]
+
+
+def tile_stats(x: np.ndarray, levels=LEVELS) -> list:
+    fine = float(np.abs(x).max(initial=0)) <= BOUNDED
+    return [segments(x, n) if fine else None for n in levels if n < x.shape[1]]
 
 
 def _arrays(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -142,49 +190,113 @@ def _arrays(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
+def _blocks(files: list[str], levels) -> Iterator[Block]:
+    """The query blocks of some files, in strips; a worker holds one file at a time."""
+    import pyarrow.parquet as pq
+
+    for file in files:
+        store, path = opened_store(file)
+        with store.open_input_file(path) as source:
+            table = pq.read_table(source)
+        key, ids, floor = (table.column(c).to_numpy() for c in ("key", "id", "floor"))
+        for _, (at, q) in _arrays(table.column("v")).items():
+            for s in range(0, len(at), STRIP):
+                own = at[s : s + STRIP]
+                yield Block(key[own], ids[own], q[s : s + STRIP], floor[own], levels)
+
+
+def _floors(sample: pa.Table, k: int):
+    """A function that gives queries of a batch their k-th best score in the
+    sample, whose rows of the query's own identifier do not count."""
+    by_length = _arrays(sample.column("v"))
+    ids = sample.column("id").to_numpy()
+
+    def floors(own: np.ndarray, at_q: dict) -> np.ndarray:
+        floor = np.full(len(own), _LOW, np.int64)
+        for d, (at, q) in at_q.items():
+            there, x = by_length.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
+            if len(there) <= k or float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d >= EXACT:
+                continue
+            for s in range(0, len(at), STRIP):
+                scores = q[s : s + STRIP] @ x.T
+                scores[own[at[s : s + STRIP]][:, None] == ids[there][None, :]] = -np.inf
+                kth = np.partition(scores, -k, axis=1)[:, -k]
+                floor[at[s : s + STRIP]] = np.where(np.isfinite(kth), kth, float(_LOW)).astype(np.int64)
+        return floor
+
+    return floors
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tiles (identifiers, matrix) of up to about ``TILE_BYTES`` from batches (id, v)."""
+    held: dict[int, list] = {}
+
+    def out(d: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = held.pop(d)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        for d, (at, x) in _arrays(batch.column(1)).items():
+            step = max(1, TILE_BYTES // (8 * d))
+            for s in range(0, len(at), step):
+                held.setdefault(d, []).append((own[at[s : s + step]], x[s : s + step]))
+                if sum(len(p[0]) for p in held[d]) >= step:
+                    yield out(d)
+    for d in list(held):
+        yield out(d)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, levels=LEVELS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
-    rows but those with the query's own id. The set of queries is broadcast in
-    blocks of at most about ``QUERY_BYTES``; a block is searched against all
-    rows where they lie, and only each task's k best of a query are shuffled.
+    rows but the query's own.
 
     Defined results: rows with a null id or without a usable vector take no
-    part; vectors are compared with those of equal length; ties go to the
-    smaller id; rows that repeat an id are candidates each, and queries once
-    for each different vector's best scores taken together; an empty table
-    gives an empty result; other columns are ignored.
+    part; vectors are compared with those of equal length; scores outside 64
+    bits are saturated; ties go to the smaller id. Rows that repeat an id are
+    candidates each, and queries each: every such query has its own ranks, and
+    other rows of its id are among its candidates. An empty table gives an
+    empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = whole_numbers(vectors, id_col, vector_col, scale).filter("id IS NOT NULL")
-    asked = written(rows.filter(F.pmod(F.col("id"), F.lit(every)) == 0), "queries")
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    blocks = max(1, -(-n * (width + 1) * 8 // QUERY_BYTES))
-
-    def search(block: int) -> DataFrame:
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow().sort_by("id")
-        ids = part.column("id").to_numpy()
-        shipped = spark.sparkContext.broadcast({d: (ids[at], x) for d, (at, x) in _arrays(part.column("v")).items()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # a few hundred queries at a time keep the bounds of a tile small
-            searches = {d: [Search(q[s : s + 512], x[s : s + 512], k) for s in range(0, len(q), 512)] for d, (q, x) in shipped.value.items()}
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                for d, (at, x) in _arrays(batch.column(1)).items():
-                    for s in range(0, len(at), TILE):
-                        for one in searches.get(d, ()):
-                            one.add(own[at[s : s + TILE]], x[s : s + TILE])
-            for one in (o for group in searches.values() for o in group):
-                q, who, score = one.rows()
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(who), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-        return rows.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    found = reduce(DataFrame.unionByName, [search(b) for b in range(blocks)])
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    width, n = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.sum((F.pmod("id", F.lit(every)) == 0).cast("long")), F.lit(0))).first()
+    size = max(k + 1, SAMPLE_BYTES // (8 * width))
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(size).toArrow()
+    shipped = spark.sparkContext.broadcast(sample)
+    blocks = max(1, -(-n * (width + 3) * 8 // QUERY_BYTES))
+
+    def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = _floors(shipped.value, k)
+        for batch in batches:
+            floor = floors(batch.column(1).to_numpy(), _arrays(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(floor)], names=["key", "id", "v", "floor"])
+
+    asked = rows.filter(F.pmod(F.col("id"), F.lit(every)) == 0).repartition(blocks, F.xxhash64("id")).select(F.monotonically_increasing_id().alias("key"), "id", "v")
+    queries = written(asked.mapInArrow(floored, "key long, id long, v array<double>, floor long"), "queries")
+    files = part_files(queries)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("topk")
+        kept = list(_blocks(files, levels)) if len(files) == 1 else None  # one file is read once
+        for ids, x in _rows(batches):
+            stats = tile_stats(x, levels)
+            for block in kept or _blocks(files, levels):
+                if block.q.shape[1] == x.shape[1]:
+                    step = max(1, (64 << 20) // (8 * len(block.ids)))  # products of bounded size
+                    for s in range(0, len(ids), step):
+                        part = [None if b is None else b[s : s + step] for b in stats]
+                        qi, xi, score, own = block.meet(ids[s : s + step], x[s : s + step], part, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(block.key[qi]), pa.array(block.ids[qi]), pa.array(ids[s : s + step][xi]), pa.array(score), pa.array(own)], names=["key", "query_id", "vec_id", "score", "own"])
+
+    found = rows.mapInArrow(search, "key long, query_id long, vec_id long, score long, own boolean")
+    # of the rows equal to the query's own, one is that row itself and the rest are candidates
+    each = Window.partitionBy("key", "own").orderBy(F.col("score").desc(), "vec_id")
+    others = found.withColumn("n", F.row_number().over(each)).filter((~F.col("own") & (F.col("n") <= k)) | (F.col("own") & (F.col("n") > 1) & (F.col("n") <= k + 1)))
+    best = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
+    return others.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

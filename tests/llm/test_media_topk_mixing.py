@@ -94,11 +94,30 @@ def test_bounds_hold_and_cut():
     for n in topk.LEVELS:
         s = topk.segments(x, n)
         assert (s @ s.T + 1e-6 >= x @ x.T).all()
-    search = topk.Search(np.arange(20), x[:20], 3)
-    search.add(np.arange(250), x[:250])
-    before = search.passed[-1]
-    search.add(np.arange(250, 500), x[250:])
-    assert search.passed[-1] - before < 20 * 250
+    # vectors around sixty centres: whole groups fall to the bounds
+    x = np.floor(256 * (np.repeat(rng.normal(size=(60, 64)).cumsum(axis=1), 100, axis=0) + 0.3 * rng.normal(size=(6000, 64))))
+    scores = x[:20] @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    floor = np.sort(scores, axis=1)[:, -5]
+    block = topk.Block(np.arange(20), np.arange(20), x[:20], floor, (1, 4, 16))
+    got = [block.meet(np.arange(s, s + 3000), x[s : s + 3000], topk.tile_stats(x[s : s + 3000]), 5) for s in (0, 3000)]
+    assert block.pairs == 20 * 6000 and block.exact < 0.05 * block.pairs and sum(block.passed) > 0
+    found = {(int(q), int(i) + s) for s, (qi, xi, _, own) in zip((0, 3000), got) for q, i, o in zip(qi, xi, own) if not o}
+    want = {(q, int(i)) for q in range(20) for i in np.flatnonzero(scores[q] >= floor[q])}
+    assert want <= found
+
+
+def test_top_k_of_repeated_ids_and_huge_components(spark):
+    rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (10, [0.0, 1.0]), (11, [1.0, 1.0]), (12, [1e200, -1e200]), (20, [2e155, 1e155]), (21, [1e155, 1e155])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, 3, 10).collect())
+    whole = [(i, [int(x * 256) if abs(x) > 2**52 else math.floor(256 * x) for x in v]) for i, v in rows]
+    top, want = (1 << 63) - 1, []
+    for n, (q, a) in enumerate(whole):
+        if q % 10 == 0:
+            scored = sorted((-max(-top - 1, min(top, sum(x * y for x, y in zip(a, b)))), i) for m, (i, b) in enumerate(whole) if m != n)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:3])]
+    assert got == sorted(want)
 
 
 def test_poisson_counts(spark):
