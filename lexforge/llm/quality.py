@@ -181,16 +181,13 @@ def threshold(docs: DataFrame, labels: DataFrame, keys: DataFrame, share: float
 def sample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`resampled` keeps, with all columns.
 
-    Keys are computed once to find the k-th and again to filter, which costs
-    less than to shuffle the texts by identifier.
+    Rows are written with their keys, from which the k-th is found and rows are
+    dropped. Null and empty texts, null ids, repeated rows, ties, missing labels
+    and empty tables are as in :func:`resampled`.
     """
     own = docs.select("doc_id", "text")
     model = fit(own, labels)
-    keys = written(weighed(docs, model), "weights")
-    floor = threshold(own, labels, keys, share)
-    discard(keys)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    shipped, names, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns, f"{OWN}key"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("quality")
@@ -198,7 +195,10 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            key = np.array([m.weight(t.as_py()) + m.noise(i) for t, i in zip(texts, ids)], np.float64)
-            yield batch.filter(pa.array(order_key(key) >= floor)).select(names)
+            keys = np.array([m.weight(t.as_py()) + m.noise(i) for t, i in zip(texts, ids)], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + [pa.array(order_key(keys))], names=[*names, key])
 
-    return docs.withColumn(f"{OWN}text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    keyed = docs.withColumn(f"{OWN}text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn(key, F.lit(0).cast("long")).schema)
+    rows = written(keyed, "keyed")
+    floor = threshold(own, labels, rows.select(F.col(key).alias("order_key")), share)
+    return rows.filter(F.col(key) >= F.lit(floor)).select(names)

@@ -20,8 +20,7 @@ def tokenizer(name: str) -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    out = toxicity.scored(docs, model)
+    out = toxicity.learned_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

@@ -1,15 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other documents are
-unlabelled, whatever a label says. With the class prior p, the risk of a
-classifier is p R+(positives) + max(0, R-(unlabelled) - p R-(positives)); where
-the second part falls below zero the step goes against it, which keeps a
-flexible model from driving it negative. The loss is logistic, so the output
-is a probability; its bias is set last so that scores of unlabelled text have
-the class prior as their mean.
+Confirmed toxic documents are the positives; all documents are unlabelled,
+whatever a label says. With the class prior p, the risk of a classifier is
+p R+(positives) + max(0, R-(unlabelled) - p R-(positives)); where the second
+part falls below zero the step goes against it, which keeps a flexible model
+from driving it negative. The loss is logistic, so the output is a probability.
 
 Features are the presence of words (hashed), of which those that differ most
-between positives and unlabelled text are kept.
+between positives and unlabelled text are kept; their number is the model's
+capacity. Every row that may be learned from takes part in the counts and in
+every step of the training: texts are hashed once, rows of equal features
+become one with its number, and a step adds up the gradient where the rows lie.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.caches import Kept, enter
-from lexforge.llm.shared import OWN, held_out
+from lexforge.llm.shared import OWN, discard, held_out, written
 
 BUCKETS = 1 << 18
-#: Rows that a model is fitted on at most, of each kind; chosen by a hash of the identifier.
-MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-MAX_FEATURES = 256
+#: Identifiers of positives at most (they are broadcast), chosen by a hash.
+MAX_POSITIVE = 100_000
+#: Features of the model, the least score (in deviations) of one, and steps of the training.
+FEATURES, LEAST_Z, STEPS, RATE = 1024, 4.0, 60, 0.2
 THRESHOLD = 0.3
-CEILING = 4.0
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -68,123 +69,203 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def _matrix(rows: list[np.ndarray], place: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((len(rows), n), np.float32)
-    for k, r in enumerate(rows):
-        at = place[r]
-        out[k, at[at >= 0]] = 1
-    return out
+def hashed(docs: DataFrame, text_col: str = "text", found_col: str = f"{OWN}found") -> DataFrame:
+    """``docs`` with the hashed words of each whole text; a narrow map."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))
+            found = pa.array([buckets(t.as_py()) for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + [found], names=[*names, found_col])
 
+    schema = docs.withColumn(found_col, F.lit(None).cast("array<int>")).schema
+    return docs.withColumn(f"{OWN}text", F.col(text_col).cast("string")).mapInArrow(run, schema)
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> Model:
-    """Train on hashed words. No positives or no unlabelled rows: all score 0."""
-    place = np.full(BUCKETS, -1, np.int32)
-    if not positive or not unlabelled:
-        return Model(place, np.zeros(0, np.float32), -60.0, prior)
-    df_p = np.bincount(np.concatenate(positive), minlength=BUCKETS)
-    df_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
-    p, u = df_p / len(positive), df_u / len(unlabelled)
-    both = (df_p + df_u + 1) / (len(positive) + len(unlabelled) + 2)
-    z = (p - u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled)))
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the row of each."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0)))
+
+
+def word_counts(marked: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Rows (found, positive) that hold each bucket, positive and all, and the
+    numbers of both kinds of rows. A task adds up its own; at most one row a
+    bucket comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, BUCKETS + 1), np.int64)
+        for batch in batches:
+            positive = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            values, row = _lists(batch.column(0))
+            n[0, :-1] += np.bincount(values[positive[row]], minlength=BUCKETS)
+            n[1, :-1] += np.bincount(values, minlength=BUCKETS)
+            n[:, -1] += (int(positive.sum()), len(positive))
+        at = np.flatnonzero(n[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], names=["bucket", "p", "u"])
+
+    got = marked.mapInArrow(run, "bucket int, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    n = np.zeros((2, BUCKETS + 1), np.int64)
+    n[:, got.column("bucket").to_numpy()] = (got.column("p").to_numpy(), got.column("u").to_numpy())
+    return n[0, :-1], n[1, :-1], int(n[0, -1]), int(n[1, -1])
+
+
+def chosen(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets whose shares among positives and all rows differ most."""
+    p, u = df_p / n_p, df_u / n_u
+    both = (df_p + df_u + 1) / (n_p + n_u + 2)
+    z = (p - u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     z[(df_p + df_u) < 5] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    best = best[np.abs(z[best]) >= 4]
-    place[best] = np.arange(len(best))
-    xp, xu = _matrix(positive, place, len(best)), _matrix(unlabelled, place, len(best))
-    prior = float(np.clip(prior, 1e-4, 0.9))
-    w, b = np.zeros(len(best)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    best = np.argsort(-np.abs(z), kind="stable")[:features]
+    return best[np.abs(z[best]) >= LEAST_Z]
+
+
+def gradient(rows: list[np.ndarray], positive: np.ndarray, count: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over rows of equal features: positive loss and its gradient, and
+    negative loss and its gradient over positives and over all rows.
+
+    Laid out as three parts of [loss, slope by the bias, slopes by the weights].
+    """
+    lengths = np.fromiter((len(r) for r in rows), np.int64, len(rows))
+    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(rows)), lengths)
+    g = np.clip(np.bincount(own, weights=w[flat], minlength=len(rows)) + b, -60, 60)
+    s = 1 / (1 + np.exp(-g))
+    parts = []
+    for loss, slope, weight in ((np.logaddexp(0, -g), s - 1, count * positive), (np.logaddexp(0, g), s, count * positive), (np.logaddexp(0, g), s, count)):
+        d = slope * weight
+        parts.append(np.concatenate([[(loss * weight).sum(), d.sum()], np.bincount(flat, weights=d[own], minlength=len(w))]))
+    return np.concatenate(parts)
+
+
+def descend(sums, n_features: int, n_p: float, n_u: float, prior: float, steps: int = STEPS, rate: float = RATE, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float, list[float]]:
+    """Weights, bias and the risk of each step. ``sums(w, b)`` gives what
+    :func:`gradient` does over all rows."""
+    w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
+    m, v, risks = np.zeros(n_features + 1), np.zeros(n_features + 1), []
     for t in range(1, steps + 1):
-        # scores above CEILING count as CEILING: a few documents full of toxic words must not decide the sign of the risk
-        gp, gu = xp @ w + b, xu @ w + b
-        free_p, free_u = gp < CEILING, gu < CEILING
-        gp, gu = np.minimum(gp, CEILING), np.minimum(gu, CEILING)
-        risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # derivatives by the score: l(g) = log(1 + e^-g) for +1, log(1 + e^g) for -1
-        plus, minus_p, minus_u = -1 / (1 + np.exp(gp)) * free_p, 1 / (1 + np.exp(-gp)) * free_p, 1 / (1 + np.exp(-gu)) * free_u
-        dp, du = prior * plus / len(xp), minus_u / len(xu)
-        if risk < -beta:
-            dp, du = gamma * prior * minus_p / len(xp), -gamma * du
-        else:
-            dp = dp - prior * minus_p / len(xp)
-        grad = np.append(xp.T @ dp + xu.T @ du + decay * w, dp.sum() + du.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        plus, minus_p, minus_u = np.split(sums(w, b), 3)
+        plus, minus = prior * plus / n_p, minus_u / n_u - prior * minus_p / n_p
+        risks.append(float(plus[0] + max(0.0, minus[0])))
+        slope = -gamma * minus[1:] if minus[0] < -beta else plus[1:] + minus[1:]
+        slope = np.append(slope[1:] + decay * w, slope[0])
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return Model(place, w.astype(np.float32), _calibrated(xu @ w, prior), prior)
-
+    return w, b, risks
 
-def _calibrated(z: np.ndarray, prior: float) -> float:
-    """The bias at which the mean score of unlabelled text is the class prior."""
-    low, high = -40.0, 40.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if (1 / (1 + np.exp(-np.clip(z + middle, -60, 60)))).mean() < prior else (low, middle)
-    return (low + high) / 2
 
+def _design(marked: DataFrame, place: np.ndarray) -> DataFrame:
+    """(key, positive, n): rows of equal features are one; ``key`` is their
+    feature numbers. Counts are summed before the shuffle."""
 
-def _hashed(rows: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("toxicity")
         for batch in batches:
-            found = [buckets(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "found"])
+            keys = []
+            for x in batch.column(0):
+                at = place[np.asarray(x.values, np.int64)] if x.is_valid else np.zeros(0, np.int32)
+                keys.append(np.sort(at[at >= 0]).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(1)], names=["key", "positive"])
 
-    got = rows.mapInArrow(run, "id long, found array<int>").toArrow().sort_by("id")
-    return [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int32) for x in got.column("found")]
+    return marked.mapInArrow(run, "key binary, positive boolean").groupBy("key", "positive").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, features: DataFrame | None = None) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    Only rows that are not held out are read. Positives are rows labelled 1,
-    the prior is their share among the labelled rows, and the unlabelled rows
-    are drawn from all documents. Both sets are bounded by the parameters; a
-    hash of the identifier chooses, so the choice does not depend on order.
+    Only rows that are not held out are learned from. Positives are the rows
+    whose identifier is labelled 1 (at most ``MAX_POSITIVE`` identifiers, chosen
+    by a hash), the prior is the share of 1 among the labelled rows, and every
+    row is unlabelled text. ``features`` may bring what :func:`hashed` gives for
+    ``docs``. Without positives all scores are 0.
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    total = docs.filter(~held_out(F.col("doc_id"))).count()
-    if not toxic or not total:
-        return fit([], [], 0.0)
-    # bounded by max_positive identifiers, so it may be broadcast
-    positives = F.broadcast(known.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(max_positive))
-    rows = docs.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    share = min(1.0, max_unlabelled / total)
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    return fit(_hashed(rows.join(positives, "doc_id", "left_semi")), _hashed(drawn), toxic / n)
-
-
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    nothing = Model(np.full(BUCKETS, -1, np.int32), np.zeros(0, np.float32), -60.0, 0.0)
+    if not toxic:
+        return nothing
+    mine = features is None
+    features = written(hashed(docs.select("doc_id", "text")).drop("text"), "words") if mine else features
+    positives = known.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(MAX_POSITIVE)
+    rows = features.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col(f"{OWN}found").alias("found"))
+    marked = rows.join(F.broadcast(positives.withColumn("positive", F.lit(True))), "doc_id", "left").select("found", F.coalesce("positive", F.lit(False)).alias("positive"))
+    df_p, df_u, n_p, n_u = word_counts(marked)
+    if not n_p:
+        return nothing
+    best = chosen(df_p, df_u, n_p, n_u)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[best] = np.arange(len(best))
+    design = written(_design(marked, place), "design")
+
+    def sums(w: np.ndarray, b: float) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(3 * (len(w) + 2))
+            for batch in batches:
+                keys = [np.frombuffer(k, "<i4") for k in batch.column(0).to_pylist()]
+                total += gradient(keys, batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2).to_numpy().astype(float), w, b)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+        # one row of a few kilobytes for each task
+        return np.sum([np.frombuffer(r[0]) for r in design.mapInArrow(run, "part binary").collect()], axis=0)
+
+    prior = float(np.clip(toxic / n, 1e-4, 0.9))
+    w, b, _ = descend(sums, len(best), n_p, n_u, prior)
+    discard(design)
+    if mine:
+        discard(features)
+    return Model(place, w.astype(np.float32), b, prior)
+
+
+def _scores(model: Model, column) -> np.ndarray:
+    return np.array([model.score(np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64)) for x in column], np.float64)
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", features: DataFrame | None = None) -> DataFrame:
     """(id_col, score, predicted) of each whole text; a narrow map.
 
+    ``features`` may bring what :func:`hashed` gives for ``docs``.
+
     Defined results: null and empty texts get the score of a text without
-    words; null ids and repeated rows stay; other columns are ignored.
+    words; null ids and repeated rows stay; an empty table gives an empty
+    result; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
+    found = f"{OWN}found"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("toxicity")
         for batch in batches:
-            scores = np.array([shipped.value.score(buckets(t.as_py())) for t in batch.column(1)], np.float64)
+            scores = _scores(shipped.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    rows = features if features is not None else hashed(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), "text")
+    return rows.select(F.col(id_col).alias("id"), found).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
-def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects (score >= 0.3); all
-    columns and all other rows stay, in one narrow map."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def learned_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Train on ``docs`` and ``labels`` and score all of ``docs``, hashing each
+    text once: (doc_id, score, predicted)."""
+    features = written(hashed(docs.select("doc_id", "text")).drop("text"), "words")
+    return scored(docs, train(docs, labels, features), features=features)
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that a model trained on them rejects (score >=
+    0.3); all columns and all other rows stay.
+
+    Each text is hashed once: rows are written with their words, and dropped
+    when that is read again. Nulls, empty texts and repeated rows are as in
+    :func:`scored`; an empty table gives an empty result.
+    """
+    features = written(hashed(docs), "words")
+    model = train(docs, labels, features)
+    shipped, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("toxicity")
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))
-            keep = pa.array([shipped.value.score(buckets(t.as_py())) < THRESHOLD for t in texts], pa.bool_())
-            yield batch.filter(keep).select(names)
+            keep = _scores(shipped.value, batch.column(batch.schema.get_field_index(f"{OWN}found"))) < THRESHOLD
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
 
-    names = docs.columns
-    return docs.withColumn(f"{OWN}text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return features.mapInArrow(run, docs.schema)

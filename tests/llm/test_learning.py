@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,13 +34,57 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def test_risk_falls_and_never_goes_far_below_zero():
-    rng = np.random.default_rng(0)
-    positive = [np.array([1, *rng.integers(10, 900, 5)], np.int32) for _ in range(200)]
-    unlabelled = [np.array([1 if k % 5 == 0 else 2, *rng.integers(10, 900, 5)], np.int32) for k in range(1000)]
-    model = toxicity.fit(positive, unlabelled, 0.2)
-    assert model.score(np.array([1])) > 0.6 and model.score(np.array([2])) < 0.2
-    assert toxicity.fit([], unlabelled, 0.2).score(np.array([1])) < 1e-9
+def plain_risk(rows, w, b, prior):
+    """The non-negative risk of rows (features, positive), and its two parts, one row at a time."""
+    plus = minus_p = minus_u = n_p = 0.0
+    for found, positive in rows:
+        g = b + sum(w[k] for k in found)
+        minus_u += math.log1p(math.exp(g))
+        if positive:
+            n_p += 1
+            plus += math.log1p(math.exp(-g))
+            minus_p += math.log1p(math.exp(g))
+    return prior * plus / n_p, minus_u / len(rows) - prior * minus_p / n_p
+
+
+def risk_rows():
+    rng = random.Random(1)
+    rows = [([0, *sorted(rng.sample(range(2, 9), 2))], True) for _ in range(20)] + [([1] * (k % 2) + sorted(rng.sample(range(2, 9), 3)), False) for k in range(80)] + [([], False)] * 5
+    counted = Counter((tuple(f), p) for f, p in rows)
+    arrays = [np.array(f, np.int64) for f, _ in counted]
+    return rows, lambda w, b: toxicity.gradient(arrays, np.array([p for _, p in counted]), np.array(list(counted.values()), float), w, b)
+
+
+def test_risk_and_gradient_equal_plain_python():
+    rows, sums = risk_rows()
+    rng, prior, n_p, n_u = np.random.default_rng(2), 0.3, 20, len(rows)
+    for _ in range(4):
+        w, b = rng.normal(size=9), float(rng.normal())
+        plus, minus_p, minus_u = np.split(sums(w, b), 3)
+        first, second = plain_risk(rows, w, b, prior)
+        assert np.isclose(prior * plus[0] / n_p, first) and np.isclose(minus_u[0] / n_u - prior * minus_p[0] / n_p, second)
+        for k in range(-1, 9):  # slopes by small differences
+            e = 1e-6
+            up, down = (plain_risk(rows, w + s * e * (np.arange(9) == k), b + s * e * (k < 0), prior) for s in (1, -1))
+            at = 1 + 1 + k
+            assert np.isclose(prior * plus[at] / n_p, (up[0] - down[0]) / 2 / e, atol=1e-5)
+            assert np.isclose(minus_u[at] / n_u - prior * minus_p[at] / n_p, (up[1] - down[1]) / 2 / e, atol=1e-5)
+
+
+def test_training_lowers_the_risk_and_turns_back_below_zero():
+    rows, sums = risk_rows()
+    # a prior above the share of positives drives the second part below zero
+    seconds = []
+
+    def watched(w, b):
+        seconds.append(plain_risk(rows, w, b, 0.6)[1])
+        return sums(w, b)
+
+    w, b, risks = toxicity.descend(watched, 9, 20, len(rows), 0.6, steps=200)
+    assert risks[-1] < risks[0] and min(seconds) < 0 and min(seconds) > -0.5
+    assert any(x < 0 and y > x for x, y in zip(seconds, seconds[1:]))
+    w, b, risks = toxicity.descend(sums, 9, 20, len(rows), 0.2)
+    assert risks[-1] < 0.8 * risks[0] and w[0] > 1 > w[1]
 
 
 def test_toxicity_held_out(spark, corpus):
@@ -47,7 +94,8 @@ def test_toxicity_held_out(spark, corpus):
     mine = [k for k in got if held(k)]
     right = sum((got[k]["predicted"] == 1) == (k % 7 == 0) for k in mine)
     assert len(mine) > 300 and right / len(mine) > 0.97
-    kept = {r["doc_id"] for r in toxicity.clean(docs, model).collect()}
+    assert {k: r["score"] for k, r in got.items()} == {r["doc_id"]: r["score"] for r in toxicity.learned_scores(docs, labels).collect()}
+    kept = {r["doc_id"] for r in toxicity.clean(docs, labels).collect()}
     assert kept == {k for k, r in got.items() if not r["predicted"]}
 
 
@@ -56,7 +104,8 @@ def test_toxicity_odd_rows(odd_docs, no_docs, corpus):
     rows = toxicity.scored(odd_docs, model).collect()
     assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert toxicity.scored(no_docs, model).count() == 0
-    assert toxicity.clean(odd_docs, model).columns == odd_docs.columns
+    assert toxicity.clean(odd_docs, corpus[1]).columns == odd_docs.columns
+    assert toxicity.clean(no_docs, corpus[1]).count() == 0
     empty = toxicity.train(no_docs, corpus[1])
     assert all(r["predicted"] == 0 for r in toxicity.scored(odd_docs, empty).collect())
 
@@ -126,6 +175,24 @@ def test_mixtures_are_found(corpus):
     assert model.mix("123 !!!") == [] and model.mix(None) == []
 
 
+def test_language_sets_equal_an_exhaustive_search():
+    """Over all sets of languages: the best penalised likelihood, each set by its own mixture."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet(np.full(langid.BUCKETS, 0.02), 4).T + 1e-7
+    model = langid.Model(["a", "b", "c", "d"], p / p.sum(axis=0))
+    for trial in range(12):
+        text = "".join(rng.choice(list("abcdefgh ij"), 60 + 40 * trial))
+        found, counts = langid.trigrams(text)
+        best = None
+        for size in range(1, 5):
+            for some in itertools.combinations(range(4), size):
+                share, got = langid.mixture(model.p[found][:, some], counts, rounds=500, tolerance=1e-6)
+                value = got / langid.OVERLAP - size * 0.5 * np.log(counts.sum() + 1)
+                if best is None or value > best[0] + 1e-6:
+                    best = (value, {model.names[k] for k in some})
+        assert {n for n, _ in model.mix(text)} == best[1], (trial, model.mix(text), best)
+
+
 def test_mixture_raises_the_likelihood():
     rng = np.random.default_rng(3)
     p, counts = rng.dirichlet(np.ones(50), 3).T + 1e-6, rng.integers(1, 9, 50)

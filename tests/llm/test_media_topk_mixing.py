@@ -94,8 +94,8 @@ def test_bounds_hold_and_cut():
     for n in topk.LEVELS:
         s = topk.segments(x, n)
         assert (s @ s.T + 1e-6 >= x @ x.T).all()
-    # vectors around sixty centres: whole groups fall to the bounds
-    x = np.floor(256 * (np.repeat(rng.normal(size=(60, 64)).cumsum(axis=1), 100, axis=0) + 0.3 * rng.normal(size=(6000, 64))))
+    # vectors around three hundred centres: whole groups fall to the bounds
+    x = np.floor(256 * (np.repeat(rng.normal(size=(300, 64)).cumsum(axis=1), 20, axis=0) + 0.3 * rng.normal(size=(6000, 64))))
     scores = x[:20] @ x.T
     np.fill_diagonal(scores, -np.inf)
     floor = np.sort(scores, axis=1)[:, -5]
