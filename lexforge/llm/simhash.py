@@ -25,15 +25,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import resemblance
+from lexforge.llm.caches import enter
 from lexforge.llm.components import components
-from lexforge.llm.shared import OWN, written
+from lexforge.llm.shared import OWN, discard, written
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
 STRIP = 1 << 15
+#: Fingerprints of a tile: few enough that the population counts of a cell, which spread over some sixteen values, tell its tiles apart.
+TILE = 128
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -62,6 +66,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, fp): ``fp`` is the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for batch in batches:
             fps = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
@@ -90,7 +95,7 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def link_tiles(fps: np.ndarray, side: np.ndarray | None, radius: int, tile: int = 1024) -> tuple[np.ndarray, int, int]:
+def link_tiles(fps: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE) -> tuple[np.ndarray, int, int]:
     """Local roots of the fingerprints of one group.
 
     ``side`` None compares all with all; else only side 0 with side 1. Returns
@@ -123,7 +128,7 @@ def link_tiles(fps: np.ndarray, side: np.ndarray | None, radius: int, tile: int
     return smallest[root], compared, skipped
 
 
-def near_links(classes: DataFrame, radius: int = 2, cell_size: int = 2048, cell_limit: int = 16384, tile: int = 1024) -> DataFrame:
+def near_links(classes: DataFrame, radius: int = 2, cell_size: int = 2048, cell_limit: int = 16384, tile: int = TILE) -> DataFrame:
     """Links (a, b), a > b, that connect the distinct ``fp`` within the radius.
 
     Each link joins two fingerprints of one component; all links together
@@ -201,20 +206,47 @@ def grouped(fps: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -
     )
 
 
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = resemblance.WIDTH, least: float = resemblance.LEAST) -> DataFrame:
+    """(id_col, fingerprint, component_id) by the Jaccard similarity of word
+    shingles: links join texts that reach ``least``, found by SimHash in
+    :mod:`resemblance`. ``fingerprint`` is the hash of a text's words.
+
+    Null and repeated ids, repeated rows and empty tables are as in
+    :func:`near_duplicates`; texts without words form one group.
+    """
+    keyed = written(resemblance.with_keys(docs, id_col, text_col, width), "keys")
+    same = keyed.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("sim").alias("sim"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = written(same, "classes")
+    fps = written(keyed.select("id", "fp"), "fps")
+    discard(keyed)
+    return grouped(fps, classes.select("fp", "first", "copies"), resemblance.similar_links(docs, classes, text_col, width, least), id_col)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id.
+    """``docs`` with one document of each group of :func:`similar`: that with the
+    smallest id.
 
     All columns stay. Rows that repeat an id are copies of one document, of
     which the row with the smallest text stays. Rows with a null id cannot be
     told apart and all stay, but a document with an id is never dropped for one
-    without.
+    without. An empty table gives an empty result.
     """
-    return first_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+    return first_of_each(docs, similar(docs, id_col, text_col, **options), id_col, text_col)
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    dropped = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col)
-    kept = docs.join(dropped, id_col, "left_anti").select(docs.columns)
-    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    rank = F.row_number().over(Window.partitionBy(id_col, f"{OWN}alone").orderBy(text_col))
-    return kept.withColumn(f"{OWN}alone", alone).withColumn(f"{OWN}rank", rank).filter(F.col(f"{OWN}rank") == 1).drop(f"{OWN}alone", f"{OWN}rank")
+    """Rows whose id is that of their component. Rows without an id are passed
+    by, so they meet in no task; texts are shuffled only where more than
+    ``resemblance.BROADCAST`` ids are dropped, and reduced before that where ids
+    repeat."""
+    dropped = written(groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "dropped")
+    few = F.broadcast(dropped) if dropped.count() <= resemblance.BROADCAST else dropped
+    kept = docs.filter(F.col(id_col).isNotNull()).join(few, id_col, "left_anti").select(docs.columns)
+    repeated = written(kept.groupBy(id_col).agg(F.count("*").alias(f"{OWN}n")).filter(F.col(f"{OWN}n") > 1).select(id_col), "repeated")
+    n = repeated.count()
+    if n:
+        few = F.broadcast(repeated) if n <= resemblance.BROADCAST else repeated
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        first = kept.join(few, id_col, "left_semi").groupBy(id_col).agg(F.min_by(whole, F.struct(F.col(text_col).isNotNull(), F.col(text_col))).alias(f"{OWN}row")).select(f"{OWN}row.*")
+        kept = kept.join(few, id_col, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

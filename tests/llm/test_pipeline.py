@@ -5,7 +5,8 @@ import public_tokenizers
 from tokenizers import Tokenizer as Library
 
 import corpus_pipeline
-from lexforge.llm import mixing, quality, simhash, toxicity
+from test_resemblance import plain_groups
+from lexforge.llm import mixing, quality, toxicity
 from lexforge.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -30,22 +31,8 @@ def test_stages_take_effect_and_match_plain_python(spark):
     kept = quality.resampled(frames["toxicity"], labels).filter("kept")
     assert set(rows(frames["quality"])) == {r["doc_id"] for r in kept.collect()}
 
-    left = rows(frames["quality"])
-    fps = {d: simhash.fingerprint(t) for d, t in left.items()}
-    root = {d: d for d in fps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(fps)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert set(rows(frames["near_duplicates"])) == {d for d in ids if find(d) == d}
+    left = sorted(rows(frames["quality"]).items())
+    assert set(rows(frames["near_duplicates"])) == {d for d, c in plain_groups(left).items() if c == d}
 
     want = mixing.mixed(frames["near_duplicates"]).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in frames["mixing"].groupBy("doc_id").count().collect()} == {r["doc_id"]: r["count"] for r in want}
@@ -65,6 +52,17 @@ def test_run_equals_the_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns."""
+    for docs in (odd_docs, no_docs):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, now, SF)
+            now = spark.createDataFrame(made.collect(), made.schema)
+            assert name == "tokens" or now.columns == corpus_pipeline.COLUMNS
+    assert now.count() == 0
+
+
 def test_every_operator_has_one_query():
     names = list(queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
