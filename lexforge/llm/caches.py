@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import weakref
 from sys import getsizeof as _size
 
 #: Bytes that the maps of one operator may hold in one worker, keys, values and table together.
-BUDGET = 96 << 20
+BUDGET = 48 << 20
 #: Longer keys are computed each time and not kept.
 LONGEST = 256
 #: A slot of a dictionary and its share of the free ones.
 SLOT = 104
 
-_MAPS: list[Kept] = []
+_MAPS: weakref.WeakSet[Kept] = weakref.WeakSet()
 
 
 def enter(owner: str) -> None:
     """Called when a task of any operator begins: what other operators have kept
     in this worker goes, so its memory is that of one operator."""
-    for kept in _MAPS:
+    for kept in list(_MAPS):
         if kept.owner != owner:
             kept.clear()
 
@@ -42,7 +43,7 @@ class Kept:
 
         self._generation = Generation
         self.clear()
-        _MAPS.append(self)
+        _MAPS.add(self)
 
     def clear(self) -> None:
         self.new, self.old, self.used = self._generation(), {}, 0

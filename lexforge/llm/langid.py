@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm.caches import enter
 from lexforge.llm.shared import held_out
 
 BUCKETS = 1 << 15
@@ -108,6 +109,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     that are not held out. A task adds up its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -142,6 +144,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid")
         for batch in batches:
             mixes = [shipped.value.mix(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.shared import OWN
+from lexforge.llm.shared import OWN, parts_for
 
 #: Largest mean that is inverted at once, and the terms of its distribution that are summed (the rest is below 2^-60).
 PART, TERMS = 16, 96
@@ -62,7 +62,7 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float]
     return weighed.select("source", "n", (share * F.lit(rows) / F.col("n")).alias("rate"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", copy_col: str | None = "copy_no", key_col: str | None = "shuffle_key") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str | None = "copy_no", key_col: str | None = "shuffle_key") -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in shuffled order.
 
     All columns stay; ``copy_col`` numbers the copies from 1 and ``key_col``
@@ -72,9 +72,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     leave either out.
 
     Defined results: null sources form one source, null ids hash as one id,
-    repeated rows are repeated alike, an empty table gives an empty result, and
-    columns of the input named like the two new ones are replaced.
+    repeated rows are repeated alike, an empty table gives an empty result. A
+    column of the input named like a new one is an error: choose another name.
     """
+    if taken := {copy_col, key_col} & set(docs.columns):
+        raise ValueError(f"the input has columns {sorted(taken)}")
     table = rates(docs, source_col, weights, temperature)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     table = table.withColumn(f"{OWN}parts", parts).withColumn(f"{OWN}steps", poisson_steps(F.col("rate") / F.col(f"{OWN}parts"))).select(F.col("source").alias(f"{OWN}source"), f"{OWN}parts", f"{OWN}steps")
@@ -86,11 +88,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     counted = joined.withColumn(f"{OWN}count", count).filter(F.col(f"{OWN}count") > 0)
     copies = counted.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}count"))))
     keyed = copies.withColumn(f"{OWN}key", F.md5(F.concat_ws("|", F.lit(f"{seed}:shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(f"{OWN}copy"))))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts_for(docs, text_col)
     dealt = keyed.repartition(n, f"{OWN}key").sortWithinPartitions(f"{OWN}key")
-    names = [c for c in docs.columns if c not in (copy_col, key_col)]
     extra = ([F.col(f"{OWN}copy").alias(copy_col)] if copy_col else []) + ([F.col(f"{OWN}key").alias(key_col)] if key_col else [])
-    return dealt.select(*names, *extra)
+    return dealt.select(*docs.columns, *extra)
 
 
 def oracle(table: str = "documents", temperature: float = 0.5, seed: int = 7) -> str:

@@ -217,19 +217,34 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, width: int)
     """(fp, shingles) of the classes in ``wanted`` (fp), one row for each: sorted
     32-bit hashes of the distinct shingles, as bytes."""
 
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    n = wanted.count()
+    # up to BROADCAST classes: eight bytes each
+    few = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("fp").to_numpy())) if n <= BROADCAST else None
+
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("simhash")
         for batch in batches:
-            fps = pa.array([class_of(words_of(t.as_py())) for t in batch.column(0)], pa.int64())
-            yield pa.RecordBatch.from_arrays([fps, batch.column(0)], names=["fp", "text"])
+            words = [words_of(t.as_py()) for t in batch.column(0)]
+            fps = np.array([class_of(w) for w in words], np.int64)
+            if few is None:
+                yield pa.RecordBatch.from_arrays([pa.array(fps), batch.column(0)], names=["fp", "text"])
+            else:
+                at = np.flatnonzero(np.isin(fps, few.value))
+                yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array([packed(words[k]) for k in at], pa.binary())], names=["fp", "shingles"])
+
+    def packed(words: list[bytes]) -> bytes:
+        return np.unique(shingle_hashes(words, width).astype(np.uint32)).tobytes()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), width).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(words_of(t.as_py())) for t in batch.column(1)], pa.binary())], names=["fp", "shingles"])
 
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(named, "fp long, text string").join(few, "fp", "left_semi")
-    return texts.mapInArrow(hashed, "fp long, shingles binary").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+    if few is not None:
+        sets = texts.mapInArrow(named, "fp long, shingles binary")
+    else:
+        sets = texts.mapInArrow(named, "fp long, text string").join(wanted, "fp", "left_semi").mapInArrow(hashed, "fp long, shingles binary")
+    return sets.groupBy("fp").agg(F.min("shingles").alias("shingles"))
 
 
 def similarity(a: bytes, b: bytes) -> float:

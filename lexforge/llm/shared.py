@@ -28,11 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
             folder = "file://" + os.path.join(tempfile.gettempdir(), "lexforge-shared")
         else:
             folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexforge_shared"
-    return folder.rstrip("/")
+    # with its scheme, so that Spark and the workers' own file access agree on the place
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/lexforge/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/lexforge/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -58,6 +60,25 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of text that one task of a full shuffle should get.
+PART_BYTES = 128 << 20
+
+
+def parts_for(df: DataFrame, text_col: str) -> int:
+    """Partitions for a shuffle of whole rows: from the bytes of their texts, and
+    no fewer than the session's shuffle partitions."""
+    total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder. To be
+    called when its results have been read."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lexforge/{sc.applicationId}")
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def part_files(df: DataFrame) -> list[str]:
     """Addresses of the data files of a frame made by :func:`written`."""
     sc = df.sparkSession.sparkContext
@@ -70,7 +91,9 @@ def opened_store(address: str):
     """The file system of an address, for workers, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri("file://" + address.removeprefix("file:") if address.startswith("file:/") and not address.startswith("file://") else address)
+    if address.startswith("file:/") and not address.startswith("file://"):
+        address = "file://" + address.removeprefix("file:")
+    return fs.FileSystem.from_uri(address) if "://" in address else (fs.LocalFileSystem(), address)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.caches import Kept, enter
-from lexforge.llm.shared import new_folder, written
+from lexforge.llm.shared import new_folder, opened_store, parts_for, written
 
 MAGIC = b"LFSSTB01"
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -191,13 +191,6 @@ class Reader:
         return out
 
 
-def _store(folder: str):
-    """The file system of a folder, for workers, and the folder's path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 class LibraryWords:
     """Encodes with the tokenizers library, each distinct word once.
 
@@ -253,8 +246,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
     its own and then renames, so a task that is run again leaves whole files.
     ``folder`` must be one that all executors see.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or parts_for(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -262,7 +254,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
         from pyspark import TaskContext
 
         words, writer, out = _words(path, end_id), None, None
-        store, base = _store(folder)
+        store, base = opened_store(folder)
         shard = TaskContext.get().partitionId()
         name, draft = f"{base}/shard-{shard:06d}.sst", f"{base}/_draft-{uuid.uuid4().hex}"
         for batch in batches:
@@ -290,7 +282,7 @@ def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Dat
     files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = _store(folder)
+        store, _ = opened_store(folder)
         for frame in frames:
             for file, size, start in zip(frame["file"], frame["size"], frame["before"]):
                 start, rows = int(start), []

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm.caches import enter
+
 # Fixed values of the format: tags, field types and their sizes, compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
@@ -143,6 +145,10 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Bytes of one page's samples at most; a larger page gives an error row.
+MAX_PAGE = 1 << 30
+
+
 @dataclass
 class Page:
     number: int
@@ -187,7 +193,8 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         at = struct.unpack_from(order + pointer, data, at + n * entry)[0]
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, need: int) -> bytes:
+    """The bytes of a strip or tile; deflate stops at the ``need`` bytes of its size."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
@@ -195,14 +202,23 @@ def _unpacked(data: bytes, compression: int) -> bytes:
     if compression == LZW:
         return lzw_decode(data)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need)
     raise TiffError(f"compression {compression} is not supported")
 
 
-def _block(raw: bytes, rows: int, columns: int, samples: int, dtype: np.dtype, predictor: int) -> np.ndarray:
-    need = rows * columns * samples * dtype.itemsize
+def _row_bytes(columns: int, samples: int, bits: int) -> int:
+    return (columns * samples * bits + 7) // 8
+
+
+def _block(raw: bytes, rows: int, columns: int, samples: int, bits: int, dtype: np.dtype, predictor: int) -> np.ndarray:
+    need = rows * _row_bytes(columns, samples, bits)
     if len(raw) < need:
         raise TiffError("a strip or tile is too short")
+    if bits < 8:  # rows begin at a byte; the first sample has the highest bits
+        if predictor != 1:
+            raise TiffError(f"predictor {predictor} is not supported with {bits} bits")
+        ones = np.unpackbits(np.frombuffer(raw[:need], np.uint8).reshape(rows, -1), axis=1)[:, : columns * samples * bits].reshape(rows, columns, samples, bits)
+        return (ones << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
     if predictor == 3:
         # bytes of a row's numbers are apart by significance, and differences of bytes
         planes = np.cumsum(np.frombuffer(raw[:need], np.uint8).reshape(rows, columns * dtype.itemsize, samples) if samples > 1 else np.frombuffer(raw[:need], np.uint8).reshape(rows, columns * dtype.itemsize, 1), axis=1, dtype=np.uint8)
@@ -225,22 +241,27 @@ def read_pages(data: bytes) -> Iterator[Page]:
         if not width or not height or len(set(tags.get(BITS, (1,)))) > 1:
             raise TiffError("a page lacks its size, or its samples differ in size")
         form = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1), "u")
-        if bits not in (8, 16, 32, 64) or form == "f" and bits < 16:
+        if bits not in (1, 2, 4, 8, 16, 32, 64) or form == "f" and bits < 16 or bits < 8 and form != "u":
             raise TiffError(f"{bits} bits a sample are not supported")
-        dtype = np.dtype(f"{order}{form}{bits // 8}")
+        if not all(isinstance(n, int) and 0 < n for n in (width, height, samples)) or width * height * samples * max(8, bits) > MAX_PAGE * 8:
+            raise TiffError(f"a page has no size, or one above {MAX_PAGE} bytes")
+        dtype = np.dtype(f"{order}{form}{max(8, bits) // 8}")
         planar = one(PLANAR, 1) == 2 and samples > 1
         planes, depth = (samples, 1) if planar else (1, samples)
         tiled = TILE_OFFSETS in tags
         tall, wide = (one(TILE_LENGTH), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+        if not all(isinstance(n, int) and 0 < n for n in (tall, wide)) or tall * wide * depth * max(8, bits) > MAX_PAGE * 8:
+            raise TiffError("a page lacks the size of its strips or tiles, or it is too large")
         offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
         across, down = -(-width // wide), -(-height // tall)
-        if len(offsets) < planes * across * down:
+        if min(len(offsets), len(counts)) < planes * across * down:
             raise TiffError("a page lacks strips or tiles")
         pixels = np.empty((height, width, samples), dtype.newbyteorder("="))
         for k in range(planes * across * down):
             plane, (y, x) = k // (across * down), divmod(k % (across * down), across)
             rows = tall if tiled else min(tall, height - y * tall)
-            got = _block(_unpacked(data[offsets[k] : offsets[k] + counts[k]], compression), rows, wide, depth, dtype, predictor)
+            need = rows * _row_bytes(wide, depth, bits)
+            got = _block(_unpacked(data[offsets[k] : offsets[k] + counts[k]], compression, need), rows, wide, depth, bits, dtype, predictor)
             y0, x0 = y * tall, x * wide
             h, w = min(rows, height - y0), min(wide, width - x0)
             if planar:
@@ -303,13 +324,15 @@ def pages(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
 
     ``pixels`` are the samples in row order, little-endian. Defined results: a
     null file gives no row; a file that is empty or damaged gives one row with
-    its ``error`` after the pages that could be read; null ids and repeated
+    its ``error`` after the pages that could be read, and so does one with a page
+    above ``MAX_PAGE`` bytes; samples of 1, 2 and 4 bits come one a byte; null ids and repeated
     rows stay; other columns are ignored.
     """
     kind = media.schema[id_col].dataType.simpleString()
     names = ["id", *(x.split()[0] for x in PAGE_SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tiff")
         for batch in batches:
             for k in range(batch.num_rows):
                 own, data, n = batch.column(0).slice(k, 1), batch.column(1)[k].as_py(), 0
@@ -320,7 +343,7 @@ def pages(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
                         n = p.number + 1
                         little = p.pixels.astype(p.pixels.dtype.newbyteorder("<"), copy=False).tobytes()
                         yield _row(own, [p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.layout, little, None])
-                except (TiffError, struct.error, zlib.error, KeyError, IndexError, MemoryError) as e:
+                except (TiffError, struct.error, zlib.error, LookupError, ValueError, TypeError, ArithmeticError, MemoryError) as e:
                     yield _row(own, [n, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"])
 
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()]
@@ -361,6 +384,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tiff")
         for batch in batches:
             rows = []
             for text in batch.column(1):

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -60,6 +61,35 @@ def test_long_texts_take_several_pages():
     assert len(pages) == 2 and b"".join(p.pixels.tobytes() for p in pages) == payload
 
 
+def test_damaged_files_give_error_rows(spark):
+    rng = random.Random(9)
+    nprng = np.random.default_rng(9)
+    whole = [tiff.write_tiff([nprng.integers(0, 255, (9, 11, 3)).astype(np.uint8)], compression=c, tile=t) for c in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE) for t in (None, 16)]
+    files = []
+    for _ in range(3000):
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        files.append(bytes(data[: rng.randrange(len(data))] if rng.random() < 0.2 else data))
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary")
+    rows = tiff.pages(df).collect()
+    assert {r["doc_id"] for r in rows} == set(range(3000)) and sum(r["error"] is not None for r in rows) > 500
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_samples_below_a_byte(bits):
+    rng = np.random.default_rng(bits)
+    pixels = rng.integers(0, 1 << bits, (5, 7)).astype(np.uint8)
+    ones = ((pixels[:, :, None] >> np.arange(bits - 1, -1, -1)) & 1).reshape(5, -1).astype(np.uint8)
+    strip = np.packbits(ones, axis=1).tobytes()
+    tags = [(256, 7), (257, 5), (258, bits), (259, 1), (262, 1), (273, 8), (277, 1), (278, 5), (279, len(strip))]
+    body = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags)
+    at = 8 + len(strip) + len(strip) % 2
+    data = b"II" + struct.pack("<HI", 42, at) + strip.ljust(at - 8, b"\0") + struct.pack("<H", len(tags)) + body + struct.pack("<I", 0)
+    page = next(tiff.read_pages(data))
+    assert (page.pixels[:, :, 0] == pixels).all() and page.bits == bits
+
+
 def plain_top(rows, k, every):
     fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
@@ -153,7 +183,9 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     assert mixing.mixed(odd_docs, weights={"nowhere": 1.0}).count() == 0
     assert mixing.mixed(odd_docs, copy_col=None, key_col=None).columns == odd_docs.columns
     clash = odd_docs.withColumnRenamed("batch", "copy_no")
-    assert mixing.mixed(clash).columns.count("copy_no") == 1
+    with pytest.raises(ValueError):
+        mixing.mixed(clash)
+    assert mixing.mixed(clash, copy_col="nth").columns == [*clash.columns, "nth", "shuffle_key"]
     keys = [r["shuffle_key"] for r in out.collect()]
     assert keys == [r["shuffle_key"] for r in mixing.mixed(odd_docs).collect()]
 
