@@ -21,3 +21,7 @@ LOW_QUALITY, MIN_QUALITY = 0.55, 0.45
 ALIGN = {"type": 0.25, "field": 0.30, "subject": 0.25, "family": 0.20}
 ALIGN_THRESHOLD = 0.38
 MEMORY_BONUS = {"project_rule": 0.35, "preference": 0.35, "task_progress": 0.25, "failure": 0.2}
+
+# Terms that say nothing about a claim's support, and those too general to be specific hits.
+SEMANTIC_STOP = ["本文", "研究", "提出", "方法", "模型", "系统", "算法", "具有", "paper", "method", "model", "system", "result", "study"]
+GENERIC = ["任务", "务规", "规划", "务机", "器人", "智能", "能体", "任务规划", "服务", "机器人", "服务机器人", "智能体", "多智能体", "论文", "研究", "问题", "场景", "系统"]

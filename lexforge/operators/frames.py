@@ -90,7 +90,7 @@ def search(queries: DataFrame, frames: DataFrame, k: int = 8, block: int = BLOCK
 
 def semantic_terms(c: Column, stop: list[str] | None = None) -> Column:
     found = T.terms(c, cjk_min=4, limit=16)
-    return F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(T.lit_array(stop or ["论文", "研究", "问题", "场景", "系统"]), F.lower(t)))
+    return F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(T.lit_array(stop or C.SEMANTIC_STOP), F.lower(t)))
 
 
 def semantic_support(pairs: DataFrame, conflict: list[str] | None = None) -> DataFrame:
@@ -104,8 +104,9 @@ def semantic_support(pairs: DataFrame, conflict: list[str] | None = None) -> Dat
     words = conflict or C.CONFLICT
     claim = semantic_terms(T.text_of("claim"))
     rows = pairs.withColumn("_c", claim).withColumn("_k", semantic_terms(T.text_of("core"))).withColumn("_k", F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.slice("_c", 1, 8))).withColumn("_u", semantic_terms(T.text_of("unit")))
-    hits, core = F.size(F.array_intersect("_c", "_u")), F.size(F.array_intersect("_k", "_u"))
-    rows = rows.withColumn("_h", hits).withColumn("_s", core)
+    hits, core = F.size(F.array_intersect("_c", "_u")), F.array_intersect("_k", "_u")
+    specific = F.filter(core, lambda t: ~F.array_contains(T.lit_array(C.GENERIC), F.lower(t)))
+    rows = rows.withColumn("_h", hits).withColumn("_s", F.size(core)).withColumn("_p", F.size(specific))
     cover, core_cover = F.col("_h") / F.greatest(F.lit(1), F.size("_c")), F.col("_s") / F.greatest(F.lit(1), F.size("_k"))
     score = F.least(F.lit(1.0), 0.55 * cover + 0.35 * core_cover + 0.10 * F.coalesce(F.col("confidence"), F.lit(0.6)))
     against = (F.col("_h") + F.col("_s") > 0) & (F.col("claim_type") != "limitation") & ~T.any_term(F.lower("claim"), words) & T.any_term(F.lower("unit"), words)
@@ -116,7 +117,7 @@ def semantic_support(pairs: DataFrame, conflict: list[str] | None = None) -> Dat
     there = F.col("unit_id").isNotNull()
     per = rows.groupBy("frame_id").agg(
         F.first("claim").alias("claim"), F.max(F.size("_c")).alias("n_terms"), F.count_if(there).alias("units"),
-        F.max(F.when(there, F.col("_score"))).alias("best"), F.max(F.when(there & F.col("_x"), F.col("_score"))).alias("best_conflict"), F.max(F.when(there, F.col("_cc"))).alias("core_cover"), F.max(F.when(there, F.col("_s"))).alias("core_hits"),
+        F.max(F.when(there, F.col("_score"))).alias("best"), F.max(F.when(there & F.col("_x"), F.col("_score"))).alias("best_conflict"), F.max(F.when(there, F.col("_cc"))).alias("core_cover"), F.max(F.when(there, F.col("_p"))).alias("core_hits"),
         ids(there & primary).alias("primary"), ids(there & weak).alias("weak"), ids(there & F.col("_x")).alias("contradictory"),
     )
     status = (
@@ -131,7 +132,10 @@ def semantic_support(pairs: DataFrame, conflict: list[str] | None = None) -> Dat
     )
     out = per.withColumn("status", status)
     value = F.when(F.col("status") == "contradicted", F.col("best_conflict")).when(F.col("status").isin("not_checked", "insufficient_evidence"), 0.0).otherwise(F.col("best"))
-    return out.select("frame_id", "status", value.alias("score"), risk(F.col("status")).alias("citation_risk"), *[F.array_join(c, ",").alias(c) for c in ("primary", "weak", "contradictory")])
+    # a contradiction names only what contradicts, and what is merely related has no primary evidence
+    shown = {"primary": ["semantically_supported", "partially_supported"], "weak": ["semantically_supported", "partially_supported", "related_only"], "contradictory": ["contradicted"]}
+    ids_of = [F.when(F.col("status").isin(s), F.array_join(c, ",")).otherwise("").alias(c) for c, s in shown.items()]
+    return out.select("frame_id", "status", F.round(F.round(value, 9), 3).alias("score"), risk(F.col("status")).alias("citation_risk"), *ids_of)
 
 
 def risk(status: Column) -> Column:

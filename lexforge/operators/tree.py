@@ -129,34 +129,27 @@ def noise_penalty(type_: Column, whole: Column, text: Column, intent: Column) ->
     )
 
 
-def select_nodes(scored: DataFrame, budget: int = 8, pool: int = 200) -> DataFrame:
+def select_nodes(scored: DataFrame, budget: int = 8) -> DataFrame:
     """A diverse choice of up to ``budget`` nodes for each query and document.
 
-    Nodes are taken by score; while fewer than half the budget are chosen, a
-    parent gives one node only, and nodes without text fill half the budget at
-    most. What is chosen depends on what was, so each query and document is
-    decided in one task, from its best ``pool`` nodes with text and as many
-    without.
+    In the order of their scores, the first half of the choice takes one node of
+    each parent (nodes without a parent are never in each other's way), and the
+    second half the best nodes with text that come after those. A group is the
+    nodes of one document for one query.
     """
     import pandas as pd
 
-    order = Window.partitionBy("query_id", "doc_id", "bare").orderBy(F.round("score", 9).desc(), "order_index", "node_id")
-    rows = scored.filter("type <> 'document'").withColumn("bare", F.col("text") == "").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pool)
+    rows = scored.filter("type <> 'document'").select("query_id", "doc_id", "node_id", "parent_id", "order_index", "score", (F.col("text") == "").alias("bare"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    half = max(2, budget // 2)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(s=frame["score"].round(9)).sort_values(["s", "bare", "order_index", "node_id"], ascending=[False, True, True, True])
-        chosen, parents = [], set()
-        for k, bare, parent in zip(frame.index, frame["bare"], frame["parent_id"]):
-            if len(chosen) >= budget:
-                break
-            if bare and len(chosen) >= max(1, budget // 2):
-                continue
-            if parent in parents and len(chosen) < max(2, budget // 2):
-                continue
-            chosen.append(k)
-            parents.add(parent)
-        out = frame.loc[chosen, ["query_id", "doc_id", "node_id", "score"]]
+        frame = frame.assign(s=frame["score"].round(9)).sort_values(["s", "bare", "order_index", "node_id"], ascending=[False, True, True, True], ignore_index=True)
+        if budget < 4:  # half of so small a budget is one node without text
+            frame = frame[(frame.index == 0) | ~frame["bare"]]
+        spread = frame[frame["parent_id"].isna() | ~frame["parent_id"].duplicated()].head(min(half, budget))
+        later = frame[(frame.index > spread.index[-1]) & ~frame["bare"]].head(budget - half if len(spread) == half < budget else 0)
+        out = pd.concat([spread, later])[["query_id", "doc_id", "node_id", "score"]]
         return out.assign(place=range(1, len(out) + 1))
 
     return rows.groupBy("query_id", "doc_id").applyInPandas(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, node_id {kinds['node_id']}, score double, place int")

@@ -33,16 +33,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_nodes(table(spark, sf_dir, "documents"))
 
 
-def passages(spark: SparkSession, sf_dir: str, length: int = 160) -> DataFrame:
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as a batch of queries: (query_id, query)."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, length).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as queries, each with a word that shows an intent."""
     words = F.array(*[F.lit(w) for w in TURN_WORDS])
     rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.concat_ws(" ", F.substring("text", 1, 200), F.element_at(words, (F.pmod("conv_id", F.lit(len(TURN_WORDS))) + 1).cast("int"))).alias("query"))
+    return rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.concat_ws(" ", F.col("text"), F.element_at(words, (F.pmod("conv_id", F.lit(len(TURN_WORDS))) + 1).cast("int"))).alias("query"))
 
 
 TURN_WORDS = ["compare", "survey", "cite", "limitation", "metric 5", "model", "and more", "difference of method", "overview"]
@@ -55,9 +55,9 @@ nodes AS (SELECT doc_id || ':' || i AS node_id, doc_id, i AS order_index, text F
 
 SQL_LINES = r"""nodes AS (SELECT doc_id || ':' || i AS node_id, doc_id, i AS order_index, text FROM (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) WHERE trim(text) <> '')"""
 
-SQL_PASSAGES = "queries AS (SELECT item_id AS query_id, substr(text, 1, 160) AS query FROM benchmark)"
+SQL_PASSAGES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
-SQL_TURNS = "queries AS (SELECT conv_id || '-' || turn AS query_id, substr(text, 1, 200) || ' ' || (" + str(TURN_WORDS) + ")[conv_id % " + str(len(TURN_WORDS)) + " + 1] AS query FROM conversations)"
+SQL_TURNS = "queries AS (SELECT conv_id || '-' || turn AS query_id, text || ' ' || (" + str(TURN_WORDS) + ")[conv_id % " + str(len(TURN_WORDS)) + " + 1] AS query FROM conversations)"
 
 SQL_QUERY_TERMS = r"""asked AS (SELECT query_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT query_id, regexp_extract_all(query, '[\p{L}\p{N}_]+') AS w FROM queries)),
 firsts AS (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS r FROM asked GROUP BY query_id, token),

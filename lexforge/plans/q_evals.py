@@ -16,8 +16,8 @@ from lexforge.plans.registry import query
 
 
 def _expected(spark, sf_dir):
-    """Documents that hold the first 60 characters of an item."""
-    items = I.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("term"))
+    """Documents that hold an item's text."""
+    items = I.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
     docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("hay"))
     return contained(docs, items).join(items, "term").select("query_id", "item")
 
@@ -26,7 +26,7 @@ RESULTS = WITH + """,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), node_id) AS r FROM bm25) WHERE r <= 200),
 docs AS (SELECT query_id, doc_id, count(*) AS m, round(min(score), 9) AS best FROM top GROUP BY query_id, doc_id),
 results AS (SELECT * FROM (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY best, m DESC, doc_id) AS rank FROM docs) WHERE rank <= 5),
-expected AS (SELECT DISTINCT item_id AS query_id, d.doc_id AS item FROM benchmark JOIN documents d ON contains(d.text, substr(benchmark.text, 1, 60))),
+expected AS (SELECT DISTINCT item_id AS query_id, d.doc_id AS item FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)),
 hits AS (SELECT r.query_id, count(*) AS h, min(rank) AS f FROM results r JOIN expected e ON r.query_id = e.query_id AND r.item = e.item GROUP BY 1),
 per AS (SELECT q.query_id, coalesce(e.n, 0) AS n_expected, coalesce(g.n, 0) AS n_results, coalesce(h, 0) AS h, f FROM queries q LEFT JOIN (SELECT query_id, count(*) AS n FROM expected GROUP BY 1) e USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM results GROUP BY 1) g USING (query_id) LEFT JOIN hits USING (query_id)),
 metrics AS (SELECT query_id, CASE WHEN n_expected = 0 THEN 1.0::DOUBLE ELSE h / n_expected END AS recall, CASE WHEN n_expected = 0 THEN 1.0::DOUBLE WHEN n_results = 0 THEN 0.0::DOUBLE ELSE h / n_results END AS precision, CASE WHEN n_expected = 0 THEN 1.0::DOUBLE WHEN f IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / f END AS mrr, n_results, n_expected FROM per)"""
@@ -87,12 +87,12 @@ def next_actions(spark, sf_dir):
 
 
 @query("eval_suite_dedupe", r"""
-WITH a AS (SELECT trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS query, 'x' AS intent, item_id AS position, 0 AS part FROM benchmark), b AS (SELECT trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS query, role AS intent, conv_id * 1000 + turn AS position, 1 AS part FROM conversations),
+WITH a AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS query, 'x' AS intent, item_id AS position, 0 AS part FROM benchmark), b AS (SELECT trim(regexp_replace(text, '\s+', ' ', 'g')) AS query, role AS intent, conv_id * 1000 + turn AS position, 1 AS part FROM conversations),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY part, position) AS r FROM u WHERE query <> '')
 SELECT query, part::INT AS part FROM f WHERE r = 1 ORDER BY part, position, query LIMIT 500""")
 def eval_suite_dedupe(spark, sf_dir):
-    first = I.table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("query"), F.lit("x").alias("intent"), F.col("item_id").alias("position"))
-    second = I.table(spark, sf_dir, "conversations").select(F.substring("text", 1, 60).alias("query"), F.col("role").alias("intent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"))
+    first = I.table(spark, sf_dir, "benchmark").select(F.col("text").alias("query"), F.lit("x").alias("intent"), F.col("item_id").alias("position"))
+    second = I.table(spark, sf_dir, "conversations").select(F.col("text").alias("query"), F.col("role").alias("intent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"))
     return E.eval_suite(first, second).select("query", "part")
 
 
@@ -228,12 +228,12 @@ def chunk_paragraphs(spark, sf_dir):
 
 
 @query("metadata_extract", r"""
-WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'In ' || (1950 + doc_id % 90) || ' doi 10.1234/ab.' || doc_id || ' ' ELSE '' END || substr(text, 1, 200) AS x FROM documents)
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'In ' || (1950 + doc_id % 90) || ' doi 10.1234/ab.' || doc_id || ' ' ELSE '' END || text AS x FROM documents)
 SELECT doc_id, try_cast(nullif(regexp_extract(x, '\b(19\d{2}|20\d{2})\b', 1), '') AS INT) AS year, nullif(regexp_extract(x, '(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)', 1), '') AS doi FROM t""")
 def metadata_extract(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents")
     head = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("In "), F.lit(1950) + F.col("doc_id") % 90, F.lit(" doi 10.1234/ab."), F.col("doc_id"), F.lit(" "))).otherwise("")
-    x = F.concat(head, F.substring("text", 1, 200))
+    x = F.concat(head, F.col("text"))
     return d.select("doc_id", T.year(x).alias("year"), T.doi(x).alias("doi"))
 
 
@@ -247,8 +247,8 @@ def noise_reasons(spark, sf_dir):
 
 
 @query("text_functions", r"""
-SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')[1:10], ' ') || ' ...' AS first_words, 'doc_' || substr(sha256(doc_id || chr(31) || source), 1, 16) AS stable_id, substr(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), 1, 40) AS fact_key
-FROM documents WHERE length(text) > 400""")
+SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')[1:10], ' ') || CASE WHEN len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) > 10 THEN ' ...' ELSE '' END AS first_words, 'doc_' || substr(sha256(doc_id || chr(31) || source), 1, 16) AS stable_id, substr(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), 1, 40) AS fact_key
+FROM documents""")
 def text_functions(spark, sf_dir):
-    d = I.table(spark, sf_dir, "documents").filter(F.length("text") > 400)
+    d = I.table(spark, sf_dir, "documents")
     return d.select("doc_id", T.first_words(F.col("text"), 10).alias("first_words"), T.stable_id("doc", F.col("doc_id"), F.col("source")).alias("stable_id"), T.fact_key(F.col("text"), 40).alias("fact_key"))

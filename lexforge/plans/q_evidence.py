@@ -100,12 +100,12 @@ def eval_set_from_feedback(spark, sf_dir):
 
 
 @query("quality_baseline", CLAIMS + """,
-f AS (SELECT doc_id, count(*) AS n FROM keyed WHERE doc_id % 7 <> 0 GROUP BY doc_id)
+f AS (SELECT doc_id, count(*) AS n FROM keyed GROUP BY doc_id)
 SELECT source, count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS weak_documents, coalesce(sum(n), 0)::BIGINT AS facts, count(*) FILTER (WHERE n IS NULL) AS without_facts FROM documents LEFT JOIN f USING (doc_id) GROUP BY source""")
 def quality_baseline(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").select("doc_id", "source")
     quality = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "weak").otherwise("usable").alias("quality_level"))
-    return V.quality_baseline(d, _claims(spark, sf_dir).filter("doc_id % 7 <> 0"), quality).select("source", "documents", "weak_documents", "facts", "without_facts")
+    return V.quality_baseline(d, _claims(spark, sf_dir), quality).select("source", "documents", "weak_documents", "facts", "without_facts")
 
 
 @query("snippets", None)

@@ -17,11 +17,9 @@ FAMILIES = {"alpha": ["theand", "leque"], "beta": ["onth", "aux"], "gamma": ["ch
 NEGATIVE, POSITIVE = ["this", "pas", "nicht"], ["with", "avec", "mit"]
 
 
-def _frames(spark, sf_dir, whole=False):
-    """Claims as frames: whole claims of all lines, or, as the SQL has them, the
-    first 200 characters of those of the first line of each document."""
-    rows = _claims(spark, sf_dir)
-    rows, text = (rows, F.col("text")) if whole else (rows.filter("position < 5"), F.substring("text", 1, 200))
+def _frames(spark, sf_dir):
+    """All claims as frames."""
+    rows, text = _claims(spark, sf_dir), F.col("text")
     return rows.select(
         F.col("fact_id").alias("frame_id"), "doc_id", F.col("type").alias("claim_type"), text.alias("short_claim"), "confidence", "source", "position",
         F.when(F.col("type") == "limitation", text).otherwise("").alias("problem"), F.when(F.col("type") == "method", text).otherwise("").alias("method"),
@@ -34,8 +32,8 @@ def _frames(spark, sf_dir, whole=False):
 
 STATUSES = ["semantically_supported", "partially_supported", "related_only", "insufficient_evidence", "contradicted", "not_checked"]
 FRAMES = CLAIMS + f""",
-frames AS (SELECT fact_id AS frame_id, doc_id, type AS claim_type, substr(text, 1, 200) AS short_claim, confidence, position, type, doc_id % 4 AS n_units, ((position * 7 + doc_id) % 10) / 10.0::DOUBLE AS quality_score,
-  (['structurally_supported','unchecked','unsupported'])[doc_id % 3 + 1] AS support_status, ({STATUSES})[doc_id % 6 + 1] AS semantic FROM keyed WHERE position < 5)"""
+frames AS (SELECT fact_id AS frame_id, doc_id, type AS claim_type, text AS short_claim, confidence, position, type, doc_id % 4 AS n_units, ((position * 7 + doc_id) % 10) / 10.0::DOUBLE AS quality_score,
+  (['structurally_supported','unchecked','unsupported'])[doc_id % 3 + 1] AS support_status, ({STATUSES})[doc_id % 6 + 1] AS semantic FROM keyed)"""
 
 
 def _list(words):
@@ -52,18 +50,13 @@ def frame_normalize(spark, sf_dir):
     return _normal(spark, sf_dir).select("frame_id", "normalized_subject", "method_family", "metric", "polarity")
 
 
-@query("frame_normalize_whole")
-def frame_normalize_whole(spark, sf_dir):
-    return _normal(spark, sf_dir, True).select("frame_id", "normalized_subject", "method_family", "metric", "polarity")
-
-
-def _normal(spark, sf_dir, whole=False):
-    return R.normalized(_frames(spark, sf_dir, whole), FAMILIES, METRICS, NEGATIVE, POSITIVE)
+def _normal(spark, sf_dir):
+    return R.normalized(_frames(spark, sf_dir), FAMILIES, METRICS, NEGATIVE, POSITIVE)
 
 
 SCORE = f"""
-asked AS (SELECT item_id AS query_id, regexp_extract_all(substr(text, 1, 60), '[A-Za-z][A-Za-z0-9_-]{{2,}}') AS w FROM benchmark WHERE item_id < 20),
-dedup AS (SELECT query_id, list_distinct(w) AS w FROM asked),
+asked AS (SELECT item_id AS query_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{{2,}}') AS w FROM benchmark),
+dedup AS (SELECT query_id, list_filter(w, lambda t, i: list_position(w, t) = i)[1:16] AS w FROM asked),
 scored AS (SELECT query_id, frame_id, (2.0::DOUBLE + CASE claim_type WHEN 'method' THEN 1.5 WHEN 'result' THEN 1.3 WHEN 'limitation' THEN 2.4 ELSE 0 END) * len(list_filter(w, lambda t: contains(lower(short_claim), lower(t)))) + 0.2 * n_units + 0.3 * confidence + 0.5 * quality_score
   + CASE support_status WHEN 'structurally_supported' THEN 0.4 WHEN 'unchecked' THEN 0.15 ELSE -1.2 END + CASE semantic WHEN 'semantically_supported' THEN 0.6 WHEN 'partially_supported' THEN 0.25 WHEN 'related_only' THEN -0.5 WHEN 'insufficient_evidence' THEN -1.0 WHEN 'contradicted' THEN -2.0 ELSE 0 END AS score
   FROM dedup CROSS JOIN frames WHERE quality_score >= {C.MIN_QUALITY} AND support_status <> 'unsupported'),
@@ -72,19 +65,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 @query("frame_score", FRAMES + "," + SCORE + " SELECT query_id, rank::INT AS rank, frame_id, round(score::DOUBLE, 3) AS score FROM ranked WHERE rank <= 8")
 def frame_score(spark, sf_dir):
-    asked = I.table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
-    return R.search(asked, _frames(spark, sf_dir), 8)
-
-
-@query("frame_score_whole")
-def frame_score_whole(spark, sf_dir):
-    asked = I.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return R.search(asked, _frames(spark, sf_dir, True), 8)
+    return R.search(I.passages(spark, sf_dir), _frames(spark, sf_dir), 8)
 
 
 @query("frame_quality")
 def frame_quality(spark, sf_dir):
-    f = _frames(spark, sf_dir, True)
+    f = _frames(spark, sf_dir)
     score = R.quality_score(F.col("short_claim"), F.col("n_units"), F.lit("claim"), F.col("claim_type"), F.col("confidence"))
     return f.select("frame_id", F.round(score, 3).alias("quality_score"), R.quality_level(score).alias("frame_quality"))
 
@@ -92,37 +78,44 @@ def frame_quality(spark, sf_dir):
 TERMS3 = "list_distinct(regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9_-]{{2,}}'))"
 
 
+STOP = ' AND lower(w) NOT IN (' + ", ".join(f"'{x}'" for x in C.SEMANTIC_STOP) + ')'
+RISKS = " ".join(f"WHEN '{s}' THEN '{r}'" for s, r in C.RISK.items())
+
+
 @query("semantic_support", FRAMES + r""",
-firsts AS (SELECT doc_id, node_id, text, order_index FROM nodes WHERE order_index <= 3),
+firsts AS (SELECT doc_id, node_id, text, order_index FROM nodes),
 words(frame_id, w, p) AS (SELECT frame_id, unnest(w), unnest(range(len(w))) FROM (SELECT frame_id, regexp_extract_all(short_claim, '[A-Za-z][A-Za-z0-9_-]{2,}') AS w FROM frames)),
-cterms AS (SELECT frame_id, list(w ORDER BY r) AS c FROM (SELECT frame_id, w, row_number() OVER (PARTITION BY frame_id ORDER BY min(p)) AS r FROM words GROUP BY frame_id, w) WHERE r <= 16 GROUP BY frame_id),
+cterms AS (SELECT frame_id, list(w ORDER BY r) AS c FROM (SELECT frame_id, w, row_number() OVER (PARTITION BY frame_id ORDER BY min(p)) AS r FROM words GROUP BY frame_id, w) WHERE r <= 16{STOP} GROUP BY frame_id),
 uwords(node_id, w, p) AS (SELECT node_id, unnest(w), unnest(range(len(w))) FROM (SELECT node_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{2,}') AS w FROM firsts)),
-uterms AS (SELECT node_id, list(w) AS u FROM (SELECT node_id, w, row_number() OVER (PARTITION BY node_id ORDER BY min(p)) AS r FROM uwords GROUP BY node_id, w) WHERE r <= 16 GROUP BY node_id),
+uterms AS (SELECT node_id, list(w) AS u FROM (SELECT node_id, w, row_number() OVER (PARTITION BY node_id ORDER BY min(p)) AS r FROM uwords GROUP BY node_id, w) WHERE r <= 16{STOP} GROUP BY node_id),
 pairs AS (SELECT f.frame_id, f.claim_type, f.short_claim AS claim, n.node_id, n.text AS unit, coalesce(c.c, []) AS c, coalesce(u.u, []) AS u FROM frames f JOIN firsts n ON f.doc_id = n.doc_id LEFT JOIN cterms c ON f.frame_id = c.frame_id LEFT JOIN uterms u ON n.node_id = u.node_id),
 cored AS (SELECT *, c[1:8] AS k FROM pairs),
 counted AS (SELECT *, len(list_intersect(c, u)) AS h, len(list_intersect(k, u)) AS s FROM cored),
 scored AS (SELECT *, least(1.0, 0.55 * h / greatest(1, len(c)) + 0.35 * s / greatest(1, len(k)) + 0.06)::DOUBLE AS score, s / greatest(1, len(k)) AS cc, (h + s > 0) AND claim_type <> 'limitation' AND NOT contains(lower(claim), 'idiot') AND contains(lower(unit), 'idiot') AS x FROM counted),
-per AS (SELECT frame_id, any_value(len(c)) AS n, max(score) AS best, max(score) FILTER (WHERE x) AS bc, max(cc) AS cc, max(s) AS s, count(*) FILTER (WHERE score >= 0.5 AND (s > 0 OR h >= 3)) AS prim, count(*) FILTER (WHERE NOT (score >= 0.5 AND (s > 0 OR h >= 3)) AND (score >= 0.18 OR h > 0 OR s > 0)) AS weak, count(*) FILTER (WHERE x) AS con FROM scored GROUP BY frame_id)
-SELECT frame_id, CASE WHEN n = 0 THEN 'not_checked' WHEN con > 0 THEN 'contradicted' WHEN prim > 0 AND best >= 0.58 AND cc >= 0.65 AND s >= 2 THEN 'semantically_supported' WHEN prim > 0 OR s > 0 THEN 'partially_supported' WHEN weak > 0 THEN 'related_only' ELSE 'insufficient_evidence' END AS status FROM per""")
+per AS (SELECT frame_id, any_value(len(c)) AS n, max(score) AS best, max(score) FILTER (WHERE x) AS bc, max(cc) AS cc, max(s) AS s,
+  list_sort(list(DISTINCT node_id) FILTER (WHERE score >= 0.5 AND (s > 0 OR h >= 3)))[1:8] AS prim, list_sort(list(DISTINCT node_id) FILTER (WHERE NOT (score >= 0.5 AND (s > 0 OR h >= 3)) AND (score >= 0.18 OR h > 0 OR s > 0)))[1:8] AS weak, list_sort(list(DISTINCT node_id) FILTER (WHERE x))[1:8] AS con FROM scored GROUP BY frame_id),
+decided AS (SELECT *, CASE WHEN n = 0 THEN 'not_checked' WHEN len(con) > 0 THEN 'contradicted' WHEN len(prim) > 0 AND best >= 0.58 AND cc >= 0.65 AND s >= 2 THEN 'semantically_supported' WHEN len(prim) > 0 OR s > 0 THEN 'partially_supported' WHEN len(weak) > 0 THEN 'related_only' ELSE 'insufficient_evidence' END AS status FROM per)
+SELECT frame_id, status, round(round(CASE status WHEN 'contradicted' THEN bc WHEN 'not_checked' THEN 0.0::DOUBLE WHEN 'insufficient_evidence' THEN 0.0::DOUBLE ELSE best END, 9), 3) AS score,
+  CASE status {RISKS} ELSE 'not_checked' END AS citation_risk,
+  CASE WHEN status IN ('semantically_supported', 'partially_supported') THEN coalesce(array_to_string(prim, ','), '') ELSE '' END AS "primary",
+  CASE WHEN status IN ('semantically_supported', 'partially_supported', 'related_only') THEN coalesce(array_to_string(weak, ','), '') ELSE '' END AS weak,
+  CASE WHEN status = 'contradicted' THEN array_to_string(con, ',') ELSE '' END AS contradictory FROM decided""".replace("{STOP}", STOP).replace("{RISKS}", RISKS))
 def semantic_support(spark, sf_dir):
-    return _support(_frames(spark, sf_dir), I.lines(spark, sf_dir).filter("order_index <= 3"))
-
-
-@query("semantic_support_whole")
-def semantic_support_whole(spark, sf_dir):
-    return _support(_frames(spark, sf_dir, True), I.lines(spark, sf_dir))
+    return _support(_frames(spark, sf_dir), I.lines(spark, sf_dir))
 
 
 def _support(frames, lines):
     f = frames.select("frame_id", "doc_id", "claim_type", F.col("short_claim").alias("claim"), F.lit("").alias("core"))
     units = lines.select("doc_id", F.col("node_id").alias("unit_id"), F.col("text").alias("unit"), F.lit(0.6).alias("confidence"))
-    return R.semantic_support(f.join(units, "doc_id"), ["idiot"]).select("frame_id", "status")
+    return R.semantic_support(f.join(units, "doc_id"), ["idiot"])
 
 
 def _aligned(spark, sf_dir):
-    n = _normal(spark, sf_dir)
+    """The eight frames that each benchmark item finds, in normal form."""
+    found = R.search(I.passages(spark, sf_dir), _frames(spark, sf_dir), 8).select("query_id", "frame_id")
+    n = found.join(_normal(spark, sf_dir), "frame_id")
     return n.select(
-        F.col("source").alias("query_id"), "claim_type", "frame_id", "doc_id", (F.col("doc_id") * 10 + F.col("position")).alias("position"), "polarity",
+        "query_id", "claim_type", "frame_id", "doc_id", (F.col("doc_id") * 10 + F.col("position")).alias("position"), "polarity",
         F.when(F.col("metric") == "", F.array().cast("array<string>")).otherwise(F.split("metric", "、")).alias("metric_terms"), T.terms(F.col("condition")).alias("setting_terms"),
         F.slice(F.filter(T.terms(F.lower("normalized_subject")), lambda t: F.length(t) >= 8), 1, 8).alias("subject_terms"), F.when(F.col("method_family") == "method_unspecified", "").otherwise(F.col("method_family")).alias("method_family"),
     )
@@ -146,8 +139,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY s
 kept AS (SELECT * FROM ranked WHERE rank <= 8)"""
 
 
-def _buckets(spark, sf_dir, whole=False):
-    f = _frames(spark, sf_dir, whole)
+def _buckets(spark, sf_dir):
+    f = _frames(spark, sf_dir)
     return R.answer_buckets(f.select((F.col("doc_id") % 50).alias("query_id"), "doc_id", "frame_id", "short_claim", F.col("confidence").alias("score"), "semantic_support_status", R.risk(F.col("semantic_support_status")).alias("citation_risk")))
 
 
@@ -156,18 +149,9 @@ def answer_buckets(spark, sf_dir):
     return _buckets(spark, sf_dir)
 
 
-@query("answer_buckets_whole")
-def answer_buckets_whole(spark, sf_dir):
-    return _buckets(spark, sf_dir, True)
-
-
 @query("answerability", BUCKETS + """
 SELECT query_id, CASE WHEN bool_or(bucket = 'conflicting_claims') THEN 'conflicting' WHEN bool_or(bucket = 'strong_claims') THEN 'answerable' WHEN bool_or(bucket = 'qualified_claims') THEN 'partially_answerable' ELSE 'insufficient_evidence' END AS answerability,
   concat_ws(',', CASE WHEN bool_or(bucket = 'conflicting_claims') THEN 'answer_plan_conflicting_claims' END, CASE WHEN bool_or(bucket = 'insufficient_claims') AND NOT bool_or(bucket IN ('strong_claims', 'qualified_claims')) THEN 'answer_plan_insufficient_evidence' END, CASE WHEN bool_or(bucket = 'unchecked_claims') THEN 'answer_plan_unchecked_claims' END) AS warnings FROM kept GROUP BY query_id""")
 def answerability(spark, sf_dir):
     return R.answerability(_buckets(spark, sf_dir))
 
-
-@query("answerability_whole")
-def answerability_whole(spark, sf_dir):
-    return R.answerability(_buckets(spark, sf_dir, True))

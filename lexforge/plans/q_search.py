@@ -182,13 +182,13 @@ def rerank_penalty(spark, sf_dir):
 
 @query("routing_score", "WITH " + I.SQL_PASSAGES + ",\n" + FALLBACK.replace("terms AS", "first10 AS") + r""",
 wanted AS (SELECT DISTINCT query_id, lower(term) AS term FROM found),
-docs AS (SELECT doc_id, lower(source) AS title, lower(substr(text, 1, 300)) AS abstract, lower(lang) AS keywords FROM documents),
+docs AS (SELECT doc_id, lower(source) AS title, lower(text) AS abstract, lower(lang) AS keywords FROM documents),
 hits AS (SELECT query_id, doc_id, contains(title, term)::INT AS a, contains(abstract, term)::INT AS b, contains(keywords, term)::INT AS c FROM wanted JOIN docs ON contains(title, term) OR contains(abstract, term) OR contains(keywords, term)),
 scored AS (SELECT query_id, doc_id, round(3.0::DOUBLE * least(6, sum(a)) + 2.5::DOUBLE * least(6, sum(b)) + 2.0::DOUBLE * least(6, sum(c)), 3) AS routing_score FROM hits GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY routing_score DESC, doc_id) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, doc_id, routing_score FROM ranked WHERE rank <= 8""")
 def routing_score(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.substring("text", 1, 300).alias("abstract"), F.col("lang").alias("keywords"))
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("keywords"))
     return hybrid.route(I.passages(spark, sf_dir), docs, k=8).select("query_id", "rank", "doc_id", "routing_score")
 
 
