@@ -140,7 +140,8 @@ def gradient(rows: list[np.ndarray], positive: np.ndarray, count: np.ndarray, w:
 
 
 def descend(sums, n_features: int, n_p: float, n_u: float, prior: float, steps: int = STEPS, rate: float = RATE, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float, list[float]]:
-    """Weights, bias and the risk of each step. ``sums(w, b)`` gives what
+    """Weights and bias of the step of least risk whose second part is not
+    negative, and the risk of each step. ``sums(w, b)`` gives what
     :func:`gradient` does over all rows."""
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v, risks = np.zeros(n_features + 1), np.zeros(n_features + 1), []
@@ -148,12 +149,14 @@ def descend(sums, n_features: int, n_p: float, n_u: float, prior: float, steps:
         plus, minus_p, minus_u = np.split(sums(w, b), 3)
         plus, minus = prior * plus / n_p, minus_u / n_u - prior * minus_p / n_p
         risks.append(float(plus[0] + max(0.0, minus[0])))
+        if t == 1 or minus[0] >= -beta and risks[-1] <= least:
+            best, least = (w, b), risks[-1]
         slope = -gamma * minus[1:] if minus[0] < -beta else plus[1:] + minus[1:]
         slope = np.append(slope[1:] + decay * w, slope[0])
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, b, risks
+    return *best, risks
 
 
 def _design(marked: DataFrame, place: np.ndarray) -> DataFrame:
