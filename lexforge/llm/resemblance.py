@@ -11,13 +11,16 @@ compatible sizes are candidates, which are then checked by their shingles.
 
 How it stays whole and bounded. Texts of equal words are one class. A round
 takes, for each class in each cell, its nearest candidates that are not in its
-component yet, at most ``FIRST`` in the first round and four times as many in
-each further one; pairs once checked are not checked again. Rounds end when no
+component yet, at most ``FIRST`` in the first round and ``GROWTH`` times as many
+in each further one; pairs once checked are not checked again. Rounds end when no
 class has an untried candidate outside its component, so no link is lost, and a
 group of near copies costs a few checks for each member instead of all pairs. A
 cell above ``LIMIT`` classes is dealt into parts. In the first round its smallest
 class meets every part, and from the second on only the classes outside the
-cell's commonest component do, for that component needs no check within.
+cell's commonest component do, for that component needs no check within. Pairs
+are checked where they met: a class's shingles go once to each cell in which it
+has pairs, not once with each pair; texts of over ``LONG`` shingles go with
+their pairs, so that no cell holds many long ones.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ from lexforge.llm.shared import discard, written
 SEED = 42
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS, RADIUS = 20, 5, 16
-FIRST, GROWTH, ROUNDS = 2, 4, 12
+FIRST, GROWTH, ROUNDS = 2, 16, 12
 LIMIT = 4096
+#: Distinct shingles of the longest text that is held with others of its cell, and shares that a part's pairs are dealt into.
+LONG, SHARES = 2048, 4
 #: Shingles hashed, and fingerprints compared, at a time.
 STRIP, TILE = 1 << 12, 512
 #: Classes that may be broadcast: 8 bytes each.
@@ -164,7 +169,8 @@ def _small(cell: np.ndarray, fp, sim, n, root, most: int, least: float, radius:
 
 
 def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, radius: int) -> DataFrame:
-    """(a, b, whole) of one round: pairs a > b, and whether a task left any out."""
+    """(a, b, whole, cell, part, long) of one round: pairs a > b, whether a task
+    left any out, one place where they met, and whether a text is above ``LONG``."""
     most = FIRST * GROWTH**turn
     labelled = members.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_root = labelled.groupBy("cell", "root").agg(F.count("*").alias("c"), F.min("fp").alias("low"))
@@ -190,9 +196,14 @@ def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, r
                 a, b, all_of, _, _ = nearest(*(rows[k][at] for k in ("fp", "sim", "n", "root")), most, least, radius)
                 pairs.append((at[a], at[b]))
                 whole &= all_of
-            a, b = (rows["fp"][np.concatenate([p[k] for p in pairs])] for k in range(2))
-            out = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(np.full(out.shape[1], whole))], names=["a", "b", "whole"])
+            a, b = (np.concatenate([p[k] for p in pairs]) for k in range(2))
+            high, low = np.maximum(rows["fp"][a], rows["fp"][b]), np.minimum(rows["fp"][a], rows["fp"][b])
+            order = np.lexsort((cell[a], low, high))
+            first = np.append(True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))[: len(order)]
+            at = order[first]
+            long = np.maximum(rows["n"][a], rows["n"][b])[at] > LONG
+            columns = [high[at], low[at], np.full(len(at), whole), rows["cell"][a[at]], rows["part"][a[at]], long]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "whole", "cell", "part", "long"])
 
         held = None
         for batch in batches:
@@ -209,8 +220,9 @@ def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, r
             yield links(held)
 
     sorted_rows = dealt.repartition(F.col("cell"), F.col("part")).sortWithinPartitions("cell", "part")
-    found = sorted_rows.mapInArrow(run, "a long, b long, whole boolean")
-    return found.groupBy("a", "b").agg(F.min("whole").alias("whole"))
+    found = sorted_rows.mapInArrow(run, "a long, b long, whole boolean, cell long, part int, long boolean")
+    place = F.min(F.struct("cell", "part")).alias("at")
+    return found.groupBy("a", "b").agg(F.min("whole").alias("whole"), place, F.max("long").alias("long")).select("a", "b", "whole", "at.cell", "at.part", "long")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -247,9 +259,7 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, width: int)
     return sets.groupBy("fp").agg(F.min("shingles").alias("shingles"))
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets as :func:`shingle_sets` gives them."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     if len(x) > len(y):
         x, y = y, x
     if not len(x):
@@ -258,16 +268,45 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets as :func:`shingle_sets` gives them."""
+    return _jaccard(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
+
+
 def checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, near): whether the shingles of each pair reach the similarity."""
+    """(a, b, near): whether the shingles of each pair (a, b, cell, part, long)
+    reach the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, {}
+        for batch in batches:
+            out = []
+            *columns, packed = (batch.column(k) for k in range(6))
+            for k, (cell, part, share, a, b) in enumerate(zip(*(c.to_pylist() for c in columns))):
+                if (cell, part, share) != place:
+                    place, held = (cell, part, share), {}
+                if b is None:
+                    held[a] = np.frombuffer(packed[k].as_py(), np.uint32)
+                else:
+                    out.append((a, b, _jaccard(held[a], held[b]) >= least))
+            a, b, near = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    kind = "a long, b long, near boolean"
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long, near boolean")
+    of_long = pairs.filter("long").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(apart, kind)
+    place = ["cell", "part", "share"]
+    dealt = pairs.filter("NOT long").select("cell", "part", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int").alias("share"), "a", "b")
+    asked = dealt.select(*place, F.explode(F.array("a", "b")).alias("fp")).distinct()
+    given = asked.join(sets, "fp").select(*place, F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    # the shingles of a place come before its pairs
+    rows = given.unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary"))).repartition(*place).sortWithinPartitions(*place, F.col("b").asc_nulls_first())
+    return rows.select(*place, "a", "b", "shingles").mapInArrow(together, kind).unionByName(of_long)
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
@@ -285,7 +324,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, width: int
         found = written(candidates(members, rooted, turn, least, radius), "found")
         made.append(found)
         left_out = found.filter(~F.col("whole")).limit(1).count()
-        pairs = found.select("a", "b")
+        pairs = found.drop("whole")
         for before in tried:
             pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
