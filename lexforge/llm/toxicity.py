@@ -33,6 +33,8 @@ BUCKETS = 1 << 18
 MAX_POSITIVE = 100_000
 #: Features of the model, the least score (in deviations) of one, and steps of the training.
 FEATURES, LEAST_Z, STEPS, RATE = 1024, 4.0, 60, 0.2
+#: Strength of the weights' Gaussian prior, shared out among the positives: the fewer there are, the more it counts.
+SHRINK = 0.1
 THRESHOLD = 0.3
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -139,10 +141,12 @@ def gradient(rows: list[np.ndarray], positive: np.ndarray, count: np.ndarray, w:
     return np.concatenate(parts)
 
 
-def descend(sums, n_features: int, n_p: float, n_u: float, prior: float, steps: int = STEPS, rate: float = RATE, beta: float = 0.0, gamma: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float, list[float]]:
+def descend(sums, n_features: int, n_p: float, n_u: float, prior: float, steps: int = STEPS, rate: float = RATE, beta: float = 0.0, gamma: float = 1.0, decay: float | None = None) -> tuple[np.ndarray, float, list[float]]:
     """Weights and bias of the step of least risk whose second part is not
     negative, and the risk of each step. ``sums(w, b)`` gives what
-    :func:`gradient` does over all rows."""
+    :func:`gradient` does over all rows. Steps shrink to nothing by the last;
+    ``decay`` is ``SHRINK`` by positives if not given."""
+    decay = SHRINK / n_p if decay is None else decay
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v, risks = np.zeros(n_features + 1), np.zeros(n_features + 1), []
     for t in range(1, steps + 1):
@@ -154,7 +158,7 @@ def descend(sums, n_features: int, n_p: float, n_u: float, prior: float, steps:
         slope = -gamma * minus[1:] if minus[0] < -beta else plus[1:] + minus[1:]
         slope = np.append(slope[1:] + decay * w, slope[0])
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return *best, risks
 
