@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import weakref
 from sys import getsizeof as _size
 
+import pyarrow as pa
+
 #: Bytes that the maps of one operator may hold in one worker, keys, values and table together.
 BUDGET = 48 << 20
 #: Longer keys are computed each time and not kept.
@@ -13,14 +16,20 @@ LONGEST = 256
 SLOT = 104
 
 _MAPS: weakref.WeakSet[Kept] = weakref.WeakSet()
+#: Gives freed memory back to the system, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def enter(owner: str) -> None:
     """Called when a task of any operator begins: what other operators have kept
-    in this worker goes, so its memory is that of one operator."""
+    in this worker goes, so its memory is that of one operator; what earlier tasks
+    have freed goes back to the system."""
     for kept in list(_MAPS):
         if kept.owner != owner:
             kept.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 class Kept:

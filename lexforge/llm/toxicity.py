@@ -73,17 +73,13 @@ class Model:
 
 def hashed(docs: DataFrame, text_col: str = "text", found_col: str = f"{OWN}found") -> DataFrame:
     """``docs`` with the hashed words of each whole text; a narrow map."""
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         enter("toxicity")
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))
-            found = pa.array([buckets(t.as_py()) for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + [found], names=[*names, found_col])
+        return pa.array([buckets(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
-    schema = docs.withColumn(found_col, F.lit(None).cast("array<int>")).schema
-    return docs.withColumn(f"{OWN}text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    # only the texts go to Python and only the words come back
+    return docs.withColumn(found_col, F.arrow_udf(run, "array<int>")(F.col(text_col).cast("string")))
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,9 +266,8 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, features)
     shipped, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = _scores(shipped.value, batch.column(batch.schema.get_field_index(f"{OWN}found"))) < THRESHOLD
-            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+    def kept(found: pa.Array) -> pa.Array:
+        enter("toxicity")
+        return pa.array(_scores(shipped.value, found) < THRESHOLD, pa.bool_())
 
-    return features.mapInArrow(run, docs.schema)
+    return features.filter(F.arrow_udf(kept, "boolean")(f"{OWN}found")).select(names)
