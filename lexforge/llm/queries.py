@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import bpe, langid, mixing, quality, simhash, sstable, tiff, token_counts, topk, toxicity
+from lexforge.llm import bpe, langid, mixing, periodic, quality, simhash, sstable, tiff, token_counts, topk, toxicity
 from lexforge.llm.shared import held_out, table
 from pyspark.sql import functions as F
 
@@ -62,6 +62,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.longest_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_simhash, op3_bpe, op4_tiff, op5_token_counts, op6_sstable, op7_mixing, op8_quality, op9_language, op10_top_k, pipeline]
+    own = [op1_toxicity, op2_simhash, op3_bpe, op4_tiff, op5_token_counts, op6_sstable, op7_mixing, op8_quality, op9_language, op10_top_k, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
