@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import bpe, langid, mixing, periodic, quality, simhash, sstable, tiff, token_counts, topk, toxicity, trie
+from lexforge.llm import bpe, jaccard, langid, mixing, periodic, quality, simhash, sstable, tiff, token_counts, topk, toxicity, trie
 from lexforge.llm.shared import held_out, table
 from pyspark.sql import functions as F
 
@@ -62,6 +62,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -77,9 +81,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_simhash, op3_bpe, op4_tiff, op5_token_counts, op6_sstable, op7_mixing, op8_quality, op9_language, op10_top_k, op12_conversation_trie, op13_periodic_runs, pipeline]
+    own = [op1_toxicity, op2_simhash, op3_bpe, op4_tiff, op5_token_counts, op6_sstable, op7_mixing, op8_quality, op9_language, op10_top_k, op11_jaccard_join, op12_conversation_trie, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.oracle(), "op10_top_k": topk.ORACLE, "op12_conversation_trie": trie.ORACLE}
+    return {"op7_mixing": mixing.oracle(), "op10_top_k": topk.ORACLE, "op11_jaccard_join": jaccard.ORACLE, "op12_conversation_trie": trie.ORACLE}
