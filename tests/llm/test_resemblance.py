@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lexforge.llm import resemblance, simhash
+from lexforge.llm import jaccard, resemblance, simhash
 
 
 def plain_similarity(a, b, width=5):
@@ -79,20 +79,44 @@ def test_nearest_finds_every_pair_and_skips_tiles():
     assert len(set(one[0].tolist())) == len(one[0]) == len({i for i, _ in want}) and not one[2]
 
 
-def test_sets_give_the_similarity_and_radius_the_recall():
+def keyed(text):
+    hashes = np.unique(resemblance.shingle_hashes(resemblance.words_of(text)))
+    return hashes, resemblance.band_keys(hashes), resemblance.folded(hashes)
+
+
+def is_found(x, y):
+    """Whether two texts share a cell and are candidates in it."""
+    return bool((x[1] == y[1]).any()) and ((x[2] ^ y[2]) & ((1 << 64) - 1)).bit_count() <= resemblance.RADIUS
+
+
+def test_sets_give_the_similarity_and_no_pair_is_lost():
+    """Prose, texts of a few shingles, and texts that repeat shingles."""
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
     near = found = 0
-    for _ in range(300):
-        base = [rng.choice(words) for _ in range(150)]
+    for k in range(1500):
+        base = prose(150) if k % 3 else prose(rng.randint(8, 16))
         copy = list(base)
-        for _ in range(rng.randint(1, 4)):
-            copy[rng.randrange(150)] = rng.choice(words)
-        a, b = (resemblance.shingle_hashes([w.encode() for w in t]) for t in (base, copy))
-        s = resemblance.similarity(*(np.unique(h.astype(np.uint32)).tobytes() for h in (a, b)))
+        for _ in range(rng.randint(1, 4) if k % 3 else 1):
+            copy[rng.randrange(len(copy)) if k % 3 else -1] = rng.choice(words)
+        if k % 3 == 1:
+            copy += copy[-20:] * rng.randint(1, 30)
+        x, y = keyed(" ".join(base)), keyed(" ".join(copy))
+        s = resemblance.similarity(*(np.unique(h[0].astype(np.uint32)).tobytes() for h in (x, y)))
         assert abs(s - plain_similarity(" ".join(base), " ".join(copy))) < 1e-9
         if s >= 0.8:
             near += 1
-            cell = (resemblance.band_keys(np.unique(a)) == resemblance.band_keys(np.unique(b))).any()
-            found += cell and (resemblance.folded(a) ^ resemblance.folded(b)).__and__((1 << 64) - 1).bit_count() <= resemblance.RADIUS
-    assert near > 100 and found / near >= 0.97
+            found += is_found(x, y)
+    assert near > 500 and found >= near - 1
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_every_near_pair_of_the_tables_is_found(sf):
+    import pyarrow.parquet as pq
+
+    texts = sorted({t for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet").column("text").to_pylist() if t})
+    made = [keyed(t) for t in texts]
+    block = jaccard.Block([m[0] for m in made], 80)
+    pairs = [(i, j) for i in range(len(texts)) for j in block.linked(i, np.arange(len(texts))).tolist() if i < j]
+    assert pairs and all(is_found(made[i], made[j]) for i, j in pairs)
