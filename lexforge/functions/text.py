@@ -286,7 +286,7 @@ def doi(c: Column) -> Column:
 
 
 def split_list(c: Column, pattern: str = r"[,;，；、/]", limit: int = 20) -> Column:
-    return F.slice(F.filter(F.transform(F.split(c, pattern), F.trim), lambda x: x != ""), 1, limit)
+    return F.slice(F.filter(F.transform(F.split(c, pattern), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
 
 
 def citation_numbers(c: Column) -> Column:
