@@ -2,6 +2,7 @@
 
 # Word lists and weights that results depend on.
 
+CORE_FIELDS = {"method": ["method"], "result": ["result_or_gain", "metric_or_signal", "dataset_or_setting"], "limitation": ["limitation", "problem"], "problem": ["problem"], "citation": ["short_claim"]}
 FIELDS = {"short_claim": 2.0, "problem": 1.2, "method": 1.5, "dataset_or_setting": 1.0, "metric_or_signal": 1.0, "result_or_gain": 1.3, "limitation": 1.2}
 SUPPORT = {"semantically_supported": (0.6, 0.6), "partially_supported": (0.25, 0.25), "related_only": (-0.5, -0.15), "insufficient_evidence": (-1.0, -0.3), "contradicted": (-2.0, -0.5)}
 RISK = {"semantically_supported": "safe", "partially_supported": "needs_qualification", "related_only": "needs_more_evidence", "insufficient_evidence": "needs_more_evidence", "contradicted": "conflicting_evidence"}
@@ -23,5 +24,5 @@ ALIGN_THRESHOLD = 0.38
 MEMORY_BONUS = {"project_rule": 0.35, "preference": 0.35, "task_progress": 0.25, "failure": 0.2}
 
 # Terms that say nothing about a claim's support, and those too general to be specific hits.
-SEMANTIC_STOP = ["本文", "研究", "提出", "方法", "模型", "系统", "算法", "具有", "paper", "method", "model", "system", "result", "study"]
+SEMANTIC_STOP = ["本文", "研究", "提出", "方法", "模型", "系统", "算法", "实验", "结果", "表明", "采用", "通过", "基于", "实现", "问题", "相关", "进行", "具有", "paper", "method", "model", "system", "result", "study"]
 GENERIC = ["任务", "务规", "规划", "务机", "器人", "智能", "能体", "任务规划", "服务", "机器人", "服务机器人", "智能体", "多智能体", "论文", "研究", "问题", "场景", "系统"]

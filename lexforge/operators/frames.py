@@ -3,14 +3,19 @@ alignment across documents."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lexforge.functions import frame_terms as C
 from lexforge.functions import text as T
+from lexforge.operators.containment import Finder
 from lexforge.operators.facts import first_match
 from lexforge.operators.lexical import ranked
 
@@ -53,39 +58,97 @@ def allows_weak(query: Column) -> Column:
     return T.any_term(F.lower(T.compact(query)), C.WEAK_QUERY)
 
 
-def match_score(found: Column, query: Column, support: Column, semantic: Column) -> Column:
-    """Score of a frame for a query's terms; 0 if the frame is too weak for it."""
-    weak = allows_weak(query)
+def base_score(weak: bool, support: Column, semantic: Column) -> Column:
+    """What a frame scores without a hit, for queries that tolerate weak frames
+    or not; null where such a query leaves the frame out."""
     quality = F.coalesce(F.col("quality_score"), F.lit(0.6))
-    hits = lambda f: F.size(F.filter(found, lambda t: F.contains(F.lower(T.text_of(f)), F.lower(t))))
-    score = reduce(lambda a, f: a + F.lit(C.FIELDS[f]) * hits(f), C.FIELDS, F.lit(0.0))
-    score = score + 0.2 * F.col("n_units") + 0.3 * F.coalesce(F.col("confidence"), F.lit(0.0)) + 0.5 * quality
-    score = score + F.when(support == "structurally_supported", 0.4).when(support == "unchecked", 0.15).when(support == "unsupported", F.when(weak, -0.3).otherwise(-1.2)).otherwise(0.0)
+    score = 0.2 * F.col("n_units") + 0.3 * F.coalesce(F.col("confidence"), F.lit(0.0)) + 0.5 * quality
+    score = score + F.when(support == "structurally_supported", 0.4).when(support == "unchecked", 0.15).when(support == "unsupported", -0.3 if weak else -1.2).otherwise(0.0)
     extra = F.lit(0.0)
-    for status, (usual, tolerant) in C.SUPPORT.items():
-        extra = F.when(semantic == status, F.when(weak, tolerant).otherwise(usual)).otherwise(extra)
+    for status, pair in C.SUPPORT.items():
+        extra = F.when(semantic == status, pair[weak]).otherwise(extra)
     score = score + extra - 0.3 * F.coalesce(F.col("n_noise"), F.lit(0))
-    return F.when(~weak & ((quality < C.MIN_QUALITY) | (support == "unsupported")), 0.0).otherwise(score)
+    return score if weak else F.when(~((quality < C.MIN_QUALITY) | (support == "unsupported")), score)
 
 
-#: Queries that are sent to the frames at a time.
-BLOCK = 1000
+#: Frames scored at a time.
+STRIP = 2048
 
 
-def search(queries: DataFrame, frames: DataFrame, k: int = 8, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, frame_id, score). Each query meets every frame, in
-    blocks of at most ``block`` queries: frames are scored a row at a time."""
-    asked = queries.select("query_id", F.col("query").alias("_q"), T.frame_terms(T.text_of("query")).alias("_terms"))
-    ids = [r[0] for r in asked.select("query_id").distinct().orderBy("query_id").collect()]
-    cuts = [ids[at : at + block] for at in range(0, len(ids), block)] or [[]]
+def _blocks(asked: DataFrame, block: int) -> Iterator[list]:
+    """Rows of a stated set of queries, ``block`` at a time, in order."""
+    held: list = []
+    for row in asked.orderBy("query_id").toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def search(queries: DataFrame, frames: DataFrame, k: int = 8, block: int = 1000) -> DataFrame:
+    """(query_id, rank, frame_id, score): the best ``k`` frames of each query.
+
+    Queries are a stated set and go to the frames in blocks of at most ``block``.
+    A task finds all terms of a block in its frames with one automaton, which
+    gives a matrix of frames by terms, and multiplies it with the terms by
+    queries; it passes on the best ``k`` of each query among ``STRIP`` frames,
+    so what is shuffled does not grow with the number of matches.
+    """
+    asked = queries.select("query_id", T.frame_terms(T.text_of("query")).alias("terms"), allows_weak(T.text_of("query")).alias("weak"))
+    support, semantic = F.col("support_status"), F.col("semantic_support_status")
+    source = frames.select("frame_id", base_score(False, support, semantic).cast("double").alias("usual"), base_score(True, support, semantic).cast("double").alias("tolerant"), *[F.lower(T.text_of(f)).alias(f) for f in C.FIELDS])
+    kinds = {"q": queries.schema["query_id"].dataType, "f": frames.schema["frame_id"].dataType}
+    spark, weights = frames.sparkSession, list(C.FIELDS.values())
 
     def best(part: list) -> DataFrame:
-        these = F.col("query_id").isin([x for x in part if x is not None]) | (F.col("query_id").isNull() & F.lit(None in part))
-        both = frames.join(F.broadcast(asked.filter(these)))
-        scored = both.select("query_id", "frame_id", match_score(F.col("_terms"), F.col("_q"), F.col("support_status"), F.col("semantic_support_status")).alias("score")).filter("score > 0")
+        words = sorted({t.lower() for r in part for t in r["terms"] if t})
+        at = {w: n for n, w in enumerate(words)}
+        rows, columns = [], []
+        for n, r in enumerate(part):
+            for t in r["terms"]:
+                if t:
+                    rows.append(at[t.lower()])
+                    columns.append(n)
+        always = [sum(t == "" for t in r["terms"]) for r in part]  # an empty term is in every field
+        sent = spark.sparkContext.broadcast((words, rows, columns, [r["weak"] for r in part], always))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, rows, columns, weak, always = sent.value
+            finder = Finder(words)
+            asked_by = np.zeros((len(words), len(weak)))
+            np.add.at(asked_by, (rows, columns), 1.0)
+            weak, always = np.array(weak), np.array(always) * sum(weights)
+            for whole in batches:
+                for start in range(0, whole.num_rows, STRIP):
+                    batch = whole.slice(start, STRIP)
+                    hits = np.zeros((batch.num_rows, len(words)))
+                    for weight, field in zip(weights, batch.columns[3:]):
+                        for n, text in enumerate(field.to_pylist()):
+                            if text:
+                                hits[n, finder.find(text)] += weight
+                    base = np.where(weak[None, :], *(batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in (2, 1)))
+                    score = hits @ asked_by + base + always[None, :]
+                    order = np.round(np.where(score > 0, score, -np.inf), 6)  # left out: null, hence nan
+                    ids = np.array(batch.column(0).to_pylist(), dtype=object)
+                    out_q, out_f, out_s = [], [], []
+                    for q in range(len(weak)):
+                        found = np.flatnonzero(order[:, q] > -np.inf)
+                        if len(found) > k:
+                            found = found[order[found, q] >= np.partition(order[found, q], -k)[-k]]
+                        found = sorted(found.tolist(), key=lambda n: (-order[n, q], ids[n]))[:k]
+                        out_q += [q] * len(found)
+                        out_f += ids[found].tolist()
+                        out_s += score[found, q].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int32()), pa.array(out_f, batch.schema.field(0).type), pa.array(out_s, pa.float64())], names=["_n", "frame_id", "score"])
+
+        names = spark.createDataFrame([(n, r["query_id"]) for n, r in enumerate(part)], StructType([StructField("_n", IntegerType()), StructField("query_id", kinds["q"])]))
+        scored = source.mapInArrow(run, StructType([StructField("_n", IntegerType()), StructField("frame_id", kinds["f"]), StructField("score", DoubleType())])).join(F.broadcast(names), "_n")
         return ranked(scored, k, F.round("score", 6).desc(), F.col("frame_id")).select("query_id", "rank", "frame_id", F.round("score", 3).alias("score"))
 
-    return reduce(DataFrame.unionByName, map(best, cuts))
+    made = [best(part) for part in _blocks(asked, block)]
+    return reduce(DataFrame.unionByName, made or [best([])])
 
 
 def semantic_terms(c: Column, stop: list[str] | None = None) -> Column:
@@ -93,36 +156,62 @@ def semantic_terms(c: Column, stop: list[str] | None = None) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(T.lit_array(stop or C.SEMANTIC_STOP), F.lower(t)))
 
 
-def semantic_support(pairs: DataFrame, conflict: list[str] | None = None) -> DataFrame:
-    """Checks frames against their evidence.
+def claim_text(frames: DataFrame) -> Column:
+    """All fields of a claim that a table has, as one text."""
+    return T.compact(F.concat_ws(" ", *[T.text_of(f) for f in C.FIELDS if f in frames.columns]))
+
 
-    ``pairs`` has frame_id, claim_type, claim, core, unit_id, unit, confidence,
-    one row for each frame and unit (unit_id null: no evidence). Returns one row
-    for each frame: status, score, the citation risk and the unit ids that are
-    primary, weak and contradictory.
+def core_terms(frames: DataFrame, claim: Column) -> Column:
+    """The terms of the fields that matter for a claim's type, or else its first eight."""
+    found = F.array().cast("array<string>")
+    for kind, fields in C.CORE_FIELDS.items():
+        text = F.concat_ws(" ", *[T.text_of(f) for f in fields if f in frames.columns])
+        found = F.when(F.col("claim_type") == kind, semantic_terms(text)).otherwise(found)
+    return T.let(found, lambda v: F.when(F.size(v) > 0, v).otherwise(F.slice(claim, 1, 8)))
+
+
+def semantic_support(frames: DataFrame, units: DataFrame, conflict: list[str] | None = None, on: str = "doc_id") -> DataFrame:
+    """Checks frames against the evidence units of their document.
+
+    ``frames`` has frame_id, ``on``, claim_type and fields of the claim;
+    ``units`` has ``on``, unit_id, unit, confidence. Returns one row for each
+    frame: status, score, the citation risk and the unit ids that are primary,
+    weak and contradictory.
+
+    Terms of either side are found once and joined as terms: a frame meets the
+    units that share one with it. A unit that shares none scores a tenth of its
+    confidence, so of those the most confident one of a document stands for all.
     """
     words = conflict or C.CONFLICT
-    claim = semantic_terms(T.text_of("claim"))
-    rows = pairs.withColumn("_c", claim).withColumn("_k", semantic_terms(T.text_of("core"))).withColumn("_k", F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.slice("_c", 1, 8))).withColumn("_u", semantic_terms(T.text_of("unit")))
-    hits, core = F.size(F.array_intersect("_c", "_u")), F.array_intersect("_k", "_u")
-    specific = F.filter(core, lambda t: ~F.array_contains(T.lit_array(C.GENERIC), F.lower(t)))
-    rows = rows.withColumn("_h", hits).withColumn("_s", F.size(core)).withColumn("_p", F.size(specific))
-    cover, core_cover = F.col("_h") / F.greatest(F.lit(1), F.size("_c")), F.col("_s") / F.greatest(F.lit(1), F.size("_k"))
-    score = F.least(F.lit(1.0), 0.55 * cover + 0.35 * core_cover + 0.10 * F.coalesce(F.col("confidence"), F.lit(0.6)))
-    against = (F.col("_h") + F.col("_s") > 0) & (F.col("claim_type") != "limitation") & ~T.any_term(F.lower("claim"), words) & T.any_term(F.lower("unit"), words)
-    rows = rows.withColumn("_score", score).withColumn("_cc", core_cover).withColumn("_x", F.coalesce(against, F.lit(False)))
+    none = F.array().cast("array<string>")
+    # fields and their terms are columns before they are used, so that each is found once
+    claims = frames.dropDuplicates(["frame_id"]).withColumn("_text", claim_text(frames)).withColumn("_c", semantic_terms(F.col("_text")))
+    claims = claims.withColumn("_k", core_terms(frames, F.col("_c"))).withColumn("_open", (F.col("claim_type") != "limitation") & ~T.any_term(F.lower("_text"), words))
+    claims = claims.select("frame_id", on, "_text", "_c", "_k", F.coalesce("_open", F.lit(False)).alias("_open"))
+    term = F.explode(F.array_union("_c", "_k")).alias("term")
+    asked = claims.select("frame_id", on, F.size("_c").alias("_nc"), F.size("_k").alias("_nk"), "_open", "_c", "_k", term)
+    asked = asked.select("frame_id", on, "_nc", "_nk", "_open", "term", F.array_contains("_c", F.col("term")).cast("int").alias("_in_c"), F.array_contains("_k", F.col("term")).cast("int").alias("_in_k"))
+    there = units.filter(F.col("unit_id").isNotNull()).withColumn("confidence", F.coalesce("confidence", F.lit(0.6)).cast("double"))
+    given = there.select(on, "unit_id", "confidence", T.any_term(F.lower(T.text_of("unit")), words).alias("_against"), F.explode(semantic_terms(T.text_of("unit"))).alias("term"))
+    generic = F.array_contains(T.lit_array(C.GENERIC), F.lower("term"))
+    hits = asked.join(given, [on, "term"]).groupBy("frame_id", "unit_id").agg(
+        F.sum("_in_c").alias("_h"), F.sum("_in_k").alias("_s"), F.sum(F.when(generic, 0).otherwise(F.col("_in_k"))).alias("_p"),
+        F.max("_nc").alias("_nc"), F.max("_nk").alias("_nk"), F.max(F.col("_open") & F.col("_against")).alias("_x"), F.max("confidence").alias("confidence"),
+    )
+    cover, core_cover = F.col("_h") / F.greatest(F.lit(1), "_nc"), F.col("_s") / F.greatest(F.lit(1), "_nk")
+    rows = hits.withColumns({"_score": F.least(F.lit(1.0), 0.55 * cover + 0.35 * core_cover + 0.10 * F.col("confidence")), "_cc": core_cover})
     primary = (F.col("_score") >= 0.5) & ((F.col("_s") > 0) | (F.col("_h") >= 3))
-    weak = ~primary & ((F.col("_score") >= 0.18) | (F.col("_h") > 0) | (F.col("_s") > 0))
     ids = lambda c: F.slice(F.array_sort(F.collect_set(F.when(c, F.col("unit_id")))), 1, 8)
-    there = F.col("unit_id").isNotNull()
     per = rows.groupBy("frame_id").agg(
-        F.first("claim").alias("claim"), F.max(F.size("_c")).alias("n_terms"), F.count_if(there).alias("units"),
-        F.max(F.when(there, F.col("_score"))).alias("best"), F.max(F.when(there & F.col("_x"), F.col("_score"))).alias("best_conflict"), F.max(F.when(there, F.col("_cc"))).alias("core_cover"), F.max(F.when(there, F.col("_p"))).alias("core_hits"),
-        ids(there & primary).alias("primary"), ids(there & weak).alias("weak"), ids(there & F.col("_x")).alias("contradictory"),
+        F.max("_score").alias("best"), F.max(F.when(F.col("_x"), F.col("_score"))).alias("best_conflict"), F.max("_cc").alias("core_cover"), F.max("_p").alias("core_hits"),
+        ids(primary).alias("primary"), ids(~primary).alias("weak"), ids(F.col("_x")).alias("contradictory"),
     )
+    documents = there.groupBy(on).agg(F.count("*").alias("units"), F.max("confidence").alias("most"))
+    out = claims.select("frame_id", on, "_text", F.size("_c").alias("n_terms")).join(per, "frame_id", "left").join(documents, on, "left")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("primary", "weak", "contradictory")}).withColumn("best", F.greatest("best", 0.1 * F.col("most")))
     status = (
-        F.when(T.text_of("claim") == "", "not_checked")
-        .when(F.col("units") == 0, "insufficient_evidence")
+        F.when(F.col("_text") == "", "not_checked")
+        .when(F.coalesce("units", F.lit(0)) == 0, "insufficient_evidence")
         .when(F.col("n_terms") == 0, "not_checked")
         .when(F.size("contradictory") > 0, "contradicted")
         .when((F.size("primary") > 0) & (F.col("best") >= 0.58) & (F.col("core_cover") >= 0.65) & (F.col("core_hits") >= 2), "semantically_supported")
@@ -130,7 +219,7 @@ def semantic_support(pairs: DataFrame, conflict: list[str] | None = None) -> Dat
         .when(F.size("weak") > 0, "related_only")
         .otherwise("insufficient_evidence")
     )
-    out = per.withColumn("status", status)
+    out = out.withColumn("status", status)
     value = F.when(F.col("status") == "contradicted", F.col("best_conflict")).when(F.col("status").isin("not_checked", "insufficient_evidence"), 0.0).otherwise(F.col("best"))
     # a contradiction names only what contradicts, and what is merely related has no primary evidence
     shown = {"primary": ["semantically_supported", "partially_supported"], "weak": ["semantically_supported", "partially_supported", "related_only"], "contradictory": ["contradicted"]}

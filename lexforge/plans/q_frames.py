@@ -89,7 +89,7 @@ cterms AS (SELECT frame_id, list(w ORDER BY r) AS c FROM (SELECT frame_id, w, ro
 uwords(node_id, w, p) AS (SELECT node_id, unnest(w), unnest(range(len(w))) FROM (SELECT node_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{2,}') AS w FROM firsts)),
 uterms AS (SELECT node_id, list(w) AS u FROM (SELECT node_id, w, row_number() OVER (PARTITION BY node_id ORDER BY min(p)) AS r FROM uwords GROUP BY node_id, w) WHERE r <= 16{STOP} GROUP BY node_id),
 pairs AS (SELECT f.frame_id, f.claim_type, f.short_claim AS claim, n.node_id, n.text AS unit, coalesce(c.c, []) AS c, coalesce(u.u, []) AS u FROM frames f JOIN firsts n ON f.doc_id = n.doc_id LEFT JOIN cterms c ON f.frame_id = c.frame_id LEFT JOIN uterms u ON n.node_id = u.node_id),
-cored AS (SELECT *, c[1:8] AS k FROM pairs),
+cored AS (SELECT *, CASE WHEN claim_type = 'claim' THEN c[1:8] ELSE c END AS k FROM pairs),
 counted AS (SELECT *, len(list_intersect(c, u)) AS h, len(list_intersect(k, u)) AS s FROM cored),
 scored AS (SELECT *, least(1.0, 0.55 * h / greatest(1, len(c)) + 0.35 * s / greatest(1, len(k)) + 0.06)::DOUBLE AS score, s / greatest(1, len(k)) AS cc, (h + s > 0) AND claim_type <> 'limitation' AND NOT contains(lower(claim), 'idiot') AND contains(lower(unit), 'idiot') AS x FROM counted),
 per AS (SELECT frame_id, any_value(len(c)) AS n, max(score) AS best, max(score) FILTER (WHERE x) AS bc, max(cc) AS cc, max(s) AS s,
@@ -105,9 +105,8 @@ def semantic_support(spark, sf_dir):
 
 
 def _support(frames, lines):
-    f = frames.select("frame_id", "doc_id", "claim_type", F.col("short_claim").alias("claim"), F.lit("").alias("core"))
     units = lines.select("doc_id", F.col("node_id").alias("unit_id"), F.col("text").alias("unit"), F.lit(0.6).alias("confidence"))
-    return R.semantic_support(f.join(units, "doc_id"), ["idiot"])
+    return R.semantic_support(frames, units, ["idiot"])
 
 
 def _aligned(spark, sf_dir):

@@ -146,17 +146,66 @@ def test_graph(spark, some_facts):
     assert graph.mermaid(n, e).startswith("graph LR")
 
 
+CLAIM = "frame_id string, doc_id int, claim_type string, short_claim string, result_or_gain string, limitation string"
+UNIT = "doc_id int, unit_id string, unit string, confidence double"
+
+
+def supported(spark, claims, units):
+    out = frames.semantic_support(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(units, UNIT))
+    return {r["frame_id"]: (r["status"], r["citation_risk"], r["primary"], r["weak"], r["contradictory"]) for r in out.collect()}
+
+
 def test_support_of_frames(spark):
-    rows = [
-        ("a", "result", "planner improves accuracy latency", "planner accuracy", "u1", "planner improves accuracy latency here", 0.9),
-        ("b", "result", "planner improves accuracy", "planner accuracy", "u2", "planner accuracy failed", 0.9),
-        ("c", "result", "planner improves accuracy", "planner accuracy", "u3", "nothing alike", 0.9),
-        ("d", "result", "planner improves accuracy", "planner accuracy", None, None, None),
-        ("e", "result", "", "", "u5", "x", 0.5),
-    ]
-    df = spark.createDataFrame(rows, "frame_id string, claim_type string, claim string, core string, unit_id string, unit string, confidence double")
-    got = {r["frame_id"]: (r["status"], r["citation_risk"]) for r in frames.semantic_support(df).collect()}
-    assert got == {"a": ("semantically_supported", "safe"), "b": ("contradicted", "conflicting_evidence"), "c": ("insufficient_evidence", "needs_more_evidence"), "d": ("insufficient_evidence", "needs_more_evidence"), "e": ("not_checked", "not_checked")}
+    said = "planner improves accuracy latency"
+    claims = [("a", 1, "result", said, said, ""), ("b", 2, "result", said, said, ""), ("c", 3, "result", said, said, ""), ("d", 4, "result", said, said, ""), ("e", 5, "result", "", "", ""), ("f", 6, "claim", said + " of many other words here today", "", ""), ("g", 2, "limitation", said, "", said), ("a", 1, "result", said, said, "")]
+    units = [(1, "u1", said + " here", 0.9), (1, "u0", "nothing alike", 1.0), (2, "u2", "planner accuracy failed", 0.9), (3, "u3", "nothing alike", 0.9), (4, None, said, 0.9), (5, "u5", "x", 0.5), (6, "u6", "some other planner", None), (6, "u7", None, 0.3)]
+    got = supported(spark, claims, units)
+    assert got["a"] == ("semantically_supported", "safe", "u1", "", "")
+    assert got["b"] == ("contradicted", "conflicting_evidence", "", "", "u2")
+    assert got["c"][:2] == got["d"][:2] == ("insufficient_evidence", "needs_more_evidence") and got["e"][:2] == ("not_checked", "not_checked")
+    assert got["f"] == ("partially_supported", "needs_qualification", "", "u6", "")
+    assert got["g"][0] == "partially_supported"  # a limitation is not contradicted by a failure
+
+
+def test_chinese_stop_words_and_generic_terms_support_nothing(spark):
+    # all words of the claim but one are stop words or general
+    got = supported(spark, [("z", 1, "result", "实验 结果 表明 通过 规划", "实验 结果 规划", ""), ("y", 2, "claim", "实验 结果 表明", "", ""), ("x", 3, "result", "协同调度", "协同调度", "")], [(1, "u1", "实验 结果 表明 采用 规划", 0.6), (2, "u2", "实验 结果 表明", 0.6), (3, "u3", "调度", 0.6), (3, "u4", "协同调度", 0.6)])
+    assert got["z"][:3] == ("partially_supported", "needs_qualification", "u1")  # one general term is no specific hit
+    assert got["y"][0] == "not_checked"  # nothing but stop words
+    assert got["x"] == ("semantically_supported", "safe", "u4", "u3", "")
+
+
+def test_frame_search_equals_the_plain_score(spark):
+    import random
+
+    from lexforge.functions import frame_terms as C
+
+    rng = random.Random(5)
+    words = ["planner", "accuracy", "RAG", "plan", "latency", "robot", "任务规划", "局限"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+    fields = list(C.FIELDS)
+    rows = [(f"f{n:03d}", *[text() if rng.random() < 0.6 else None for _ in fields], rng.randint(0, 3), rng.choice([None, 0.5, 0.9]), rng.choice([None, 0.3, 0.7]), rng.randint(0, 2), rng.choice(["structurally_supported", "unchecked", "unsupported"]), rng.choice(["contradicted", "related_only", "other"])) for n in range(300)]
+    df = spark.createDataFrame(rows, "frame_id string, " + ", ".join(f"{f} string" for f in fields) + ", n_units int, confidence double, quality_score double, n_noise int, support_status string, semantic_support_status string").repartition(3)
+    asked = [(1, "planner latency"), (2, "任务规划的局限"), (3, "plan Plan RAG"), (4, ""), (5, None), (6, "zzz yyy")]
+
+    def score(r, query, found):
+        weak = any(t in " ".join((query or "").split()).lower() for t in C.WEAK_QUERY)
+        q, support = 0.6 if r[10] is None else r[10], r[12]
+        if not weak and (q < C.MIN_QUALITY or support == "unsupported"):
+            return 0.0
+        s = sum(w * sum(t.lower() in (r[1 + k] or "").lower() for t in found) for k, w in enumerate(C.FIELDS.values()))
+        s += 0.2 * r[8] + 0.3 * (r[9] or 0.0) + 0.5 * q + {"structurally_supported": 0.4, "unchecked": 0.15, "unsupported": -0.3 if weak else -1.2}[support]
+        return s + C.SUPPORT.get(r[13], (0, 0))[weak] - 0.3 * r[11]
+
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    terms = {r["query_id"]: r["t"] for r in queries.select("query_id", frames.T.frame_terms(frames.T.text_of("query")).alias("t")).collect()}
+    want = []
+    for i, query in asked:
+        best = sorted(((-round(score(r, query, terms[i]), 6), r[0]) for r in rows if score(r, query, terms[i]) > 0))[:8]
+        want += [(i, n + 1, f, round(-s, 3)) for n, (s, f) in enumerate(best)]
+    for block in (1000, 2):
+        assert sorted(tuple(r) for r in frames.search(queries, df, 8, block).collect()) == sorted(want)
+    assert frames.search(queries.limit(0), df).collect() == []
 
 
 def test_alignment_follows_order(spark):
