@@ -152,8 +152,9 @@ def stars(keyed: DataFrame) -> DataFrame:
             signed, classes = signed[order], classes[order]
             first = np.append(True, signed[1:] != signed[:-1])[: len(signed)]
             hub = classes[np.maximum.accumulate(np.where(first, np.arange(len(signed)), 0))]
-            link = classes != hub
-            for sig, a, b in ((signed[first], classes[first], classes[first]), (classes[link], classes[link], hub[link])):
+            # a class may meet a hub by many signatures and in many copies: one link says it
+            pairs = np.unique(np.stack([classes, hub], axis=1)[classes != hub], axis=0)
+            for sig, a, b in ((signed[first], classes[first], classes[first]), (pairs[:, 0], pairs[:, 0], pairs[:, 1])):
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(a), pa.array(b)], names=["sig", "a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
