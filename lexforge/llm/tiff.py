@@ -34,9 +34,10 @@ class TiffError(ValueError):
     pass
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
+    """Stops at ``most`` bytes, or at most 127 beyond."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         n = data[at]
         at += 1
         if n < 128:
@@ -72,9 +73,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
     """Codes of 9 to 12 bits, high bit first; 256 clears, 257 ends; the width
-    grows one code early."""
+    grows one code early. Stops at ``most`` bytes, or less than 4,096 beyond."""
+    left = len(data) * 4096 if most is None else most
     single = [bytes([b]) for b in range(256)] + [b"", b""]
     table, out = single[:], []
     width, held, bits, last = 9, 0, 0, None
@@ -98,8 +100,12 @@ def lzw_decode(data: bytes) -> bytes:
             if code > len(table):
                 raise TiffError("bad LZW code")
             entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
+            if len(table) < 4096:  # no code is longer than twelve bits
+                table.append(last + entry[:1])
         out.append(entry)
+        left -= len(entry)
+        if left <= 0:
+            break
         last = entry
         if len(table) + 1 >= 1 << width and width < 12:
             width += 1
@@ -194,13 +200,13 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 
 def _unpacked(data: bytes, compression: int, need: int) -> bytes:
-    """The bytes of a strip or tile; deflate stops at the ``need`` bytes of its size."""
+    """The bytes of a strip or tile; decoding stops at the ``need`` bytes of its size."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, need)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, need)
     if compression in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, need)
     raise TiffError(f"compression {compression} is not supported")
@@ -358,11 +364,20 @@ def pages(media: DataFrame, media_col: str = "media", id_col: str = "doc_id") ->
 ROW, PAGE_ROWS = 64, 16384
 
 
+#: How payloads are stored, by the remainder of their CRC32: compression, predictor, tile size (None: strips). Most take
+#: the first form; each other one takes one payload of ``SHARE``, as LZW and PackBits are written byte by byte here.
+SHARE = 32
+FORMS = [(DEFLATE, 2, None), (LZW, 1, None), (PACKBITS, 2, None), (DEFLATE, 1, ROW), (LZW, 2, ROW), (NONE, 1, None), (PACKBITS, 1, ROW)]
+
+
 def stored(payload: bytes) -> bytes:
     """A payload (a multiple of 64 bytes) as 8-bit samples: rows of 64, pages of
-    16,384 rows, deflate strips with horizontal differences."""
+    16,384 rows. A hash of the payload chooses among the codecs, predictors and
+    layouts of ``FORMS``, so that equal texts are stored alike and a table takes
+    every way through the reader."""
+    compression, predictor, tile = dict(enumerate(FORMS)).get(zlib.crc32(payload) % SHARE, FORMS[0])
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)])
+    return write_tiff([rows[at : at + PAGE_ROWS] for at in range(0, len(rows), PAGE_ROWS)], compression, predictor, tile)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
