@@ -271,13 +271,24 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "size": [writer.at], "n_docs": [writer.docs], "n_tokens": [writer.tokens]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # rows that repeat an id are ordered by a hash of their text, within shards as across them; a number parts equal rows
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = rows.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(shards, *order, F.col("n")).sortWithinPartitions(*order, "text").select("id", "text")
     return dealt.mapInArrow(run, "shard long, file string, size long, n_docs long, n_tokens long")
 
 
+#: Identifiers divisible by this are also looked up by their key when a shard is read.
+LOOK_UP = 100
+
+
 def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Read shard files again: (id_col, start, n_tokens, ids_crc32), with
-    ``start`` the ids of all documents before a document."""
+    """Read shard files again: (id_col, start, n_tokens, ids_crc32, looked_up),
+    with ``start`` the ids of all documents before a document.
+
+    Identifiers divisible by ``LOOK_UP`` are also looked up by their key, through
+    the Bloom filter, the block index and one block: ``looked_up`` says whether
+    that gave the same ids, and is null for the others.
+    """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -286,9 +297,12 @@ def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Dat
         for frame in frames:
             for file, size, start in zip(frame["file"], frame["size"], frame["before"]):
                 start, rows = int(start), []
-                with store.open_input_file(file) as source:
+                with store.open_input_file(file) as source, store.open_input_file(file) as again:
+                    by_key = Reader(again, int(size))
                     for doc_id, ids in Reader(source, int(size)):
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        asked = doc_id is not None and doc_id % LOOK_UP == 0
+                        same = any(np.array_equal(ids, x) for x in by_key.get(doc_id)) if asked else None
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), same))
                         start += len(ids)
                         if len(rows) >= 20_000:
                             yield _frame(rows)
@@ -296,19 +310,19 @@ def read_shards(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Dat
                 yield _frame(rows)
 
     n = max(1, manifest.count())
-    return files.repartition(n, "shard").mapInPandas(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return files.repartition(n, "shard").mapInPandas(run, "id long, start long, n_tokens long, ids_crc32 long, looked_up boolean").withColumnRenamed("id", id_col)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32"])
-    return out.astype({"id": "Int64", "start": "int64", "n_tokens": "int64", "ids_crc32": "int64"})
+    out = pd.DataFrame(rows, columns=["id", "start", "n_tokens", "ids_crc32", "looked_up"])
+    return out.astype({"id": "Int64", "start": "int64", "n_tokens": "int64", "ids_crc32": "int64", "looked_up": "boolean"})
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int | None = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards to the shared folder and read them back.
 
     Defined results: null and empty texts have only the end id; null ids come
-    first, rows that repeat an id are ordered by their text, null first; an
+    first, rows that repeat an id are ordered by XXH64 of their text; an
     empty table gives an empty result; other columns are ignored.
     """
     folder = new_folder(docs.sparkSession, "sstable")

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from array import array
 from collections import Counter as Tally
 from collections.abc import Iterable, Iterator
 
@@ -28,47 +27,74 @@ from lexforge.llm.caches import Kept, enter
 
 #: Entries of tier 1 at most, and the sample that they are counted on: rows, and bytes of a row.
 ENTRIES, SAMPLE_ROWS, SAMPLE_BYTES = 1 << 16, 2048, 1 << 15
+#: Pre-tokens that tier 1 is asked for at a time.
+LOOK_UP = 1 << 14
 
 
 class CompactLengths:
-    """Open-addressing hash table: UTF-8 string -> small count, in three arrays.
+    """Open-addressing hash table: UTF-8 string -> small count, in flat arrays.
 
-    ``slots`` holds entry numbers (-1: free), entries lie end to end in
-    ``blob``; a probe compares the bytes, so a hash collision cannot give a
-    wrong count.
+    ``slots`` holds entry numbers (-1: free), ``hashes`` the whole hash of each
+    entry; entries lie end to end in ``blob``. Strings are looked up many at a
+    time: all probe together, and what a hash finds is compared byte by byte, so
+    a collision cannot give a wrong count.
     """
 
     def __init__(self, counts: dict[str, int]):
         keys = [k.encode() for k in counts]
-        self.counts = bytes(min(255, n) for n in counts.values())
         if any(n > 255 for n in counts.values()):
             raise ValueError("a count does not fit")
-        self.blob = b"".join(keys)
-        self.starts = array("I", np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.uint32).tolist())
-        self.mask = (1 << max(1, (2 * len(keys)).bit_length())) - 1
-        self.slots = array("i", [-1]) * (self.mask + 1)
-        for n, k in enumerate(keys):
-            at = xxhash.xxh32_intdigest(k) & self.mask
-            while self.slots[at] >= 0:
-                at = (at + 1) & self.mask
-            self.slots[at] = n
+        self.counts = np.array(list(counts.values()), np.uint8)
+        self.blob = np.frombuffer(b"".join(keys), np.uint8)
+        self.lengths = np.array([len(k) for k in keys], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+        self.mask = np.uint64((1 << max(1, (2 * len(keys)).bit_length())) - 1)
+        slots = [-1] * (int(self.mask) + 1)
+        for n, h in enumerate((self.hashes & self.mask).tolist()):
+            while slots[h] >= 0:
+                h = (h + 1) & int(self.mask)
+            slots[h] = n
+        self.slots = np.array(slots, np.int32)
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """The count of each word, -1 where the table lacks it."""
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        entry = np.full(len(words), -1, np.int32)
+        at, open_ = (h & self.mask).astype(np.int64), np.arange(len(words))
+        while len(open_):
+            n = self.slots[at[open_]]
+            taken = n >= 0
+            open_, n = open_[taken], n[taken]
+            same = self.hashes[n] == h[open_]
+            entry[open_[same]] = n[same]
+            open_ = open_[~same]
+            at[open_] = (at[open_] + 1) & int(self.mask)
+        hit = np.flatnonzero(entry >= 0)
+        if not len(hit):
+            return np.full(len(words), -1, np.int16)
+        # the bytes of what was found, against those of the entries
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        fits = length[hit] == self.lengths[entry[hit]]
+        entry[hit[~fits]] = -1
+        hit = hit[fits]
+        size = length[hit]
+        ends = np.cumsum(size)
+        spread = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        own = text[spread + np.repeat((np.cumsum(length) - length)[hit], size)]
+        apart = own != self.blob[spread + np.repeat(self.starts[entry[hit]], size)]
+        if apart.any():
+            entry[hit[np.unique(np.searchsorted(ends, np.flatnonzero(apart), side="right"))]] = -1
+        return np.where(entry >= 0, self.counts[np.maximum(entry, 0)].astype(np.int16), np.int16(-1))
 
     def get(self, key: str) -> int | None:
-        data = key.encode("utf-8", "surrogatepass")
-        at = xxhash.xxh32_intdigest(data) & self.mask
-        while (n := self.slots[at]) >= 0:
-            if self.blob[self.starts[n] : self.starts[n + 1]] == data:
-                return self.counts[n]
-            at = (at + 1) & self.mask
-        return None
+        n = int(self.look_up([key.encode("utf-8", "surrogatepass")])[0])
+        return None if n < 0 else n
 
     def __len__(self) -> int:
         return len(self.counts)
 
-    def items(self) -> Iterator[tuple[str, int]]:
-        for n, count in enumerate(self.counts):
-            yield self.blob[self.starts[n] : self.starts[n + 1]].decode("utf-8", "surrogatepass"), count
-
 
 class Cutter:
     """Cuts texts into special tokens and pre-tokens by the library's rules.
@@ -115,36 +141,33 @@ def frequent_lengths(path: str, texts: Iterable[str], entries: int = ENTRIES) ->
 class Counter:
     """Counts the tokens of texts as the library would.
 
-    ``tier1`` answers first; what it lacks goes to ``tier2``, and what that
-    lacks to the library. ``asked`` counts the pre-tokens, ``missed`` those that
-    tier 1 lacked and ``encoded`` those that the library encoded.
+    ``frequent`` is asked first, for up to ``LOOK_UP`` pre-tokens at a time;
+    what it lacks goes to ``tier2``, and what that lacks to the library.
+    ``asked`` counts the pre-tokens, ``missed`` those that tier 1 lacked and
+    ``encoded`` those that the library encoded.
     """
 
     def __init__(self, path: str, frequent: CompactLengths):
-        self.cutter = Cutter(path)
+        self.cutter, self.frequent = Cutter(path), frequent
         self.asked = self.missed = self.encoded = 0
         self.tier2 = Kept(self._encode, "counts")
-        outer = self
-
-        class Tier1(dict):
-            __slots__ = ()
-
-            def __missing__(self, key):
-                outer.missed += 1
-                return outer.tier2.new[key]
-
-        self.tier1 = Tier1(frequent.items())
 
     def _encode(self, pretoken: str) -> int:
         self.encoded += 1
         return len(self.cutter.library.encode(pretoken, add_special_tokens=False).ids)
 
+    def _sum(self, pieces: list[str]) -> int:
+        found = self.frequent.look_up([p.encode("utf-8", "surrogatepass") for p in pieces])
+        lacking = np.flatnonzero(found < 0)
+        self.asked += len(pieces)
+        self.missed += len(lacking)
+        return int(found.sum(dtype=np.int64)) + len(lacking) + sum([self.tier2.new[pieces[k]] for k in lacking.tolist()])
+
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null counts as empty."""
-        total, look = 0, self.tier1.__getitem__
+        total = 0
         for pieces, special in self.cutter.stretches(text or ""):
-            self.asked += len(pieces)
-            total += sum(map(look, pieces)) + special
+            total += special + sum(self._sum(pieces[at : at + LOOK_UP]) for at in range(0, len(pieces), LOOK_UP))
         return total
 
 
