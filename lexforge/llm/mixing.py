@@ -73,10 +73,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     Defined results: null sources form one source, null ids hash as one id,
     repeated rows are repeated alike, an empty table gives an empty result. A
-    column of the input named like a new one is an error: choose another name.
+    column of the input named like a new one (in any case, as Spark compares
+    names) makes way for it; to keep it, choose another name.
     """
-    if taken := {copy_col, key_col} & set(docs.columns):
-        raise ValueError(f"the input has columns {sorted(taken)}")
+    new = {c.lower() for c in (copy_col, key_col) if c}
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
     table = rates(docs, source_col, weights, temperature)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     table = table.withColumn(f"{OWN}parts", parts).withColumn(f"{OWN}steps", poisson_steps(F.col("rate") / F.col(f"{OWN}parts"))).select(F.col("source").alias(f"{OWN}source"), f"{OWN}parts", f"{OWN}steps")

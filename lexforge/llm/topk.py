@@ -6,19 +6,24 @@ segments of length * (mean * mean + deviation * deviation), which is the usual
 lower bound of the squared distance turned round. Bounds are evaluated from
 one segment to many, a level being one product of two small matrices; what
 stays above the query's floor goes on to the next level, and the survivors are
-scored exactly.
+scored exactly. Where vectors are alike in all directions, segments of equal
+width say little until they are two components wide, so the last levels take
+single components at the front and segments of four behind: of a random pair
+the front gives the product and the rest can add little to it.
 
 How the work is laid out. A query's floor is its k-th best score in a bounded
 sample of rows, so no tile starts from nothing. Queries are written in blocks
-to the shared folder; a task reads its rows once, a tile at a time, and meets
-each tile with the blocks in turn, so neither the driver nor a broadcast holds
+to the shared folder; a task reads its rows once, a few tiles at a time, and meets
+them with the blocks in turn, so neither the driver nor a broadcast holds
 the queries. A tile hands on the k best of each query, and those only if they
 reach the floor.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +35,22 @@ from lexforge.llm.shared import discard, opened_store, part_files, written
 
 #: Bytes of query vectors in a block, of row vectors in a tile and of the sample that floors are taken from.
 QUERY_BYTES, TILE_BYTES, SAMPLE_BYTES = 8 << 20, 8 << 20, 2 << 20
-LEVELS = (1, 4, 16)
-#: Queries that meet a tile at a time.
-STRIP = 512
-#: Above this share of pairs left, a matrix product of all is cheaper than gathering the pairs that are left.
-DENSE = 1 / 64
-#: A level that leaves more than DENSE of the pairs it sees is left out for so many meetings.
-REST = 15
+
+
+class Front(NamedTuple):
+    """A level with single components in front, and segments of ``step`` behind."""
+
+    eighths: int
+    step: int
+
+
+LEVELS = (1, 4, 16, Front(5, 4), Front(7, 4))
+#: Queries that meet a tile at a time, and tiles that are held with their statistics (some four times their bytes).
+STRIP, HELD = 512, 6
+#: Above this share of pairs left, the next level's bounds come as one matrix product; below it the pairs left are gathered.
+DENSE = 1 / 16
+#: Pairs that are gathered at a time.
+GATHER = 1 << 15
 #: Integers up to here are exact in products and sums of doubles.
 EXACT = float(1 << 53)
 #: Components up to here have squares and sums that bounds can be taken of.
@@ -61,15 +75,29 @@ def _floor(y):
     return F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
 
 
-def segments(x: np.ndarray, parts: int) -> np.ndarray:
+def cuts_of(width: int, level: int | Front) -> np.ndarray:
+    """Where the segments of a level begin."""
+    if isinstance(level, Front):
+        front = width * level.eighths // 8
+        return np.concatenate([np.arange(front), np.arange(front, width, level.step)])
+    return np.linspace(0, width, min(level, width) + 1).astype(int)[:-1]
+
+
+def levels_of(width: int, levels) -> list:
+    """The levels that have fewer segments than a vector has components."""
+    return [n for n in levels if (width >= 16 if isinstance(n, Front) else n < width)]
+
+
+def segments(x: np.ndarray, level: int | Front) -> np.ndarray:
     """Means and deviations of segments, weighted so that the inner product of
-    two rows is the bound."""
-    cuts = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
-    width = np.diff(cuts)
-    mean = np.add.reduceat(x, cuts[:-1], axis=1) / width
-    squares = np.add.reduceat(x * x, cuts[:-1], axis=1) / width
-    deviation = np.sqrt(np.maximum(0, squares - mean * mean))
-    return np.concatenate([mean, deviation], axis=1) * np.sqrt(np.concatenate([width, width]))
+    two rows is the bound. A single component has no deviation."""
+    cuts = cuts_of(x.shape[1], level)
+    width = np.diff(np.append(cuts, x.shape[1]))
+    mean = np.add.reduceat(x, cuts, axis=1) / width
+    squares = np.add.reduceat(x * x, cuts, axis=1) / width
+    wide = width > 1
+    deviation = np.sqrt(np.maximum(0, squares - mean * mean))[:, wide]
+    return np.concatenate([mean * np.sqrt(width), deviation * np.sqrt(width[wide])], axis=1)
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -86,11 +114,10 @@ class Block:
 
     def __init__(self, key: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, levels=LEVELS):
         self.key, self.ids, self.q, self.floor = key, ids, vectors, floor.astype(np.float64)
-        self.levels = [n for n in levels if n < vectors.shape[1]]
+        self.levels = levels_of(vectors.shape[1], levels)
         self.most = float(np.abs(vectors).max(initial=0))
         fine = self.most <= BOUNDED
         self.stats = [segments(vectors, n) if fine else None for n in self.levels]
-        self.rest = [0] * len(self.levels)
         self.pairs = self.exact = 0
         self.passed = [0] * len(self.levels)
 
@@ -104,9 +131,6 @@ class Block:
         for n, (a, b) in enumerate(zip(self.stats, stats)):
             if a is None or b is None:
                 continue
-            if self.rest[n]:
-                self.rest[n] -= 1
-                continue
             if alive is None or alive.dtype == bool:
                 bound = a @ b.T
                 here = bound + (1 + 1e-9 * np.abs(bound)) >= floor
@@ -114,16 +138,16 @@ class Block:
                 left = int(np.count_nonzero(alive))
                 if left <= DENSE * total:
                     alive = np.stack(np.nonzero(alive))
-                else:
-                    self.rest[n] = REST
             else:
-                bound = np.einsum("ij,ij->i", a[alive[0]], b[alive[1]])
+                bound = _gathered(a, b, *alive)
                 alive = alive[:, bound + (1 + 1e-9 * np.abs(bound)) >= self.floor[alive[0]]]
                 left = alive.shape[1]
             self.passed[n] += left
+        if alive is not None and alive.dtype == bool and np.count_nonzero(alive) <= total // 2:
+            alive = np.stack(np.nonzero(alive))
         if alive is not None and alive.dtype != bool:
             qi, xi = alive
-            score = exact_scores(self.q[qi], x[xi])
+            score = np.concatenate([exact_scores(self.q[qi[s : s + GATHER]], x[xi[s : s + GATHER]]) for s in range(0, max(1, len(qi)), GATHER)])
             self.exact += len(qi)
             fine = score >= self.floor[qi]
             qi, xi, score = qi[fine], xi[fine], score[fine]
@@ -164,6 +188,10 @@ class Block:
         return qi, xi, scores[qi, xi].astype(np.int64)
 
 
+def _gathered(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", a[i[s : s + GATHER]], b[j[s : s + GATHER]]) for s in range(0, max(1, len(i)), GATHER)])
+
+
 def _best(qi: np.ndarray, xi: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple:
     """The k best of each query, ties to the smaller identifier."""
     order = np.lexsort((ids[xi], ~score, qi))  # ~s orders integers downwards, without overflow
@@ -174,7 +202,7 @@ def _best(qi: np.ndarray, xi: np.ndarray, score: np.ndarray, ids: np.ndarray, k:
 
 def tile_stats(x: np.ndarray, levels=LEVELS) -> list:
     fine = float(np.abs(x).max(initial=0)) <= BOUNDED
-    return [segments(x, n) if fine else None for n in levels if n < x.shape[1]]
+    return [segments(x, n) if fine else None for n in levels_of(x.shape[1], levels)]
 
 
 def _arrays(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -280,14 +308,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("topk")
-        kept = list(_blocks(files, levels)) if len(files) == 1 else None  # one file is read once
-        for ids, x in _rows(batches):
-            stats = tile_stats(x, levels)
-            for block in kept or _blocks(files, levels):
-                if block.q.shape[1] == x.shape[1]:
+        tiles = _rows(batches)
+        # files outside, tiles inside: a file is read once for as many tiles as are held, and floors stay raised
+        while held := list(itertools.islice(tiles, HELD)):
+            stats = [tile_stats(x, levels) for _, x in held]
+            for block in _blocks(files, levels):
+                for (ids, x), own_stats in zip(held, stats):
+                    if block.q.shape[1] != x.shape[1]:
+                        continue
                     step = max(1, (64 << 20) // (8 * len(block.ids)))  # products of bounded size
                     for s in range(0, len(ids), step):
-                        part = [None if b is None else b[s : s + step] for b in stats]
+                        part = [None if b is None else b[s : s + step] for b in own_stats]
                         qi, xi, score, own = block.meet(ids[s : s + step], x[s : s + step], part, k)
                         yield pa.RecordBatch.from_arrays([pa.array(block.key[qi]), pa.array(block.ids[qi]), pa.array(ids[s : s + step][xi]), pa.array(score), pa.array(own)], names=["key", "query_id", "vec_id", "score", "own"])
 

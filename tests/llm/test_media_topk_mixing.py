@@ -61,6 +61,31 @@ def test_long_texts_take_several_pages():
     assert len(pages) == 2 and b"".join(p.pixels.tobytes() for p in pages) == payload
 
 
+def test_decoders_stop_at_the_size_of_a_strip():
+    """A small strip that would unpack to much more is cut at its size."""
+    zeros = bytes(1 << 20)
+    for encode, decode in ((tiff.lzw_encode, tiff.lzw_decode), (tiff.packbits_encode, tiff.packbits_decode)):
+        packed = encode(zeros)
+        assert decode(packed) == zeros and 1000 <= len(decode(packed, 1000)) < 1000 + 4096
+    # a table that is never cleared does not grow beyond twelve bits
+    assert tiff.lzw_decode(tiff.lzw_encode(bytes(range(256)) * 300)) == bytes(range(256)) * 300
+
+
+def test_payloads_take_every_form():
+    import zlib
+
+    rng = random.Random(1)
+    seen = set()
+    for n in range(2000):
+        payload = bytes(rng.choice(b"abc \0") for _ in range(64 * rng.randint(1, 3)))
+        if zlib.crc32(payload) % tiff.SHARE < len(tiff.FORMS) and zlib.crc32(payload) % tiff.SHARE not in seen:
+            seen.add(zlib.crc32(payload) % tiff.SHARE)
+            form = tiff.FORMS[zlib.crc32(payload) % tiff.SHARE]
+            (page,) = tiff.read_pages(tiff.stored(payload))
+            assert page.pixels.tobytes() == payload and (page.compression, page.predictor, page.layout) == (tiff.NAMES[form[0]], form[1], "tiles" if form[2] else "strips")
+    assert seen == set(range(len(tiff.FORMS)))
+
+
 def test_damaged_files_give_error_rows(spark):
     rng = random.Random(9)
     nprng = np.random.default_rng(9)
@@ -137,6 +162,24 @@ def test_bounds_hold_and_cut():
     assert want <= found
 
 
+def test_under_half_of_the_given_pairs_are_scored():
+    """The tables' vectors are alike in all directions: coarse levels leave all
+    pairs, the front levels few."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = table.column("vec_id").to_numpy(), np.floor(256 * np.array(table.column("embedding").to_pylist(), float))
+    asked = ids % 50 == 0
+    scores = x[asked] @ x.T
+    scores[ids[asked][:, None] == ids[None, :]] = -np.inf
+    floor = np.sort(scores, axis=1)[:, -5]
+    block = topk.Block(np.arange(asked.sum()), ids[asked], x[asked], floor)
+    qi, xi, _, own = block.meet(ids, x, topk.tile_stats(x), 5)
+    assert set(zip(*np.nonzero(scores >= floor[:, None]))) <= set(zip(qi[~own].tolist(), xi[~own].tolist()))
+    assert block.exact < 0.03 * block.pairs and block.passed[0] == block.pairs
+    assert block.passed == sorted(block.passed, reverse=True) and block.passed[3] < 0.25 * block.pairs
+
+
 def test_top_k_of_repeated_ids_and_huge_components(spark):
     rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (10, [0.0, 1.0]), (11, [1.0, 1.0]), (12, [1e200, -1e200]), (20, [2e155, 1e155]), (21, [1e155, 1e155])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
@@ -182,12 +225,12 @@ def test_mixing_odd_rows(odd_docs, no_docs):
     assert mixing.mixed(no_docs).count() == 0
     assert mixing.mixed(odd_docs, weights={"nowhere": 1.0}).count() == 0
     assert mixing.mixed(odd_docs, copy_col=None, key_col=None).columns == odd_docs.columns
-    clash = odd_docs.withColumnRenamed("batch", "copy_no")
-    with pytest.raises(ValueError):
-        mixing.mixed(clash)
-    assert mixing.mixed(clash, copy_col="nth").columns == [*clash.columns, "nth", "shuffle_key"]
-    keys = [r["shuffle_key"] for r in out.collect()]
-    assert keys == [r["shuffle_key"] for r in mixing.mixed(odd_docs).collect()]
+    # a column of the input that is named like a new one makes way, whatever its case
+    clash = odd_docs.withColumnRenamed("batch", "Copy_No").withColumnRenamed("rank", "shuffle_key")
+    made = mixing.mixed(clash)
+    assert made.columns == [c for c in odd_docs.columns if c not in ("batch", "rank")] + ["copy_no", "shuffle_key"]
+    assert sorted((str(r["doc_id"]), r["copy_no"]) for r in made.collect()) == sorted((str(r["doc_id"]), r["copy_no"]) for r in out.collect())
+    assert "Copy_No" in mixing.mixed(clash, copy_col="nth", key_col=None).columns
 
 
 def test_mixing_stays_native(odd_docs):
