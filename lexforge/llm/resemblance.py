@@ -16,7 +16,7 @@ vanish above it: at 0.85 they are below 0.00004.
 
 How it stays whole and bounded. Texts of equal words are one class. A round
 takes, for each class in each cell, its nearest candidates that are not in its
-component yet, at most ``FIRST`` in the first round and ``GROWTH`` times as many
+component yet and share no cell of an earlier band with it, at most ``FIRST`` in the first round and ``GROWTH`` times as many
 in each further one; pairs once checked are not checked again. Rounds end when no
 class has an untried candidate outside its component, so no candidate is lost, and a
 group of near copies costs a few checks for each member instead of all pairs. A
@@ -120,7 +120,16 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, sim long, n int, keys array<long>")
 
 
-def nearest(fp: np.ndarray, sim: np.ndarray, n: np.ndarray, root: np.ndarray, most: int, least: float = LEAST, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, bool, int, int]:
+def met_before(keys: np.ndarray | None, band: np.ndarray | int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs share a cell of an earlier band, where they are candidates
+    already: a pair counts in the first cell that it shares only."""
+    if keys is None or not len(a):
+        return np.zeros(len(a), bool)
+    earlier = np.arange(keys.shape[1])[None, :] < np.broadcast_to(band, len(keys))[a][:, None]
+    return ((keys[a] == keys[b]) & earlier).any(axis=1)
+
+
+def nearest(fp: np.ndarray, sim: np.ndarray, n: np.ndarray, root: np.ndarray, most: int, least: float = LEAST, radius: int = RADIUS, tile: int = TILE, keys: np.ndarray | None = None, band: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, bool, int, int]:
     """Candidates of one cell: (positions a, positions b, all, compared, skipped).
 
     Each class brings its ``most`` nearest of another component, by bits and
@@ -143,6 +152,8 @@ def nearest(fp: np.ndarray, sim: np.ndarray, n: np.ndarray, root: np.ndarray, mo
             apart = np.bitwise_count(bits[left][:, None] ^ bits[right][None, :])
             sizes = np.minimum(n[left][:, None], n[right][None, :]) >= least * np.maximum(n[left][:, None], n[right][None, :])
             a, b = np.nonzero((apart <= radius) & sizes & (root[left][:, None] != root[right][None, :]))
+            new = ~met_before(keys, band, left[a], right[b])
+            a, b = a[new], b[new]
             found.append((a, right[b], apart[a, b]))
         if found:
             a, b, d = (np.concatenate([x[k] for x in found]) for k in range(3))
@@ -156,7 +167,7 @@ def nearest(fp: np.ndarray, sim: np.ndarray, n: np.ndarray, root: np.ndarray, mo
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none]), whole, compared, skipped
 
 
-def _small(cell: np.ndarray, fp, sim, n, root, most: int, least: float, radius: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _small(cell: np.ndarray, fp, sim, n, root, most: int, least: float, radius: int, keys: np.ndarray | None = None, band: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
     """:func:`nearest` for many small cells at once; ``cell`` is ascending."""
     bits, pos_a, pos_b = sim.view(np.uint64), [], []
     ends = np.searchsorted(cell, cell, side="right")
@@ -164,8 +175,10 @@ def _small(cell: np.ndarray, fp, sim, n, root, most: int, least: float, radius:
         a = np.flatnonzero(np.arange(len(cell)) + step < ends)
         b = a + step
         near = (np.bitwise_count(bits[a] ^ bits[b]) <= radius) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])) & (root[a] != root[b])
-        pos_a.append(a[near])
-        pos_b.append(b[near])
+        a, b = a[near], b[near]
+        new = ~met_before(keys, band, a, b)
+        pos_a.append(a[new])
+        pos_b.append(b[new])
     a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (pos_a, pos_b))
     a, b = np.append(a, b), np.append(b, a)
     order = np.lexsort((fp[b], np.bitwise_count(bits[a] ^ bits[b]), a))
@@ -184,7 +197,7 @@ def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, r
     parts = F.ceil(F.col("size") / LIMIT).cast("int")
     home = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
     everywhere = (F.col("fp") == F.col("hub")) if turn == 0 else (F.col("root") != F.col("major"))
-    dealt = labelled.join(cells, "cell").select("cell", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(home)).alias("part"), "fp", "sim", "n", "root")
+    dealt = labelled.join(cells, "cell").select("cell", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(home)).alias("part"), "fp", "sim", "n", "root", "band", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("simhash")
@@ -195,11 +208,11 @@ def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, r
             size = np.bincount(cell)[cell]
             few = np.flatnonzero(size <= 64)
             own = {k: rows[k][few] for k in ("fp", "sim", "n", "root")}
-            a, b, whole = _small(cell[few], *own.values(), most, least, radius)
+            a, b, whole = _small(cell[few], *own.values(), most, least, radius, rows["keys"][few], rows["band"][few])
             pairs = [(few[a], few[b])]
             for big in np.unique(cell[size > 64]):
                 at = np.flatnonzero(cell == big)
-                a, b, all_of, _, _ = nearest(*(rows[k][at] for k in ("fp", "sim", "n", "root")), most, least, radius)
+                a, b, all_of, _, _ = nearest(*(rows[k][at] for k in ("fp", "sim", "n", "root")), most, least, radius, keys=rows["keys"][at], band=rows["band"][at])
                 pairs.append((at[a], at[b]))
                 whole &= all_of
             a, b = (np.concatenate([p[k] for p in pairs]) for k in range(2))
@@ -213,7 +226,8 @@ def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, r
 
         held = None
         for batch in batches:
-            rows = {c: batch.column(k).to_numpy() for k, c in enumerate(("cell", "part", "fp", "sim", "n", "root"))}
+            rows = {c: batch.column(k).to_numpy() for k, c in enumerate(("cell", "part", "fp", "sim", "n", "root", "band"))}
+            rows["keys"] = batch.column(7).flatten().to_numpy().reshape(-1, BANDS)
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
             # the last cell of a batch may go on in the next
@@ -243,13 +257,19 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, width: int)
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("simhash")
         for batch in batches:
-            words = [words_of(t.as_py()) for t in batch.column(0)]
-            fps = np.array([class_of(w) for w in words], np.int64)
+            fps, sets = [], []
+            for text in batch.column(0):  # one text's words at a time
+                words = words_of(text.as_py())
+                fp = class_of(words)
+                if few is None:
+                    fps.append(fp)
+                elif (at := int(np.searchsorted(few.value, fp))) < len(few.value) and few.value[at] == fp:
+                    fps.append(fp)
+                    sets.append(packed(words))
             if few is None:
-                yield pa.RecordBatch.from_arrays([pa.array(fps), batch.column(0)], names=["fp", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), batch.column(0)], names=["fp", "text"])
             else:
-                at = np.flatnonzero(np.isin(fps, few.value))
-                yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array([packed(words[k]) for k in at], pa.binary())], names=["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
     def packed(words: list[bytes]) -> bytes:
         return np.unique(shingle_hashes(words, width).astype(np.uint32)).tobytes()
@@ -320,7 +340,9 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, width: int
     similarity ``least`` connect, written to the shared folder."""
     spark = docs.sparkSession
     cell = F.posexplode("keys").alias("band", "key")
-    every = classes.filter("keys IS NOT NULL").select("fp", "sim", "n", cell).select(F.xxhash64("band", "key").alias("cell"), "fp", "sim", "n")
+    # half of each key says whether a pair shares that band's cell
+    halves = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
+    every = classes.filter("keys IS NOT NULL").select("fp", "sim", "n", halves, cell).select(F.xxhash64("band", "key").alias("cell"), "fp", "sim", "n", "band", "keys")
     shared = every.groupBy("cell").agg(F.count("*").alias("c")).filter("c > 1").select("cell")
     members = written(every.join(shared, "cell"), "cells")
     links = spark.createDataFrame([], "a long, b long")
