@@ -129,8 +129,9 @@ def noise_penalty(type_: Column, whole: Column, text: Column, intent: Column) ->
     )
 
 
-def select_nodes(scored: DataFrame, budget: int = 8) -> DataFrame:
-    """A diverse choice of up to ``budget`` nodes for each query and document.
+def select_nodes(scored: DataFrame, budget: int | str = 8) -> DataFrame:
+    """A diverse choice of up to ``budget`` nodes (a number, or a column that has
+    it) for each query and document.
 
     In the order of their scores, the first half of the choice takes one node of
     each parent (nodes without a parent are never in each other's way), and the
@@ -139,11 +140,12 @@ def select_nodes(scored: DataFrame, budget: int = 8) -> DataFrame:
     """
     import pandas as pd
 
-    rows = scored.filter("type <> 'document'").select("query_id", "doc_id", "node_id", "parent_id", "order_index", "score", (F.col("text") == "").alias("bare"))
+    rows = scored.filter("type <> 'document'").select("query_id", "doc_id", "node_id", "parent_id", "order_index", "score", (F.col("text") == "").alias("bare"), (F.col(budget).cast("int") if isinstance(budget, str) else F.lit(budget)).alias("budget"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    half = max(2, budget // 2)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        budget = int(frame["budget"].iloc[0])
+        half = max(2, budget // 2)
         frame = frame.assign(s=frame["score"].round(9)).sort_values(["s", "bare", "order_index", "node_id"], ascending=[False, True, True, True], ignore_index=True)
         if budget < 4:  # half of so small a budget is one node without text
             frame = frame[(frame.index == 0) | ~frame["bare"]]

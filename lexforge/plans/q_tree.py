@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexforge.operators import hybrid, lexical, tables, tree
+from lexforge.operators import descent, hybrid, lexical, tables, tree
 from lexforge.plans import inputs as I
 from lexforge.plans.registry import query
 from lexforge.sources import files
@@ -83,6 +83,33 @@ def tree_select(spark, sf_dir):
     return tree.select_nodes(_tree_scores(spark, sf_dir), 4)
 
 
+def _tree_search(spark, sf_dir):
+    """All benchmark items in the four documents that fit each best."""
+    asked = I.passages(spark, sf_dir)
+    nodes = tree.build_tree(_line_blocks(spark, sf_dir))
+    leaves = nodes.filter("text <> ''")
+    found = lexical.bm25(asked, leaves)
+    top = lexical.ranked(found, 40, F.round("score", 9), F.col("node_id")).join(leaves.select("node_id", "doc_id"), "node_id")
+    best = top.groupBy("query_id", "doc_id").agg(F.min(F.round("score", 9)).alias("best"))
+    routed = lexical.ranked(best, 4, F.col("best"), F.col("doc_id"), name="at")
+    return descent.tree_search(nodes, routed, top.select("query_id", "node_id", "rank", F.lit(0.0).alias("vector_score")), hybrid.classify(asked), k=8)
+
+
+@query("tree_search")
+def tree_search(spark, sf_dir):
+    results, _, _ = _tree_search(spark, sf_dir)
+    return results.withColumn("score", F.round("score", 6))
+
+
+@query("tree_search_trace")
+def tree_search_trace(spark, sf_dir):
+    """Ways to the evidence and the nodes expanded on them, in one table."""
+    _, ways, opened = _tree_search(spark, sf_dir)
+    way = ways.select("query_id", "doc_id", F.lit("path").alias("kind"), "node_id", "place", F.array_join("path", ">").alias("path"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("double").alias("score"))
+    step = opened.select("query_id", "doc_id", F.lit("child").alias("kind"), "node_id", F.col("rank").alias("place"), F.col("chosen").alias("path"), "child", F.round("subtree_score", 6).alias("score"))
+    return way.unionByName(step)
+
+
 @query("quality_level", """
 WITH n AS (SELECT doc_id, doc_id % 7 AS sections, 1 AS paragraphs, doc_id % 13 AS refs FROM documents),
 m AS (SELECT doc_id, 1 + (doc_id % 2) + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT AS have, doc_id % 5 = 0 AS abs FROM documents),
