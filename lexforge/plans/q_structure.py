@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexforge.operators import citations, recovery
+from lexforge.operators import citations, outline, recovery
 from lexforge.operators.tables import METRIC
 from lexforge.plans import inputs as I
 from lexforge.plans.registry import query
@@ -168,3 +168,39 @@ FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def citation_status(spark, sf_dir):
     refs, said = citations.citation_map(_cited_nodes(spark, sf_dir))
     return citations.status(I.table(spark, sf_dir, "documents"), refs, said)
+
+
+def _paper_blocks(spark, sf_dir):
+    """Documents as one block of lines each; by their place, lines are headed,
+    captioned, rows, entries or plain."""
+    m = lambda i: i % 11
+    said = lambda x, i: F.when(F.trim(x) == "", "").when(m(i) == 0, F.concat(F.lit("Abstract: "), x)).when((m(i) == 2) & (F.floor(i / 11) % 3 == 2), "References").when(m(i) == 3, F.concat(F.lit("Table 1 "), x)).when(m(i) == 4, F.concat(F.lit("a | b | "), x)).when(m(i) == 5, F.concat(F.lit("ours 1 "), x)).when(m(i) == 7, "2.1 Methods").when(m(i) == 8, F.concat(F.lit("Figure 2 "), x)).when(m(i) == 9, F.concat(F.lit("[3] "), x)).otherwise(F.concat(F.lit("w "), x))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), said)
+    none = F.lit("")
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("position"), F.lit("paragraph").alias("kind"), F.lit(0).alias("level"), none.alias("heading"), F.array_join(lines, "\n").alias("text"))
+
+
+PAPERS = "WITH " + I.SQL_LINES + rf""",
+said AS (SELECT doc_id, order_index AS i, order_index % 11 AS m, order_index % 11 = 2 AND (order_index // 11) % 3 = 2 AS opens, {COMPACT.format(c="text")} AS t FROM nodes),
+lined AS (SELECT *, CASE WHEN m = 0 THEN 'Abstract: ' || t WHEN opens THEN 'References' WHEN m = 3 THEN 'Table 1 ' || t WHEN m = 4 THEN 'a | b | ' || t WHEN m = 5 THEN 'ours 1 ' || t WHEN m = 7 THEN '2.1 Methods' WHEN m = 8 THEN 'Figure 2 ' || t WHEN m = 9 THEN '[3] ' || t ELSE 'w ' || t END AS raw FROM said),
+line AS (SELECT *, trim(raw) AS line, CASE WHEN m = 0 THEN '摘要' WHEN opens THEN '参考文献' WHEN m = 7 THEN '2.1 Methods' END AS title FROM lined),
+sets AS (SELECT *, CASE WHEN title IS NOT NULL THEN opens END AS sets_list, CASE WHEN m = 0 THEN 'abstract' WHEN opens THEN 'reference' WHEN m = 7 THEN '' WHEN m = 3 THEN 'table' END AS sets_context FROM line),
+state AS (SELECT *, coalesce(last_value(sets_list IGNORE NULLS) OVER w, false) AS listed, coalesce(last_value(sets_context IGNORE NULLS) OVER w, '') AS context FROM sets WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kinds AS (SELECT *, CASE WHEN title IS NOT NULL THEN 'heading' WHEN m = 8 THEN 'figure' WHEN m = 3 THEN 'table' WHEN listed OR m = 9 THEN 'reference' WHEN context = 'table' AND length(line) <= 180 AND len({_cells_sql('line')}) > 0 THEN 'rows' ELSE 'text' END AS what FROM state),
+begun AS (SELECT *, CASE WHEN what NOT IN ('rows', 'text') OR lag(what) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM what THEN i END AS start FROM kinds),
+runs AS (SELECT *, last_value(start IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM begun),
+made AS (
+  SELECT doc_id, run, 0 AS sub, CASE WHEN what = 'rows' THEN 'table' WHEN what = 'text' THEN CASE WHEN any_value(context) IN ('abstract', 'keywords') THEN any_value(context) ELSE 'paragraph' END ELSE what END AS kind, max(CASE WHEN m = 7 THEN 2 WHEN title IS NOT NULL THEN 1 ELSE 0 END) AS level, coalesce(max(title), '') AS heading, CASE WHEN what = 'heading' THEN '' WHEN what = 'rows' THEN string_agg(line, chr(10) ORDER BY i) ELSE string_agg(line, ' ' ORDER BY i) END AS text
+  FROM runs GROUP BY doc_id, run, what
+  UNION ALL SELECT doc_id, i, 1, 'abstract', 0, '', t FROM runs WHERE m = 0 AND t <> '')"""
+
+
+@query("paper_blocks", PAPERS + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, sub)::INT AS part, kind, level::INT AS level, heading, text FROM made")
+def paper_blocks(spark, sf_dir):
+    return outline.normalized(_paper_blocks(spark, sf_dir)).select("doc_id", "part", "kind", "level", "heading", "text")
+
+
+@query("paper_markdown", PAPERS + r"""
+SELECT doc_id, sha256(string_agg(CASE WHEN kind = 'heading' THEN repeat('#', level::INT) || ' ' || heading ELSE text END, chr(10) || chr(10) ORDER BY run, sub) || chr(10)) AS sha FROM made GROUP BY doc_id""")
+def paper_markdown(spark, sf_dir):
+    return outline.markdown(outline.normalized(_paper_blocks(spark, sf_dir))).select("doc_id", F.sha2("markdown", 256).alias("sha"))
