@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexforge.operators import citations, outline, recovery
+from lexforge.functions import fact_terms
+from lexforge.operators import citations, outline, recovery, rule_facts
 from lexforge.operators.tables import METRIC
 from lexforge.plans import inputs as I
 from lexforge.plans.registry import query
@@ -204,3 +205,66 @@ def paper_blocks(spark, sf_dir):
 SELECT doc_id, sha256(string_agg(CASE WHEN kind = 'heading' THEN repeat('#', level::INT) || ' ' || heading ELSE text END, chr(10) || chr(10) ORDER BY run, sub) || chr(10)) AS sha FROM made GROUP BY doc_id""")
 def paper_markdown(spark, sf_dir):
     return outline.markdown(outline.normalized(_paper_blocks(spark, sf_dir))).select("doc_id", F.sha2("markdown", 256).alias("sha"))
+
+
+#: More words of the texts stand for terms of the lists.
+FACT_WORDS = {"is": "提出", "to": "任务规划", "in": "实验", "die": "局限", "la": "某新算法", "le": "成功率", "est": "方法", "den": "服务机器人"}
+
+
+def _fact_nodes_in(spark, sf_dir):
+    nodes, text = _cited_nodes(spark, sf_dir), F.col("text")
+    for word, term in FACT_WORDS.items():
+        text = F.regexp_replace(text, rf" {word} ", f" {term} ")
+    return nodes.withColumn("text", F.when(F.col("kind") == "reference", F.col("text")).otherwise(text))
+
+
+def _worded_sql() -> str:
+    out = _marked_sql()
+    for word, term in FACT_WORDS.items():
+        out = f"replace({out}, ' {word} ', ' {term} ')"
+    return out
+
+
+CHOSEN = CITATIONS + rf""",
+worded AS (SELECT doc_id, node_id, order_index, {_worded_sql()} AS text FROM nodes WHERE NOT ({FOURTH})),
+scores AS (SELECT doc_id, node_id, order_index, 2 * ({" + ".join(f"contains(text, '{w}')::INT" for g in fact_terms.CLAIM_TOKENS.values() for w in g)}) AS s FROM worded),
+tiers AS (SELECT doc_id, node_id, 1 AS tier, order_index AS a, 0 AS b FROM worded WHERE (doc_id, node_id) IN (SELECT (doc_id, node_id) FROM citations) UNION ALL SELECT doc_id, node_id, 2, -s, order_index FROM scores WHERE s > 0),
+firsts AS (SELECT doc_id, node_id, min({{'tier': tier, 'a': a, 'b': b}}) AS at_ FROM tiers GROUP BY doc_id, node_id),
+chosen AS (SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY at_, node_id) AS place, at_.tier AS tier FROM firsts QUALIFY place <= 24)"""
+
+
+@query("fact_nodes", CHOSEN + " SELECT doc_id, node_id, place::INT AS place, tier::INT AS tier FROM chosen")
+def fact_nodes(spark, sf_dir):
+    nodes = _fact_nodes_in(spark, sf_dir)
+    said = citations.marks(nodes).join(nodes.select("node_id", "order_index"), "node_id")
+    return rule_facts.fact_nodes(nodes, citing=said.groupBy("doc_id", "node_id").agg(F.min("order_index").alias("at")))
+
+
+def _cases(groups, column):
+    return " ".join(f"WHEN {' OR '.join(f'''contains({column}, '{w}')''' for w in words)} THEN '{k}'" for k, words in groups.items())
+
+
+@query("rule_facts", CHOSEN + rf""",
+read AS (SELECT w.* FROM worded w JOIN chosen USING (doc_id, node_id)),
+parts AS (SELECT doc_id, node_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?;；\n]+|\.\s+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: length(s) >= 12 AND regexp_matches(s, '[\p{{L}}\p{{N}}]'))[1:5] AS l FROM read),
+sents AS (SELECT doc_id, node_id, unnest(l) AS s, unnest(range(len(l))) AS p FROM parts),
+claims AS (SELECT doc_id, node_id, p, CASE WHEN length(s) <= 420 THEN s ELSE rtrim(substr(s, 1, 420)) || ' ...' END AS text, CASE {_cases(fact_terms.CLAIM_TOKENS, 's')} ELSE 'claim' END AS type FROM sents),
+terms(term, type) AS (VALUES {", ".join(f"('{t}', '{k}')" for t, k, _ in rule_facts.dictionary())}),
+ents AS (
+  SELECT doc_id, node_id, term AS name, type FROM read JOIN terms ON contains(text, term)
+  {"".join(f"UNION ALL SELECT doc_id, node_id, unnest(regexp_extract_all(text, '{p.replace(chr(92) + 'u4e00-' + chr(92) + 'u9fff', '一-鿿')}')), '{k}' FROM read " for k, p in fact_terms.ENTITY_PATTERNS.items())}),
+named AS (SELECT DISTINCT node_id, name FROM ents),
+cited AS (SELECT DISTINCT doc_id, node_id, ref_id FROM citations),
+facts AS (
+  SELECT doc_id, 'claim' AS fact_type, type FROM claims UNION ALL SELECT doc_id, 'entity', type FROM ents
+  UNION ALL SELECT doc_id, 'entity', 'citation' FROM (SELECT DISTINCT doc_id, ref_id FROM cited)
+  UNION ALL SELECT doc_id, 'relation', 'supports' FROM claims
+  UNION ALL SELECT c.doc_id, 'relation', CASE WHEN c.type = 'limitation' THEN 'limits' ELSE 'uses' END FROM claims c JOIN named n ON c.node_id = n.node_id AND contains(c.text, n.name)
+  UNION ALL SELECT doc_id, 'relation', 'cites' FROM cited)
+SELECT doc_id, fact_type, type, count(*) AS n FROM facts GROUP BY doc_id, fact_type, type""")
+def rule_facts_query(spark, sf_dir):
+    nodes = _fact_nodes_in(spark, sf_dir)
+    refs, said = citations.citation_map(nodes)
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"))
+    terms = spark.createDataFrame(rule_facts.dictionary(), "term string, type string, priority int")
+    return rule_facts.extracted(docs, nodes, refs, said, terms).groupBy("doc_id", "fact_type", "type").agg(F.count("*").alias("n"))
