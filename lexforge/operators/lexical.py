@@ -65,13 +65,18 @@ def bm25(queries: DataFrame, nodes: DataFrame, stats_nodes: DataFrame | None = N
     that results leave out still weigh in.
     """
     wanted = query_terms(queries)
-    found = postings(nodes, wanted)
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     n, average = corpus_stats(stats_nodes if stats_nodes is not None else nodes).first()
+    return weighed(wanted, postings(nodes, wanted), n, average)
+
+
+def weighed(wanted: DataFrame, found: DataFrame, n: int, average: float | None) -> DataFrame:
+    """(query_id, node_id, score) of terms (query_id, term) and all postings of
+    them (term, node_id, tf, node_len) in ``n`` nodes of that average length."""
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(C.BM25_FLOOR), F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("node_len") / F.lit(average or 1.0)))
-    weighed = found.join(frequency, "term").select("term", "node_id", (idf * weight).alias("w"))
-    return wanted.join(weighed, "term").groupBy("query_id", "node_id").agg((-F.sum("w")).alias("score"))
+    parts = found.join(frequency, "term").select("term", "node_id", (idf * weight).alias("w"))
+    return wanted.join(parts, "term").groupBy("query_id", "node_id").agg((-F.sum("w")).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int, *order: Column, partition: str = "query_id", name: str = "rank") -> DataFrame:

@@ -9,6 +9,8 @@ from lexforge.plans import inputs as I
 from lexforge.plans.q_frames import BUCKETS, _buckets
 from lexforge.plans.q_search import FALLBACK, WITH
 from lexforge.plans.registry import query
+from lexforge.sources.workspace import new_folder
+from lexforge.streaming import index
 
 HITS = WITH + ",\n" + FALLBACK + r""",
 best AS (SELECT * FROM (SELECT query_id, node_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), node_id) AS rank FROM bm25) WHERE rank <= 24),
@@ -102,3 +104,23 @@ WHERE n.path IS NULL OR o.hash <> n.hash OR length(o.path) % 3 = 1""")
 def stale_artifacts(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)
     return snapshots.stale(old.withColumn("version", F.when(F.length("path") % 3 == 1, "v1").otherwise("v2")), new.withColumn("version", F.lit("v2")))
+
+
+CHANGED = "documents AS (SELECT CASE WHEN doc_id % 11 = 4 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 2 THEN 'new words here ' || coalesce(text, '') ELSE text END AS text FROM documents_ WHERE doc_id % 13 <> 6)"
+
+
+@query("incremental_bm25", "WITH documents_ AS (SELECT * FROM documents), " + CHANGED + ", " + WITH[5:] + """,
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), node_id) AS rank FROM bm25)
+SELECT query_id, rank::INT AS rank, node_id, doc_id::VARCHAR AS doc_id, round(score, 6) AS score FROM best WHERE rank <= 8""")
+def incremental_bm25(spark, sf_dir):
+    """All documents, then a batch that changes some, deletes some and moves some
+    to other names; searched without a rebuild."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = new_folder(spark, "lexical-index")
+    put = lambda df: df.select("doc_id", F.lit("upsert").alias("op"), "text")
+    index.apply_batch(spark, folder, 0, put(docs))
+    left = docs.filter("doc_id % 13 <> 6").withColumn("text", F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("new words here "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    moved = left.filter("doc_id % 11 = 4")
+    gone = docs.filter("doc_id % 13 = 6 OR doc_id % 11 = 4").select("doc_id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
+    index.apply_batch(spark, folder, 1, put(left.filter("doc_id % 7 = 2 AND doc_id % 11 <> 4")).unionByName(put(moved.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))).unionByName(gone))
+    return index.bm25(I.passages(spark, sf_dir), folder, 8)
