@@ -10,7 +10,7 @@ from lexforge.plans.q_frames import BUCKETS, _buckets
 from lexforge.plans.q_search import FALLBACK, WITH
 from lexforge.plans.registry import query
 from lexforge.sources.workspace import new_folder
-from lexforge.streaming import index
+from lexforge.streaming import index, memory
 
 HITS = WITH + ",\n" + FALLBACK + r""",
 best AS (SELECT * FROM (SELECT query_id, node_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), node_id) AS rank FROM bm25) WHERE rank <= 24),
@@ -124,3 +124,35 @@ def incremental_bm25(spark, sf_dir):
     gone = docs.filter("doc_id % 13 = 6 OR doc_id % 11 = 4").select("doc_id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
     index.apply_batch(spark, folder, 1, put(left.filter("doc_id % 7 = 2 AND doc_id % 11 <> 4")).unionByName(put(moved.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))).unionByName(gone))
     return index.bm25(I.passages(spark, sf_dir), folder, 8)
+
+
+WRITES = r"""
+writes AS (SELECT 'conv-' || (conv_id % 3) AS scope, coalesce(role, '') AS type, 's' || (conv_id % 7) AS subject_key, conv_id * 1000 + turn AS seq, 1000000 + conv_id * 50000 + turn * 1000 - CASE WHEN turn % 5 = 4 THEN 120000 ELSE 0 END AS at_, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS content, (turn % 4) / 4.0::DOUBLE AS importance, CASE WHEN turn % 6 = 5 THEN 1000000 + conv_id * 50000 + 90000 END AS ttl, turn % 8 = 7 AS force FROM conversations)"""
+
+
+def _writes(spark, sf_dir):
+    """Conversation turns as memory writes: a few subjects, some late, some that
+    expire, some forced."""
+    at = F.lit(1_000_000) + F.col("conv_id") * 50_000 + F.col("turn") * 1000 - F.when(F.col("turn") % 5 == 4, 120_000).otherwise(0)
+    return I.table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("conv-"), (F.col("conv_id") % 3).cast("string")).alias("scope"), F.coalesce("role", F.lit("")).alias("type"), F.concat(F.lit("s"), (F.col("conv_id") % 7).cast("string")).alias("subject_key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), at.alias("at"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")).alias("content"),
+        (F.col("turn") % 4 / 4.0).alias("importance"), F.lit(None).cast("double").alias("confidence"), F.when(F.col("turn") % 6 == 5, F.lit(1_000_000) + F.col("conv_id") * 50_000 + 90_000).alias("ttl"), F.lit("").alias("refs"), (F.col("turn") % 8 == 7).alias("force"),
+    )
+
+
+@query("memory_writes", "WITH RECURSIVE " + WRITES.strip() + r""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY scope, type, subject_key ORDER BY seq) AS n FROM writes),
+fold AS (
+  SELECT scope, type, subject_key, seq, n, 'accepted' AS action, at_, content, importance, ttl FROM placed WHERE n = 1
+  UNION ALL
+  SELECT w.scope, w.type, w.subject_key, w.seq, w.n,
+    CASE WHEN w.at_ < f.at_ THEN 'late' WHEN w.force OR w.at_ >= f.ttl THEN 'accepted' ELSE 'merged' END,
+    CASE WHEN w.at_ < f.at_ THEN f.at_ ELSE w.at_ END,
+    CASE WHEN w.at_ < f.at_ THEN f.content WHEN w.force OR w.at_ >= f.ttl OR trim(regexp_replace(f.content, '\s+', ' ', 'g')) = '' THEN w.content WHEN w.content = '' OR contains(trim(regexp_replace(f.content, '\s+', ' ', 'g')), w.content) THEN trim(regexp_replace(f.content, '\s+', ' ', 'g')) WHEN contains(w.content, trim(regexp_replace(f.content, '\s+', ' ', 'g'))) THEN w.content ELSE trim(regexp_replace(f.content, '\s+', ' ', 'g')) || chr(10) || w.content END,
+    CASE WHEN w.at_ < f.at_ THEN f.importance WHEN w.force OR w.at_ >= f.ttl THEN w.importance ELSE greatest(f.importance, w.importance) END,
+    CASE WHEN w.at_ < f.at_ THEN f.ttl ELSE w.ttl END
+  FROM fold f JOIN placed w ON w.scope = f.scope AND w.type = f.type AND w.subject_key = f.subject_key AND w.n = f.n + 1)
+SELECT seq, scope, type, subject_key, action, sha256(content) AS sha, importance, ttl FROM fold""")
+def memory_writes(spark, sf_dir):
+    """What each write did, with the item after it."""
+    return memory.folded(_writes(spark, sf_dir)).select("seq", "scope", "type", "subject_key", "action", F.sha2("content", 256).alias("sha"), "importance", "ttl")
