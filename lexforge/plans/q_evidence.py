@@ -19,13 +19,34 @@ def layout_sections(spark, sf_dir):
     return V.layout(_line_blocks(spark, sf_dir)).select("doc_id", "position", "kind", (F.size("section_path") > 0).cast("int").alias("under"))
 
 
-@query("doc_cards", "WITH " + I.SQL_LINES + r""",
-n AS (SELECT doc_id, order_index, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x, lower(text) AS l FROM nodes),
+#: Common words of the texts stand for words that sections are told by.
+CARD_WORDS = {"and": "novel", "der": "contribution", "que": "approach", "de": "framework", "is": "limitation", "und": "future", "la": "method"}
+
+
+def _carded_sql() -> str:
+    out = "text"
+    for word, term in CARD_WORDS.items():
+        out = f"replace({out}, ' {word} ', ' {term} ')"
+    return out
+
+
+def _card_sql(name: str) -> str:
+    said = " OR ".join(f"contains(l, '{t.lower()}')" for t in V.CARD_TERMS[name])
+    return f"coalesce(arg_min(t, order_index) FILTER (WHERE quiet AND ({said})), '') AS {name}"
+
+
+@query("doc_cards", "WITH " + I.SQL_LINES + rf""",
+worded AS (SELECT doc_id, order_index, {_carded_sql()} AS text FROM nodes),
+n AS (SELECT doc_id, order_index, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x, lower(text) AS l FROM worded),
 t AS (SELECT *, CASE WHEN length(x) <= 220 THEN x ELSE rtrim(substr(x, 1, 220)) || '...' END AS t FROM n),
-q AS (SELECT *, length(t) - length(regexp_replace(t, '[>/]', '', 'g')) < 2 AND NOT regexp_matches(lower(t), '(issn|cn |journal of|copyright|http://|https://|www\.|doi|page\s+\d+|\b(vol\.|no\.|pp\.|journal|proceedings)\b)') AND NOT regexp_matches(t, '^\[\d+\]') AS quiet FROM t)
-SELECT doc_id, coalesce(arg_min(t, order_index) FILTER (WHERE quiet AND (contains(l, 'novel') OR contains(l, 'contribution') OR contains(l, 'innovation'))), '') AS innovation_summary FROM q GROUP BY doc_id""")
+s AS (SELECT *, regexp_matches(lower(t), '(dataset|method|model|framework|experiment|result|limitation)') AS signal FROM t),
+q AS (SELECT *, (signal OR length(t) - length(regexp_replace(t, '[>/]', '', 'g')) < 2) AND (signal OR NOT regexp_matches(lower(t), '\b(doi|vol\.|no\.|pp\.|journal|proceedings)\b')) AND NOT regexp_matches(lower(t), '(issn|cn |journal of|copyright|http://|https://|www\.|doi|page\s+\d+)') AND NOT regexp_matches(t, '^\[\d+\]') AS quiet FROM s)
+SELECT doc_id, coalesce(arg_min(t, order_index) FILTER (WHERE quiet), '') AS description, {", ".join(_card_sql(c) for c in V.CARD_TERMS)} FROM q GROUP BY doc_id""")
 def doc_cards(spark, sf_dir):
-    return V.doc_cards(I.lines(spark, sf_dir)).select("doc_id", "innovation_summary")
+    text = F.col("text")
+    for word, term in CARD_WORDS.items():
+        text = F.regexp_replace(text, rf" {word} ", f" {term} ")
+    return V.doc_cards(I.lines(spark, sf_dir).withColumn("text", text)).select("doc_id", "description", *V.CARD_TERMS)
 
 
 @query("insight_nodes", "WITH " + I.SQL_LINES + r""",
