@@ -149,7 +149,7 @@ def hybrid_rrf(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, k=8):
     asked, nodes = I.passages(spark, sf_dir), I.chunks(spark, sf_dir)
-    fts = lexical.ranked(lexical.bm25(asked, nodes), 32, F.round("score", 9), F.col("node_id"))
+    fts = lexical.best_nodes(asked, nodes, 32)
     text = T.text_of("text")
     found = vector.vector_top_k(vector.hash_embeddings(asked.withColumnRenamed("query", "text"), "query_id", text), vector.hash_embeddings(nodes, "node_id", text), 32)
     profiles = asked.select("query_id", hybrid.fusion_profile(F.col("query")).alias("p")).select("query_id", "p.fts_weight", "p.vector_weight")
