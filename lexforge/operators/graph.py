@@ -25,26 +25,31 @@ def knowledge_graph(facts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     fact = facts.select(F.concat(F.lit("fact:"), "fact_id").alias("id"), F.col("fact_type").alias("type"), F.substring("text", 1, 120).alias("label"), "doc_id", F.lit(1).alias("part"))
     evidence = facts.filter("node_id <> ''").select(F.concat(F.lit("node:"), "node_id").alias("id"), F.lit("evidence").alias("type"), F.col("node_id").alias("label"), "doc_id", F.lit(2).alias("part")).distinct()
     nodes = first_wins(doc.unionByName(fact).unionByName(evidence), ["id"], ["part", "label"]).drop("part")
-    of = facts.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source"), F.concat(F.lit("fact:"), "fact_id").alias("target"), F.lit("has_fact").alias("type"), "position")
-    by = facts.filter("node_id <> ''").select(F.concat(F.lit("fact:"), "fact_id").alias("source"), F.concat(F.lit("node:"), "node_id").alias("target"), F.lit("supported_by").alias("type"), "position")
+    of = facts.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source"), F.concat(F.lit("fact:"), "fact_id").alias("target"), F.lit("has_fact").alias("type"))
+    by = facts.filter("node_id <> ''").select(F.concat(F.lit("fact:"), "fact_id").alias("source"), F.concat(F.lit("node:"), "node_id").alias("target"), F.lit("supported_by").alias("type"))
     edges = of.unionByName(by).unionByName(_relations(facts))
-    edges = first_wins(edges, ["source", "target", "type"], ["position"], last=True).drop("position")
+    edges = edges.select("source", "target", "type").distinct()  # equal edges differ in nothing that is kept
     return nodes, edges.withColumn("id", F.substring(F.sha2(F.concat_ws("|", "source", "target", "type"), 256), 1, 16)).select("id", "source", "target", "type")
 
 
 def _relations(facts: DataFrame) -> DataFrame:
     named = facts.filter("fact_type <> 'relation'").select("fact_id", "doc_id", F.col("text").alias("name"), "position")
-    here = first_wins(named, ["doc_id", "name"], ["position", "fact_id"], last=True).select("doc_id", "name", F.col("fact_id").alias("by_doc"))
-    anywhere = first_wins(named, ["name"], ["position", "fact_id"], last=True).select("name", F.col("fact_id").alias("by_name"))
-    ids = named.select(F.col("fact_id").alias("name"), F.col("fact_id").alias("by_id"))
-    out = facts.filter("fact_type = 'relation'").select("doc_id", "subject_name", "object_name", "type", "position")
+    # the last of each name, by aggregates: a name may be that of most facts
+    last = F.max(F.struct("position", "fact_id"))["fact_id"]
+    here = named.groupBy("doc_id", "name").agg(last.alias("by_doc"))
+    anywhere = named.groupBy("name").agg(last.alias("by_name"))
+    ids = named.select(F.col("fact_id").alias("name"), F.col("fact_id").alias("by_id")).distinct()
+    out = facts.filter("fact_type = 'relation'").select("doc_id", "subject_name", "object_name", "type")
     for end in ("subject", "object"):
         found = out.join(ids.withColumnRenamed("name", f"{end}_name"), f"{end}_name", "left")
         found = found.join(here.withColumnRenamed("name", f"{end}_name"), ["doc_id", f"{end}_name"], "left")
-        found = found.join(anywhere.withColumnRenamed("name", f"{end}_name"), f"{end}_name", "left")
-        out = found.withColumn(end, F.coalesce("by_id", "by_doc", "by_name")).drop("by_id", "by_doc", "by_name")
+        found = found.withColumn(end, F.coalesce("by_id", "by_doc"))
+        # only ends that are not resolved ask by name alone; the others are spread, not met at a common name
+        asks = F.when(F.col(end).isNull(), F.concat(F.lit("n"), f"{end}_name")).otherwise(F.concat(F.lit("-"), end))
+        found = found.withColumn("_asks", asks).join(anywhere.select(F.concat(F.lit("n"), "name").alias("_asks"), "by_name"), "_asks", "left")
+        out = found.withColumn(end, F.coalesce(end, "by_name")).drop("by_id", "by_doc", "by_name", "_asks")
     ends = out.filter("subject IS NOT NULL AND object IS NOT NULL")
-    return ends.select(F.concat(F.lit("fact:"), "subject").alias("source"), F.concat(F.lit("fact:"), "object").alias("target"), "type", "position")
+    return ends.select(F.concat(F.lit("fact:"), "subject").alias("source"), F.concat(F.lit("fact:"), "object").alias("target"), "type")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
@@ -73,10 +78,12 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, type, n): counts of nodes and edges by type, and of isolated nodes."""
-    n = nodes.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "type", "n")
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("_met", F.lit(True))
+    counted = nodes.select("id", "type").join(ends, "id", "left").groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("_met").isNull()).alias("alone"))
+    parts = F.array(F.struct(F.lit("node").alias("part"), F.col("n")), F.struct(F.lit("isolated").alias("part"), F.col("alone").alias("n")))
+    n = counted.select("type", F.explode(parts).alias("p")).select("p.part", "type", "p.n").filter("n > 0")
     e = edges.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "type", "n")
-    i = isolated(nodes, edges).groupBy("type").agg(F.count("*").alias("n")).select(F.lit("isolated").alias("part"), "type", "n")
-    return n.unionByName(e).unionByName(i)
+    return n.unionByName(e)
 
 
 def mermaid(nodes: DataFrame, edges: DataFrame, max_nodes: int = 80, max_edges: int = 160) -> str:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexforge.operators import hybrid, lexical, vector
+from lexforge.operators import graph, hybrid, lexical, vector
 from lexforge.operators.best import Best, rounded
 from lexforge.operators.containment import best_by_terms, contained
 
@@ -48,6 +48,13 @@ def test_routing_by_fields_alone_is_as_with_signals(spark):
     assert rows(hybrid.route(asked, docs, k=5)) == rows(hybrid.route(asked, docs, none, k=5))
 
 
+def test_names_that_many_share_are_no_single_window(spark):
+    facts = spark.createDataFrame([(f"f{n}", "entity", n % 3, f"{n % 3}:0", "task", "cat", "", "", n) for n in range(9)] + [("r1", "relation", 7, "7:0", "uses", "x", "f1", "cat", 20), ("r2", "relation", 1, "1:0", "uses", "y", "f0", "cat", 21)], "fact_id string, fact_type string, doc_id int, node_id string, type string, text string, subject_name string, object_name string, position int")
+    _, edges = graph.knowledge_graph(facts, spark.createDataFrame([(0, "t")], "doc_id int, title string"))
+    assert sorted((r["source"], r["target"]) for r in edges.filter("type = 'uses'").collect()) == [("fact:f0", "fact:f7"), ("fact:f1", "fact:f8")]
+    assert "Window" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_best_nodes_are_those_of_all_scores(spark):
     nodes = spark.createDataFrame([(f"{n}:0", n, 0, "x", "", "", f"Über den Fluss {'cat ' * (n % 5)} dog{n % 7} the") for n in range(200)], "node_id string, doc_id int, order_index int, type string, heading string, node_path string, text string").repartition(3)
     asked = spark.createDataFrame([(1, "cat dog3"), (2, "uber"), (3, "zebra"), (4, "")], "query_id int, query string")
