@@ -9,11 +9,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions import config as C
 from lexforge.functions import text as T
+from lexforge.operators.best import PAIRS, Best, rounded
 from lexforge.operators.lexical import ranked
 
 #: Query vectors up to which a batch is broadcast (256 doubles each: 16 MB).
@@ -83,27 +85,29 @@ def vector_top_k(queries: DataFrame, nodes: DataFrame, k: int = 8, positive: boo
             if not table.num_rows:
                 return
             q = np.array(table.column("vector").to_pylist())
-            best: list[tuple[np.ndarray, list]] = [(np.zeros(0), [])] * len(q)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [r for r, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1] and None not in v]
-                if not rows:
-                    continue
-                flat = np.array([batch.column(1)[r].as_py() for r in rows], float)
-                score = q @ flat.T
-                for n in range(len(q)):
-                    keep = np.flatnonzero(score[n] > 0) if positive else np.arange(len(rows))
-                    s = np.concatenate([best[n][0], score[n][keep]])
-                    names = best[n][1] + [ids[rows[x]] for x in keep]
-                    if len(s) > 4 * k + 64:
-                        cut = np.partition(s, len(s) - k)[len(s) - k]
-                        stay = np.flatnonzero(np.round(s, 9) >= np.round(cut, 9))
-                        s, names = s[stay], [names[x] for x in stay]
-                    best[n] = (s, names)
-            own = table.column("query_id").to_pylist()
-            for n, (s, names) in enumerate(best):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([own[n]] * len(s), table.schema.field("query_id").type), pa.array(names, pa.int64() if kinds["node_id"] == "bigint" else pa.string()), pa.array(s)], names=["query_id", "node_id", "score"])
+            best, step = Best(len(q), k, "node_id"), max(1, PAIRS // len(q))
+            for whole in batches:
+                for first in range(0, whole.num_rows, step):
+                    batch = whole.slice(first, step)
+                    vectors = batch.column(1)
+                    size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+                    flat = vectors.flatten()
+                    if flat.null_count:  # a vector that holds a null takes no part
+                        row = np.repeat(np.arange(len(size)), np.maximum(size, 0))
+                        hole = np.zeros(len(size), bool)
+                        hole[row[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+                        size = np.where(hole, -1, size)
+                    rows = np.flatnonzero(size == q.shape[1])
+                    if not len(rows):
+                        continue
+                    flat = batch.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+                    score = flat.reshape(len(rows), -1) @ q.T
+                    at, query = np.nonzero(score > 0) if positive else np.divmod(np.arange(score.size), len(q))
+                    value = score[at, query]
+                    best.add(batch.select(["node_id"]), rows[at], query, rounded(-value, 9), score=value)
+            own = table.column("query_id").combine_chunks()
+            for out in best.rows(["_q", "node_id", "score"]):
+                yield pa.RecordBatch.from_arrays([own.take(out.column("_q")), out.column("node_id"), out.column("score")], names=["query_id", "node_id", "score"])
 
         one = nodes.select("node_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
@@ -124,15 +128,13 @@ def hash_provider(texts: list[str | None], dim: int = C.HASH_DIM) -> list[list[f
     out = []
     for text in texts:
         low = re.sub(r"\s+", " ", text or "").strip().lower()
-        v, tokens = np.zeros(dim), []
-        for t in re.findall(C.EMBEDDING_TOKEN, low):
-            tokens.append(t)
-            if len(t) > 2 and not t.isascii():
-                tokens += [t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)]
-        for at, sign in [_hashed(t, dim) for t in tokens[:1000]]:
-            v[at] += sign
+        tokens = re.findall(C.EMBEDDING_TOKEN, low)
+        if not low.isascii():
+            tokens = [x for t in tokens for x in ([t] if len(t) < 3 or t.isascii() else [t, *(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1))])]
+        pairs = [_hashed(t, dim) for t in tokens[:1000]]
+        v = np.bincount([p[0] for p in pairs], [p[1] for p in pairs], dim) if pairs else np.zeros(dim)
         norm = float(np.sqrt((v * v).sum()))
-        out.append([round(x / norm, 8) for x in v.tolist()] if norm else v.tolist())
+        out.append(np.round(v / norm, 8).tolist() if norm else v.tolist())
     return out
 
 
