@@ -17,10 +17,10 @@ def metrics(results: DataFrame, expected: DataFrame, queries: DataFrame) -> Data
     """
     want = expected.select("query_id", "item").distinct()
     got = results.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
-    hit = got.join(want, ["query_id", "item"]).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
-    n_want = want.groupBy("query_id").agg(F.count("*").alias("n_expected"))
-    n_got = got.groupBy("query_id").agg(F.count("*").alias("n_results"))
-    all_ = queries.select("query_id").distinct().join(n_want, "query_id", "left").join(n_got, "query_id", "left").join(hit, "query_id", "left").fillna(0, ["n_expected", "n_results", "hits"])
+    both = got.withColumn("_g", F.lit(1)).join(want.withColumn("_w", F.lit(1)), ["query_id", "item"], "full")
+    met = F.col("_g").isNotNull() & F.col("_w").isNotNull()
+    per = both.groupBy("query_id").agg(F.count("_w").alias("n_expected"), F.count("_g").alias("n_results"), F.count_if(met).alias("hits"), F.min(F.when(met, F.col("rank"))).alias("first"))
+    all_ = queries.select("query_id").distinct().join(per, "query_id", "left").fillna(0, ["n_expected", "n_results", "hits"])
     nothing = F.col("n_expected") == 0
     return all_.select(
         "query_id",
