@@ -90,6 +90,8 @@ def tree_search(nodes: DataFrame, routed: DataFrame, signals: DataFrame, profile
 
     Each document gives at least two nodes and its share of ``k``.
     """
+    # the trees of other documents are in no way's reach; as a key of all windows, the document cuts them before they are made
+    nodes = nodes.join(F.broadcast(routed.select("doc_id").distinct()), "doc_id", "left_semi")
     scored = all_scores(nodes, routed, signals, profiles, quality)
     share = routed.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.greatest(F.lit(2), F.ceil(F.lit(k) / F.count("*"))).alias("budget"))
     chosen = tree.select_nodes(scored.join(share, "query_id"), "budget")
