@@ -27,10 +27,11 @@ def content(tables: DataFrame) -> DataFrame:
 
     The first line is the header if no cell of it holds a number."""
     lines = F.filter(F.split(T.text_of("text"), "\n"), lambda x: F.trim(x) != "")
-    rows = F.transform(lines, split_row)
-    head = F.get(rows, F.lit(0))
+    parsed = tables.select("table_id", F.transform(lines, split_row).alias("rows"))  # a column, so that a text is parsed once
+    head = F.get("rows", F.lit(0))
     named = ~F.exists(F.coalesce(head, F.array().cast("array<string>")), lambda c: F.regexp_like(c, F.lit(r"\d")))
-    made = tables.select("table_id", head.alias("first"), named.alias("named"), F.posexplode(rows).alias("row_index", "cells"))
+    marked = parsed.select("table_id", head.alias("first"), named.alias("named"), "rows")
+    made = marked.select("table_id", "first", "named", F.posexplode("rows").alias("row_index", "cells"))
     kept = made.filter(~(F.col("named") & (F.col("row_index") == 0)))
     header = F.when(F.col("named"), F.col("first")).otherwise(F.transform("first", lambda x, i: F.concat(F.lit("column_"), i + 1)))
     return kept.select("table_id", (F.col("row_index") - F.col("named").cast("int")).alias("row_index"), header.alias("header"), "cells")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexforge.operators import graph, hybrid, lexical, vector
+from lexforge.operators import facts, graph, hybrid, lexical, tables
 from lexforge.operators.best import Best, rounded
 from lexforge.operators.containment import best_by_terms, contained
 
@@ -49,8 +49,8 @@ def test_routing_by_fields_alone_is_as_with_signals(spark):
 
 
 def test_names_that_many_share_are_no_single_window(spark):
-    facts = spark.createDataFrame([(f"f{n}", "entity", n % 3, f"{n % 3}:0", "task", "cat", "", "", n) for n in range(9)] + [("r1", "relation", 7, "7:0", "uses", "x", "f1", "cat", 20), ("r2", "relation", 1, "1:0", "uses", "y", "f0", "cat", 21)], "fact_id string, fact_type string, doc_id int, node_id string, type string, text string, subject_name string, object_name string, position int")
-    _, edges = graph.knowledge_graph(facts, spark.createDataFrame([(0, "t")], "doc_id int, title string"))
+    given = spark.createDataFrame([(f"f{n}", "entity", n % 3, f"{n % 3}:0", "task", "cat", "", "", n) for n in range(9)] + [("r1", "relation", 7, "7:0", "uses", "x", "f1", "cat", 20), ("r2", "relation", 1, "1:0", "uses", "y", "f0", "cat", 21)], "fact_id string, fact_type string, doc_id int, node_id string, type string, text string, subject_name string, object_name string, position int")
+    _, edges = graph.knowledge_graph(given, spark.createDataFrame([(0, "t")], "doc_id int, title string"))
     assert sorted((r["source"], r["target"]) for r in edges.filter("type = 'uses'").collect()) == [("fact:f0", "fact:f7"), ("fact:f1", "fact:f8")]
     assert "Window" not in edges._jdf.queryExecution().optimizedPlan().toString()
 
@@ -64,3 +64,16 @@ def test_best_nodes_are_those_of_all_scores(spark):
     assert lexical.best_nodes(asked, nodes.limit(0), 9).count() == 0
     first = lexical.contains_nodes(asked.filter("query_id = 1"), nodes, 4)
     assert [r["node_id"] for r in first.orderBy("rank").collect()] == sorted(f"{n}:0" for n in range(200) if n % 5 or n % 7 == 3)[:4]
+
+
+def test_duplicate_groups_take_one_pass(spark):
+    rows = spark.createDataFrame([(f"f{n:02d}", "claim", 1, "n", "method", "k") for n in range(12)] + [("g1", "claim", 2, "n", "method", "k"), ("h1", "claim", 3, "n", "cites", "k"), ("h2", "claim", 3, "m", "cites", "k"), ("i1", "claim", None, "n", "x", "k"), ("i2", "claim", None, "n", "x", "k")], "fact_id string, fact_type string, doc_id int, node_id string, type string, normalized_key string")
+    made = facts.duplicate_groups(rows)
+    assert sorted((str(r["doc_id"]), r["count"], r["fact_ids"]) for r in made.collect() if r["doc_id"]) == [("1", 12, ",".join(f"f{n:02d}" for n in range(8)))]
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_table_is_parsed_once(spark):
+    made = tables.content(spark.createDataFrame([(1, "a\tb\nx\t1\ny\t2")], "table_id int, text string"))
+    assert sorted((r["row_index"], r["cells"]) for r in made.collect()) == [(0, ["x", "1"]), (1, ["y", "2"])]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count(r"\S {2,}\S") == 1
