@@ -31,7 +31,7 @@ def content(tables: DataFrame) -> DataFrame:
     head = F.get("rows", F.lit(0))
     named = ~F.exists(F.coalesce(head, F.array().cast("array<string>")), lambda c: F.regexp_like(c, F.lit(r"\d")))
     marked = parsed.select("table_id", head.alias("first"), named.alias("named"), "rows")
-    made = marked.select("table_id", "first", "named", F.posexplode("rows").alias("row_index", "cells"))
+    made = marked.select("table_id", "first", "named", F.posexplode_outer("rows").alias("row_index", "cells")).filter("row_index IS NOT NULL")  # outer: else a filter by size parses it again
     kept = made.filter(~(F.col("named") & (F.col("row_index") == 0)))
     header = F.when(F.col("named"), F.col("first")).otherwise(F.transform("first", lambda x, i: F.concat(F.lit("column_"), i + 1)))
     return kept.select("table_id", (F.col("row_index") - F.col("named").cast("int")).alias("row_index"), header.alias("header"), "cells")
