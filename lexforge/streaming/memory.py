@@ -60,6 +60,26 @@ def _shaped(writes: DataFrame) -> DataFrame:
     return writes.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in KEYS], *[F.col(x.split()[0]).cast(x.split()[1]) for x in WRITE.split(", ")])
 
 
+#: Characters of items that go out in one batch: each row of the log holds the item after it.
+CHARACTERS = 8 << 20
+
+
+def _logged(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a log in batches that hold few characters, as items may be long."""
+    types = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in LOG.split(", ")]
+    made = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[6])
+        if size >= CHARACTERS or len(out) >= 10_000:
+            yield made(out)
+            out, size = [], 0
+    if out:
+        yield made(out)
+
+
 def folded(writes: DataFrame) -> DataFrame:
     """The log of all writes of a table: what each did and the item after it.
 
@@ -67,20 +87,19 @@ def folded(writes: DataFrame) -> DataFrame:
     writes came. Rows of one key go through one task in order, which keeps no
     more than the item.
     """
-    types = [pa.string()] * 3 + [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
-    names = [x.split()[0] for x in LOG.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         key, item = None, None
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in KEYS)
                 if own != key:
                     key, item = own, None
                 action, item = step(item, row)
-                out.append(_log(key, row, action, item))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
+                yield _log(key, row, action, item)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _logged(steps(batches))
 
     return _shaped(writes).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq").mapInArrow(run, LOG)
 

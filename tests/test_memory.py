@@ -42,3 +42,9 @@ def test_stream_and_table_agree(spark, tmp_path):
     assert expired == [("other", 12000)]
     want = sorted(tuple(r) for r in memory.folded(spark.createDataFrame(rows, SCHEMA)).collect())
     assert sorted(tuple(r) for r in got if r["action"] != "expired") == want
+
+
+def test_long_items_go_out_a_few_at_a_time():
+    rows = [("s", "t", "k", n, n, "merged", "x" * (1 << 20), 0.5, 1.0, None, "") for n in range(40)]
+    made = list(memory._logged(iter(rows)))
+    assert sum(b.num_rows for b in made) == 40 and max(b.num_rows for b in made) == memory.CHARACTERS >> 20
