@@ -27,7 +27,7 @@ AHEAD = 7
 ENDS = ["heading", "figure", "reference"]
 CAPTION = r"(?i)^(表\s*\d+|table\s+\d+)"
 NUMBER = r"\p{Nd}"
-RULER = r"^[:：|\-\s]+$"
+RULER = ":：|- "
 SURE, WEAK = 0.68, 0.58
 SOURCES = ["docling_table", "table_rule"]
 
@@ -42,13 +42,14 @@ def _like(c: Column, pattern: str) -> Column:
     return F.regexp_like(c, F.lit(pattern))
 
 
-def row_of(line: Column) -> Column:
-    """Cells of a line whose white space is compacted: parted by bars, else by
-    spaces. Two cells are a row only if one of them is a metric or a number."""
-    cells = F.filter(F.transform(F.split(line, F.when(F.contains(line, F.lit("|")), F.lit(r"\|")).otherwise(F.lit(" "))), T.compact), lambda x: x != "")
+def row_of(line: Column, clean=T.compact) -> Column:
+    """Cells of a line, each made ``clean``: parted by bars, else by spaces. Two
+    cells are a row only if one of them is a metric or a number."""
+    parted = lambda by: F.filter(F.transform(F.split(line, by), lambda x: clean(x)), lambda x: x != "")
+    cells = F.when(F.contains(line, F.lit("|")), parted(r"\|")).otherwise(parted(" "))
 
     def usable(v):
-        return (F.size(v) >= 3) | ((F.size(v) == 2) & F.exists(v, lambda x: _like(x, METRIC) | _like(x, NUMBER)))
+        return (F.size(v) >= 3) | ((F.size(v) == 2) & F.exists(v, lambda x: _like(x, NUMBER) | _like(x, METRIC)))
 
     return T.let(cells, lambda v: F.when(usable(v), v).otherwise(F.array().cast("array<string>")))
 
@@ -66,18 +67,34 @@ def flat_rows(text: Column) -> Column:
             starts = F.sequence(F.lit(0), F.ceil(F.size(v) / n).cast("int") - 1)
             return F.filter(F.transform(starts, lambda k: F.slice(v, k * n + 1, n)), lambda r: F.size(r) >= 2)
 
-        return T.let(numbers, lambda at: F.when((F.size(v) >= 6) & (F.size(at) >= 2), rows(at)).otherwise(F.array().cast(_NONE)))
+        return T.let(numbers, lambda at: F.when(F.size(at) >= 2, rows(at)).otherwise(F.array().cast(_NONE)))
 
-    return T.let(words, cut)
+    return T.let(words, lambda v: F.when(F.size(v) >= 6, cut(v)).otherwise(F.array().cast(_NONE)))
+
+
+def _parsed(text: Column) -> Column:
+    """(lines, alone): the rows of a text's lines, and what they are if the text is
+    the only one of its table; null if that is the same."""
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.split(F.regexp_replace(unix, r"(?U)[\s&&[^\n]]+", " "), "\n")
+    bare = F.transform(lines, lambda x: F.trim(F.btrim(F.trim(x), F.lit("|"))))
+    rows = F.filter(F.transform(F.filter(bare, lambda x: F.btrim(x, F.lit(RULER)) != ""), lambda x: row_of(x, F.trim)), lambda r: F.size(r) > 0)
+    flat = ~F.contains(text, F.lit("\n"))
+    return T.let(rows, lambda r: F.struct(r.alias("lines"), F.when((F.size(r) < 2) & flat, flat_rows(text)).alias("alone")))
+
+
+def _alone(parsed: Column) -> Column:
+    return F.coalesce(parsed["alone"], parsed["lines"])
 
 
 def rows_of(text: Column) -> Column:
     """The rows of a text: its lines, or parts of its only line."""
-    unix = F.regexp_replace(text, "\r\n?", "\n")
-    lines = F.transform(F.split(unix, "\n"), lambda x: T.compact(F.regexp_replace(T.strip(x), r"^\|+|\|+$", "")))
-    rows = F.filter(F.transform(F.filter(lines, lambda x: (x != "") & ~_like(x, RULER)), row_of), lambda r: F.size(r) > 0)
-    flat = ~F.contains(text, F.lit("\n"))
-    return T.let(rows, lambda r: F.when((F.size(r) < 2) & flat, flat_rows(text)).otherwise(r))
+    return T.let(_parsed(text), _alone)
+
+
+def _named(blocks: DataFrame, n: Column) -> Column:
+    name = F.concat(F.lit("table_"), F.lpad(n.cast("string"), F.greatest(F.lit(3), F.length(n.cast("string"))), "0"))
+    return F.coalesce(F.nullif(T.text_of("caption_id"), F.lit("")), name) if "caption_id" in blocks.columns else name
 
 
 def captions(blocks: DataFrame) -> DataFrame:
@@ -85,9 +102,7 @@ def captions(blocks: DataFrame) -> DataFrame:
     counts all blocks of kind table in its document."""
     order = Window.partitionBy("doc_id").orderBy("position")
     tables = blocks.filter(F.col("kind") == "table").withColumn("n", F.row_number().over(order))
-    name = F.concat(F.lit("table_"), F.lpad(F.col("n").cast("string"), F.greatest(F.lit(3), F.length(F.col("n").cast("string"))), "0"))
-    named = F.coalesce(F.nullif(T.text_of("caption_id"), F.lit("")), name) if "caption_id" in blocks.columns else name
-    return tables.filter(is_caption(T.text_of("text"))).select("doc_id", "position", named.alias("table_id"), T.compact(T.text_of("text")).alias("caption"))
+    return tables.filter(is_caption(T.text_of("text"))).select("doc_id", "position", _named(blocks, F.col("n")).alias("table_id"), T.compact(T.text_of("text")).alias("caption"))
 
 
 def taken(ahead: Column) -> Column:
@@ -100,22 +115,50 @@ def taken(ahead: Column) -> Column:
     return F.filter(ahead, lambda x: x["body"] & (x["off"] < F.least(end, gap)))
 
 
+def captioned(blocks: DataFrame, ways: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(doc_id, table_id, caption, position, content_positions, grid, _p) of every
+    caption, by the first of ``ways`` that gives rows: 1 sees texts with their line
+    breaks, 2 without them, as the layout of a page has them. A caption without
+    rows has an empty grid.
+
+    Blocks are dealt and sorted once, by their documents; a block is parsed once for
+    a way, and a text without line breaks once for both.
+    """
+    order = Window.partitionBy("doc_id").orderBy("position")
+    text, table = F.col("text"), F.coalesce(F.col("kind") == "table", F.lit(False))
+    kept = ["doc_id", "position", "kind", *[c for c in ("caption_id",) if c in blocks.columns]]
+    rows = blocks.select(*kept, T.text_of("text").alias("text"))
+    # numbers come before parsing, so that what is sorted is still small
+    rows = rows.withColumn("_n", F.sum(table.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_caption", table & is_caption(text))
+    broken = F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
+    part = F.when((table | (F.col("kind") == "paragraph")) & ~F.col("_caption"), True)
+    makes = {1: F.when(part, _parsed(text)), 2: F.when(part & broken, _parsed(T.compact(text)))}
+    rows = rows.withColumns({f"_r{w}": makes[w] for w in {1, *ways}})
+    if 2 in ways:
+        rows = rows.withColumn("_r2", F.coalesce("_r2", "_r1"))
+    body = lambda w: F.coalesce(part & (table | (F.size(_alone(F.col(f"_r{w}"))) >= 2)), F.lit(False))
+    seen = F.struct("position", F.col("kind").isin(ENDS).alias("ends"), *[x for w in ways for x in (body(w).alias(f"body{w}"), F.col(f"_r{w}"))])
+    rows = rows.withColumn("_seen", seen)
+    rows = rows.select(*kept, "text", "_n", "_caption", F.array(*[F.lead("_seen", n).over(order) for n in range(1, AHEAD + 1)]).alias("_ahead")).filter("_caption")
+
+    def by(w: int) -> Column:
+        ahead = F.transform(F.filter("_ahead", lambda x: x.isNotNull()), lambda x, i: F.struct((i + 1).alias("off"), x["ends"].alias("ends"), x[f"body{w}"].alias("body"), x["position"].alias("position"), x[f"_r{w}"].alias("rows")))
+        grid = lambda b: F.when(F.size(b) == 1, _alone(F.get(b, F.lit(0))["rows"])).otherwise(F.flatten(F.transform(b, lambda x: x["rows"]["lines"])))
+        return T.let(T.let(ahead, taken), lambda b: F.struct(F.transform(b, lambda x: x["position"]).alias("content_positions"), grid(b).alias("grid"), F.lit(w).alias("_p")))
+
+    def first(some: tuple[int, ...]) -> Column:
+        return by(some[0]) if len(some) == 1 else T.let(by(some[0]), lambda t: F.when(F.size(t["grid"]) > 0, t).otherwise(first(some[1:])))
+
+    # outer: else a filter by the grid makes it again
+    out = rows.select("doc_id", _named(blocks, F.col("_n")).alias("table_id"), T.compact(text).alias("caption"), "position", F.explode_outer(F.array(first(ways))).alias("_t"))
+    return out.select("doc_id", "table_id", "caption", "position", "_t.*")
+
+
 def from_blocks(blocks: DataFrame, one_line: bool = False) -> DataFrame:
     """(doc_id, table_id, caption, position, content_positions, grid) of every
     caption whose bodies give rows. ``one_line`` sees texts without line breaks,
     as the layout of a page has them."""
-    text = T.compact(T.text_of("text")) if one_line else T.text_of("text")
-    rows = blocks.select("doc_id", "position", "kind", text.alias("text"))
-    order = Window.partitionBy("doc_id").orderBy("position")
-    body = ((F.col("kind") == "table") & ~is_caption(F.col("text"))) | ((F.col("kind") == "paragraph") & (F.size(rows_of(F.col("text"))) >= 2))
-    marked = rows.withColumns({"_ends": F.col("kind").isin(ENDS), "_body": F.coalesce(body, F.lit(False))})
-    ahead = F.collect_list(F.struct("_ends", "_body", "position", "text")).over(order.rowsBetween(1, AHEAD))
-    seen = marked.withColumn("_ahead", ahead).filter((F.col("kind") == "table") & is_caption(F.col("text")))
-    counted = F.transform("_ahead", lambda x, i: F.struct((i + 1).alias("off"), x["_ends"].alias("ends"), x["_body"].alias("body"), x["position"].alias("position"), x["text"].alias("text")))
-    found = seen.select("doc_id", "position", T.let(counted, taken).alias("_b"))
-    grid = rows_of(F.array_join(F.transform("_b", lambda x: x["text"]), "\n"))
-    out = found.filter(F.size("_b") > 0).select("doc_id", "position", F.transform("_b", lambda x: x["position"]).alias("content_positions"), grid.alias("grid")).filter(F.size("grid") > 0)
-    return out.join(captions(blocks), ["doc_id", "position"]).select("doc_id", "table_id", "caption", "position", "content_positions", "grid")
+    return captioned(blocks, (2 if one_line else 1,)).filter(F.size("grid") > 0).drop("_p")
 
 
 def from_cells(cells: DataFrame) -> DataFrame:
@@ -127,6 +170,14 @@ def from_cells(cells: DataFrame) -> DataFrame:
     return grid.select("doc_id", "table_id", T.compact(T.text_of("caption")).alias("caption"), F.lit(None).cast("int").alias("position"), F.array().cast("array<int>").alias("content_positions"), "grid")
 
 
+def _head() -> Column:
+    return (F.size("grid") >= 2) & ~F.exists(F.get("grid", F.lit(0)), lambda c: _like(c, NUMBER))
+
+
+def _wide() -> Column:
+    return F.array_max(F.transform("grid", F.size))
+
+
 def recovered(blocks: DataFrame, cells: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
     """Tables of documents, one row each: (doc_id, table_id, caption, position,
     content_positions, headers, rows, row_count, column_count, cell_count,
@@ -136,16 +187,19 @@ def recovered(blocks: DataFrame, cells: DataFrame | None = None, layout: DataFra
     same columns and by default is ``blocks``. The first row is the header if
     none of its cells holds a number and more rows follow.
     """
-    parts = [from_blocks(blocks).withColumn("_p", F.lit(1)), from_blocks(blocks if layout is None else layout, one_line=True).withColumn("_p", F.lit(2))]
+    columns = ["caption", "position", "content_positions", "grid", "_p"]
+    if layout is None:
+        parts = [captioned(blocks).filter(F.size("grid") > 0)]
+    else:
+        parts = [from_blocks(blocks).withColumn("_p", F.lit(1)), from_blocks(layout, one_line=True).withColumn("_p", F.lit(2))]
     if cells is not None:
         parts.insert(0, from_cells(cells).withColumn("_p", F.lit(0)))
-    columns = ["caption", "position", "content_positions", "grid", "_p"]
-    every = reduce(DataFrame.unionByName, [p.withColumns({"position": F.col("position").cast("long"), "content_positions": F.col("content_positions").cast("array<long>")}) for p in parts])
-    first = every.groupBy("doc_id", "table_id").agg(F.min_by(F.struct(*columns), "_p").alias("t")).select("doc_id", "table_id", "t.*")
-    head = (F.size("grid") >= 2) & ~F.exists(F.get("grid", F.lit(0)), lambda c: _like(c, NUMBER))
-    wide = F.array_max(F.transform("grid", F.size))
-    weak = (F.col("_p") > 0) & ((F.size("grid") < 2) | (wide < 2))
+    first = reduce(DataFrame.unionByName, [p.withColumns({"position": F.col("position").cast("long"), "content_positions": F.col("content_positions").cast("array<long>")}) for p in parts])
+    if len(parts) > 1 or "caption_id" in blocks.columns:  # numbers of blocks are unique, other ids may come twice
+        first = first.groupBy("doc_id", "table_id").agg(F.min_by(F.struct(*columns), "_p").alias("t")).select("doc_id", "table_id", "t.*")
     none = F.array().cast("array<string>")
+    head, wide = _head(), _wide()
+    weak = (F.col("_p") > 0) & ((F.size("grid") < 2) | (wide < 2))
     made = first.withColumns({"headers": F.when(head, F.get("grid", F.lit(0))).otherwise(none), "rows": F.when(head, F.slice("grid", 2, F.greatest(F.size("grid") - 1, F.lit(0)))).otherwise(F.col("grid"))})
     return made.select(
         "doc_id", "table_id", "caption", "position", "content_positions", "headers", "rows",
@@ -185,6 +239,21 @@ def parse_score(items_: DataFrame, tables: DataFrame) -> DataFrame:
     rows and columns, with a bonus for structured ones."""
     whole = tables.groupBy("doc_id").agg(F.count_if((F.col("row_count") > 0) & (F.col("column_count") > 1)).alias("complete"), F.max((F.col("source") == SOURCES[0]).cast("int")).alias("structured"))
     per = items_.groupBy("doc_id").agg(F.count("*").alias("captions")).join(whole, "doc_id", "full")
+    return _scored(per)
+
+
+def _scored(per: DataFrame) -> DataFrame:
     share = F.least(F.lit(1.0), F.coalesce("complete", F.lit(0)) / F.col("captions"))
     score = F.when(F.col("captions").isNull(), 0.85).when(F.col("complete").isNull(), 0.0).otherwise(F.least(F.lit(1.0), share + 0.1 * F.col("structured")))
     return per.select("doc_id", F.coalesce("captions", F.lit(0)).alias("captions"), F.coalesce("complete", F.lit(0)).alias("complete"), F.round(score, 2).alias("score"))
+
+
+def block_scores(blocks: DataFrame) -> DataFrame:
+    """:func:`parse_score` of documents with captions, whose tables come of their
+    blocks alone: captions and tables are counted in one pass."""
+    if "caption_id" in blocks.columns:
+        tables = recovered(blocks)
+        return parse_score(items(blocks, tables), tables)
+    whole = (F.size("grid") - _head().cast("int") > 0) & (_wide() > 1)
+    counts = captioned(blocks).groupBy("doc_id").agg(F.count("*").alias("captions"), F.count_if(whole).alias("complete"))
+    return _scored(counts.withColumn("structured", F.lit(0)))

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import cells
 
+from lexforge.operators import recovery
 from lexforge.plans import registry
 
 
@@ -30,3 +32,38 @@ def test_anchors_end_at_letters_with_marks(spark, tmp_path, name):
 def test_titles_with_cut_references(spark, tmp_path):
     rows = [(1, "u", "<title>a &amp;&amp</title><p>x &lt y</p>"), (2, "u", "<title>b &lt;i&gt; &amp;lt;</title><p>y</p>"), (3, "u", "<title>R&D &#39</title><p>z</p>")]
     same(spark, tmp_path, "page_titles", pages=(rows, "page_id long, url string, html string"))
+
+
+def shuffles(df):
+    """How often the plan of ``df`` deals rows anew by a key."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name", ["recovered_tables", "table_cells", "table_parse_scores"])
+def test_blocks_are_dealt_once(spark, tmp_path, name):
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    rows = [(k // 5, k % 5, k, k // 2, 10.5 * k, float(k % 50), 0.05, "NAR"[k % 3], "OF"[k % 2]) for k in range(60)]
+    same(spark, tmp_path, name, lineitem=(rows, columns))
+    assert shuffles(registry.queries()[name](spark, str(tmp_path))) == 1
+
+
+def test_a_way_falls_back_by_caption(spark):
+    """Bodies that only one of both ways sees, ends of lines of all kinds, and ids that come twice."""
+    rows = [
+        (1, 0, "table", "Table 1"), (1, 1, "paragraph", "a b\r\nc d"),  # no row of lines, and none on one line
+        (1, 2, "table", "Table\n2"), (1, 3, "paragraph", "prose 1 here\ngoes on 2"),
+        (1, 4, "heading", "x"), (1, 5, "table", "Table 3"), (1, 6, "paragraph", "only 1\r| ours | 2 |\r\n:--|--"),
+        (2, 0, "table", "Table 1"), (2, 1, "paragraph", "a\nb\nc 1\nd\ne 2 f"), (2, 2, "figure", "Figure"),
+        (3, 0, "table", "Table 1"), (3, 1, "paragraph", "one\ntwo 1\nsix 7 x\ny"),
+    ]
+    blocks = spark.createDataFrame(rows, "doc_id long, position long, kind string, text string")
+    one, two = (recovery.from_blocks(blocks, flat).collect() for flat in (False, True))
+    want = {(r["doc_id"], r["table_id"]): (r["content_positions"], r["grid"]) for r in [*two, *one]}
+    got = {(r["doc_id"], r["table_id"]): (r["content_positions"], r["grid"]) for r in recovery.captioned(blocks).filter("size(grid) > 0").collect()}
+    assert got == want and got[1, "table_003"] == ([6], [["only", "1"], ["ours", "2"]])
+    again = blocks.withColumn("caption_id", F.lit("t"))
+    assert {(r["doc_id"], r["table_id"]) for r in recovery.recovered(again).collect()} == {(d, "t") for d, _ in got}
+    scores = lambda df: sorted(map(tuple, df.collect()))
+    for some in (blocks, again):
+        tables = recovery.recovered(some)
+        assert scores(recovery.block_scores(some)) == scores(recovery.parse_score(recovery.items(some, tables), tables))
