@@ -1,10 +1,11 @@
-"""Upkeep of a lexical index by signed deltas.
-
-The index is a log of batches. A batch holds the postings of what its changes
-add, with sign +1, and of what they replace or delete, with sign -1; the index at
-any time is the sum of the batches before. Counts, document frequencies and
-lengths are sums too, so BM25 needs no rebuild. A batch is written under its
-number and replaces itself, so a batch that is run again changes nothing.
+"""Upkeep of a lexical index by a log of changes.
+
+The index is a log of batches. A batch holds the nodes of what its changes add,
+with their tokens, and the names of all documents that it touches; a node stands
+until a later batch touches its document. So a batch is written without a look at
+those before, and counts, document frequencies and lengths come of the nodes that
+stand, without a rebuild. A batch is written under its number and replaces itself,
+so a batch that is run again changes nothing.
 """
 
 from __future__ import annotations
@@ -17,33 +18,36 @@ from lexforge.functions import text as T
 from lexforge.operators import lexical
 from lexforge.operators.nodes import chunk_nodes
 
-POSTINGS = "doc_id string, node_id string, term string, tf long, node_len long, sign int"
-NODES = "doc_id string, node_id string, node_len long, sign int"
+NODES = "doc_id string, node_id string, tokens array<string>"
+TOUCHED = "doc_id string"
 
 
 def _read(spark: SparkSession, path: str, schema: str, before: int | None) -> DataFrame:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", batch long")
     rows = spark.read.schema(schema + ", batch long").parquet(path)
-    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+    return rows if before is None else rows.filter(F.col("batch") < before)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """What is left of signed rows: one row where the signs add up to one."""
-    keys = [c for c in rows.columns if c != "sign"]
-    return rows.groupBy(*keys).agg(F.sum("sign").alias("sign")).filter("sign > 0").select(*keys)
+def tokens(spark: SparkSession, index: str, before: int | None = None) -> DataFrame:
+    """(doc_id, node_id, tokens) of the nodes that stand."""
+    made, touched = _read(spark, f"{index}/nodes", NODES, before), _read(spark, f"{index}/touched", TOUCHED, before)
+    first = touched.agg(F.min("batch")).first()[0]  # supersedes nothing
+    last = touched.filter(F.col("batch") > F.lit(first)).groupBy("doc_id").agg(F.max("batch").alias("_last")).withColumnRenamed("doc_id", "_doc")
+    return made.join(last, (F.col("doc_id") == F.col("_doc")) & (F.col("_last") > F.col("batch")), "left_anti").select("doc_id", "node_id", "tokens")
 
 
 def postings(spark: SparkSession, index: str, terms: DataFrame | None = None, before: int | None = None) -> DataFrame:
     """(doc_id, node_id, term, tf, node_len) of the index, or of ``terms`` alone."""
-    rows = _read(spark, f"{index}/postings", POSTINGS, before)
-    return _summed(rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi").select(rows.columns))
+    rows = tokens(spark, index, before).select("doc_id", "node_id", F.size("tokens").cast("long").alias("node_len"), F.explode("tokens").alias("term"))
+    rows = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("doc_id", "node_id", "term", "node_len").agg(F.count("*").alias("tf")).select("doc_id", "node_id", "term", "tf", "node_len")
 
 
 def nodes(spark: SparkSession, index: str, before: int | None = None) -> DataFrame:
     """(doc_id, node_id, node_len) of the index."""
-    return _summed(_read(spark, f"{index}/nodes", NODES, before))
+    return tokens(spark, index, before).select("doc_id", "node_id", F.size("tokens").cast("long").alias("node_len"))
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -54,21 +58,12 @@ def latest(changes: DataFrame) -> DataFrame:
 
 
 def apply_batch(spark: SparkSession, index: str, batch: int, changes: DataFrame) -> None:
-    """Write the deltas of one batch of changes: op is ``upsert`` (a new document
-    or a new text of one) or ``delete``; deleting what is not there does nothing."""
+    """Write one batch of changes: op is ``upsert`` (a new document or a new text
+    of one) or ``delete``; deleting what is not there does nothing."""
     now = latest(changes)
-    made = chunk_nodes(now.filter("op = 'upsert'")).withColumn("_t", lexical.index_tokens(T.text_of("text")))
-    sized = made.select("doc_id", "node_id", F.size("_t").cast("long").alias("node_len"), "_t")
-    tf = sized.select("doc_id", "node_id", "node_len", F.explode("_t").alias("term")).groupBy("doc_id", "node_id", "term", "node_len").agg(F.count("*").alias("tf"))
-    plus, minus = F.lit(1).alias("sign"), F.lit(-1).alias("sign")
-    touched = now.select("doc_id")
-    columns = ["doc_id", "node_id", "term", "tf", "node_len"]
-    old = postings(spark, index, before=batch).join(touched, "doc_id", "left_semi")
-    gone = nodes(spark, index, before=batch).join(touched, "doc_id", "left_semi")
-    deltas = tf.select(*columns, plus).unionByName(old.select(*columns, minus))
-    lengths = sized.select("doc_id", "node_id", "node_len", plus).unionByName(gone.select("doc_id", "node_id", "node_len", minus))
-    deltas.write.mode("overwrite").parquet(f"{index}/postings/batch={batch}")
-    lengths.write.mode("overwrite").parquet(f"{index}/nodes/batch={batch}")
+    made = chunk_nodes(now.filter("op = 'upsert'")).select("doc_id", "node_id", lexical.index_tokens(T.text_of("text")).alias("tokens"))
+    made.write.mode("overwrite").parquet(f"{index}/nodes/batch={batch}")
+    now.select("doc_id").write.mode("overwrite").parquet(f"{index}/touched/batch={batch}")
 
 
 def keep_up(changes: DataFrame, index: str, checkpoint: str) -> StreamingQuery:
@@ -80,10 +75,4 @@ def keep_up(changes: DataFrame, index: str, checkpoint: str) -> StreamingQuery:
 def bm25(queries: DataFrame, index: str, k: int = 8) -> DataFrame:
     """(query_id, rank, node_id, doc_id, score): the best ``k`` nodes of each
     query, as a rebuilt index would give them."""
-    spark = queries.sparkSession
-    wanted = lexical.query_terms(queries)
-    n, average = nodes(spark, index).agg(F.count("*"), F.avg("node_len")).first()
-    found = postings(spark, index, wanted)
-    scored = lexical.weighed(wanted, found.select("term", "node_id", "tf", "node_len"), n, average)
-    best = lexical.ranked(scored, k, F.round("score", 9), F.col("node_id"))
-    return best.join(found.select("node_id", "doc_id").distinct(), "node_id").select("query_id", "rank", "node_id", "doc_id", F.round("score", 6).alias("score"))
+    return lexical.fts_nodes(queries, tokens(queries.sparkSession, index), k)

@@ -7,6 +7,7 @@ from test_queries import cells
 
 from lexforge.operators import recovery
 from lexforge.plans import registry
+from lexforge.streaming import index
 
 
 def same(spark, tmp_path, name, **tables):
@@ -67,3 +68,16 @@ def test_a_way_falls_back_by_caption(spark):
     for some in (blocks, again):
         tables = recovery.recovered(some)
         assert scores(recovery.block_scores(some)) == scores(recovery.parse_score(recovery.items(some, tables), tables))
+
+
+def test_batches_may_be_written_in_any_order(spark, tmp_path):
+    """A batch does not look at those before it."""
+    schema = "doc_id string, op string, text string"
+    batches = [[("a", "upsert", "planner robot"), ("b", "upsert", "planner")], [("a", "upsert", "robot"), ("c", "upsert", "planner alpha beta")], [("b", "delete", None)]]
+    asked = spark.createDataFrame([(1, "planner"), (2, "robot")], "query_id int, query string")
+    folder = f"file://{tmp_path}/index"
+    for n in (1, 2, 0):
+        index.apply_batch(spark, folder, n, spark.createDataFrame(batches[n], schema))
+    assert sorted((r["query_id"], r["doc_id"]) for r in index.bm25(asked, folder).collect()) == [(1, "c"), (2, "a")]
+    assert sorted((r["doc_id"], r["term"], r["tf"], r["node_len"]) for r in index.postings(spark, folder).collect()) == [("a", "robot", 1, 1), ("c", "alpha", 1, 3), ("c", "beta", 1, 3), ("c", "planner", 1, 3)]
+    assert sorted(r["doc_id"] for r in index.nodes(spark, folder, before=2).collect()) == ["a", "b", "c"]
