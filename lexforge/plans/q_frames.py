@@ -72,7 +72,8 @@ def frame_score(spark, sf_dir):
 def frame_quality(spark, sf_dir):
     f = _frames(spark, sf_dir)
     score = R.quality_score(F.col("short_claim"), F.col("n_units"), F.lit("claim"), F.col("claim_type"), F.col("confidence"))
-    return f.select("frame_id", F.round(score, 3).alias("quality_score"), R.quality_level(score).alias("frame_quality"))
+    f = f.select("frame_id", score.alias("score"))
+    return f.select("frame_id", F.round("score", 3).alias("quality_score"), R.quality_level(F.col("score")).alias("frame_quality"))
 
 
 TERMS3 = "list_distinct(regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9_-]{{2,}}'))"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import cells
 
+from lexforge.functions import text as T
 from lexforge.operators import recovery
 from lexforge.plans import registry
 from lexforge.streaming import index
@@ -81,3 +82,15 @@ def test_batches_may_be_written_in_any_order(spark, tmp_path):
     assert sorted((r["query_id"], r["doc_id"]) for r in index.bm25(asked, folder).collect()) == [(1, "c"), (2, "a")]
     assert sorted((r["doc_id"], r["term"], r["tf"], r["node_len"]) for r in index.postings(spark, folder).collect()) == [("a", "robot", 1, 1), ("c", "alpha", 1, 3), ("c", "beta", 1, 3), ("c", "planner", 1, 3)]
     assert sorted(r["doc_id"] for r in index.nodes(spark, folder, before=2).collect()) == ["a", "b", "c"]
+
+
+def test_frames_are_made_once(spark, tmp_path):
+    """Frames are not joined with themselves, and the white space of a claim is compacted once."""
+    rows = [(n, f"this is a method of kind {n} that works. a second one is doi here.\n[{n}] a reference of 1999", "en", "s", 60) for n in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["claim_frames"](spark, str(tmp_path))
+    assert got.count() == 15 and {(r["trace_status"], r["missing"]) for r in got.collect()} == {("structurally_supported", 0)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode(slice") == 1
+    noise = T.noise_reasons(F.col("text"))
+    plan = spark.createDataFrame([("a",)], "text string").select(noise.alias("n"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?U)") == 1
