@@ -11,6 +11,7 @@ from lexforge.operators import lexical
 from lexforge.plans import inputs as I
 from lexforge.plans.q_facts import CLAIMS, _claims
 from lexforge.plans.registry import query
+from lexforge.sources.workspace import new_folder
 
 METRICS = ["ertion", "enque", "ichver", "dela"]
 FAMILIES = {"alpha": ["theand", "leque"], "beta": ["onth", "aux"], "gamma": ["chen", "ado"]}
@@ -51,7 +52,11 @@ def frame_normalize(spark, sf_dir):
 
 
 def _normal(spark, sf_dir):
-    return R.normalized(_frames(spark, sf_dir), FAMILIES, METRICS, NEGATIVE, POSITIVE)
+    return _normalized(_frames(spark, sf_dir))
+
+
+def _normalized(frames):
+    return R.normalized(frames, FAMILIES, METRICS, NEGATIVE, POSITIVE)
 
 
 SCORE = f"""
@@ -113,7 +118,7 @@ def _support(frames, lines):
 def _aligned(spark, sf_dir):
     """The eight frames that each benchmark item finds, in normal form."""
     found = R.search(I.passages(spark, sf_dir), _frames(spark, sf_dir), 8).select("query_id", "frame_id")
-    n = found.join(_normal(spark, sf_dir), "frame_id")
+    n = _normalized(_frames(spark, sf_dir).join(F.broadcast(found), "frame_id"))  # at most eight for each item, so only those are brought to normal form
     return n.select(
         "query_id", "claim_type", "frame_id", "doc_id", (F.col("doc_id") * 10 + F.col("position")).alias("position"), "polarity",
         F.when(F.col("metric") == "", F.array().cast("array<string>")).otherwise(F.split("metric", "、")).alias("metric_terms"), T.terms(F.col("condition")).alias("setting_terms"),
@@ -128,7 +133,9 @@ def claim_alignment(spark, sf_dir):
 
 @query("claim_relations")
 def claim_relations(spark, sf_dir):
-    rows = _aligned(spark, sf_dir)
+    folder = new_folder(spark, "aligned")
+    _aligned(spark, sf_dir).write.parquet(folder)  # read by both sides of the relations and by their groups
+    rows = spark.read.parquet(folder)
     return R.relations(rows, R.align(rows))
 
 

@@ -94,3 +94,9 @@ def test_frames_are_made_once(spark, tmp_path):
     noise = T.noise_reasons(F.col("text"))
     plan = spark.createDataFrame([("a",)], "text string").select(noise.alias("n"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("(?U)") == 1
+
+
+def test_relations_search_once(spark):
+    """Frames are searched and brought to normal form before both sides of a relation read them."""
+    plan = registry.queries()["claim_relations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "sha2" not in plan
