@@ -15,24 +15,31 @@ of the index and the scan of one block. Shards are cut by ranges of the key.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.caches import Kept, enter
+from lexforge.llm.bpe import PLAIN
+from lexforge.llm.caches import enter
 from lexforge.llm.shared import new_folder, opened_store, parts_for, written
 
 MAGIC = b"LFSSTB01"
 FOOTER = struct.Struct("<QQQQQQ8s")
 RESTART = 16
 BLOCK = 64 << 10
+#: Characters of texts whose distinct words are encoded together, and pre-tokens in one call of the library.
+STRETCH, AT_ONCE = 16 << 20, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -191,46 +198,99 @@ class Reader:
         return out
 
 
+def _laid(ids: np.ndarray, counts: np.ndarray, of: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """The ids of the entries ``of``, end to end; entry n has ``counts[n]`` of ``ids``."""
+    first = np.cumsum(counts) - counts if first is None else first
+    many = counts[of]
+    return ids[np.arange(many.sum()) + np.repeat(first[of] - (np.cumsum(many) - many), many)]
+
+
 class LibraryWords:
-    """Encodes with the tokenizers library, each distinct word once.
+    """Encodes with the tokenizers library, each distinct word of a stretch once.
 
-    For files whose pre-tokenizer drops white space, a text is its words; each
-    worker keeps the ids of the words it has met (bounded). Texts with special
-    tokens or characters outside the plain ones go to the library whole.
+    For files whose pre-tokenizer drops white space, a text is its words. Texts
+    are taken ``STRETCH`` characters at a time: Arrow numbers the distinct words,
+    the library encodes their pre-tokens many in a call, and the ids are laid out
+    by the words' numbers, so nothing is kept from stretch to stretch. Texts with
+    special tokens or characters outside the plain ones go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int | None):
-        import json
-        import re
-
         from tokenizers import Tokenizer as Library
+        from tokenizers import pre_tokenizers
 
-        from lexforge.llm.bpe import PLAIN
-
-        self.library, self.plain, self.end = Library.from_file(path), PLAIN, end_id
+        self.library, self.end = Library.from_file(path), [] if end_id is None else [end_id]
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        steps = [s for part, name in ((file["pre_tokenizer"], "pretokenizers"),) for s in (part.get(name) or [part])]
+        steps = file["pre_tokenizer"].get("pretokenizers") or [file["pre_tokenizer"]]
         rules = (file["normalizer"] or {}).get("normalizers", [file["normalizer"]])
-        self.by_word = any(s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] for s in steps) and any(r and r["type"] == "Replace" for r in rules)
+        own, suffix = [s for s in steps if s["type"] == "Split"], file["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and [r and r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and len(own) == 1 and own[0]["behavior"] == "Removed" and own[0]["invert"]
         self.special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)")
-        self.word = Kept(lambda w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), "sstable")
+        if self.by_word:
+            self.pattern = regex.compile(own[0]["pattern"]["Regex"])
+            # for words that are normalised and cut: only the byte alphabet and the merges are left
+            self.cut = Library.from_file(path)
+            self.cut.normalizer = None
+            self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = file["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain lower-case words laid end to end, and how many each has."""
+        pretokens, pieces_of = [], np.ones(len(words), np.int64)
+        for n, w in enumerate(words):
+            if w.isalpha():
+                pretokens.append(w)
+            else:
+                pieces = self.pattern.findall(w)
+                pieces_of[n] = len(pieces)
+                pretokens += pieces
+        numbered = pa.array(pretokens, pa.string()).dictionary_encode()
+        distinct, of = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        calls = [" ".join(distinct[at : at + AT_ONCE]) for at in range(0, len(distinct), AT_ONCE)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(self.cut.encode(c, add_special_tokens=False).ids, "<u4") for c in calls]])
+        ends = np.flatnonzero(self.ends[ids]) + 1  # a pre-token's last token carries the word end
+        if len(ends) != len(distinct):
+            raise ValueError("a pre-token has no token of a word end")
+        counts = np.diff(ends, prepend=0)
+        of_words = np.concatenate([[0], np.cumsum(counts[of])])[np.cumsum(pieces_of)]
+        return _laid(ids, counts, of), np.diff(of_words, prepend=0)
+
+    def encoded(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order, with the end id."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= STRETCH:
+                yield from self._stretch(held)
+                held, size = [], 0
+        yield from self._stretch(held)
+
+    def _stretch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [self.by_word and bool(PLAIN.fullmatch(t)) and not self.special.search(t) for t in texts]
+        words = pc.ascii_split_whitespace(pa.array([t.lower() if ok else "" for t, ok in zip(texts, plain)], pa.large_string()))  # empty words have no pre-token
+        numbered = words.flatten().dictionary_encode()
+        ids, counts = self._words(numbered.dictionary.to_pylist()) if self.by_word else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        of, starts, first = numbered.indices.to_numpy(), words.offsets.to_numpy(), np.cumsum(counts) - counts
+        for n, (text, ok) in enumerate(zip(texts, plain)):
+            out = _laid(ids, counts, of[starts[n] : starts[n + 1]], first) if ok else self._whole(text)
+            yield np.append(out, self.end).astype("<u4")
 
     def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        if self.by_word and self.plain.fullmatch(text) and not self.special.search(text):
-            known = self.word.new
-            ids = np.frombuffer(b"".join([known[w] for w in text.lower().split()]), "<u4")
-        else:
-            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return ids if self.end is None else np.append(ids, np.uint32(self.end)).astype("<u4")
+        return next(self.encoded([text]))
 
 
 _WORDS: dict[tuple[str, int | None], LibraryWords] = {}
 
 
 def _words(path: str, end_id: int | None) -> LibraryWords:
-    """The encoder of a file, kept by each worker from task to task with its words."""
+    """The encoder of a file, kept by each worker from task to task."""
     enter("sstable")
     if (path, end_id) not in _WORDS:
         _WORDS[path, end_id] = LibraryWords(path, end_id)
@@ -258,12 +318,12 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
         shard = TaskContext.get().partitionId()
         name, draft = f"{base}/shard-{shard:06d}.sst", f"{base}/_draft-{uuid.uuid4().hex}"
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encoded(t.as_py() for t in batch.column(1))):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(draft)
                     writer = Writer(out)
-                writer.add(key_of(doc_id), words.encode(text.as_py()))
+                writer.add(key_of(doc_id), ids)
         if writer is not None:
             writer.close()
             out.close()

@@ -216,3 +216,24 @@ def test_rows_that_repeat_an_id_have_one_order_over_all_shards(spark):
 
 def test_empty_shards(no_docs):
     assert sstable.round_trip(no_docs, WORD, shards=2).count() == 0
+
+
+def test_words_go_to_the_library_many_at_a_time(monkeypatch):
+    """Texts of many stretches have the library's ids; a call is not one word's."""
+    monkeypatch.setattr(sstable, "STRETCH", 3000)
+    words, library = sstable.LibraryWords(WORD, 2), Library.from_file(WORD)
+    plain = "".join(c for c in map(chr, range(0x250)) if bpe.PLAIN.fullmatch(c))
+    rng, calls = random.Random(9), []
+    mixed = [None, *texts(), *["".join(rng.choice(plain) for _ in range(90)) for _ in range(300)], "it's 'tis DON'T 12ab3 a--b"]
+    for text, ids in zip(mixed, words.encoded(mixed), strict=True):
+        assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2], text
+
+    class Counted:
+        def encode(self, text, **kw):
+            calls.append(text)
+            return library.encode(text, **kw)
+
+    words.cut = words.library = Counted()
+    many = [" ".join(f"{a}{b}{c}," for b in "etaoin" for c in "shrdlu") for a in "abcdefghijklmnopq"]
+    assert len(list(words.encoded(many))) == len(many) and 0 < len(calls) < 40  # of 612 words
+    assert list(words.encoded([])) == []
