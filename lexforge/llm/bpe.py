@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
-from lexforge.llm.caches import BUDGET, Kept, enter
+from lexforge.llm.caches import BUDGET, Kept, enter, held
 
 #: Symbols of a pre-token that are fed to the transducer at a time.
 FEED = 1024
@@ -462,15 +462,14 @@ def _steps(part: dict | None, name: str) -> list[dict]:
     return [] if not part else part[name] if part["type"] == "Sequence" else [part]
 
 
-_OPEN: dict[str, Tokenizer] = {}
+#: Rows that are given back at a time, so that ids and texts of a whole batch are never held together.
+PART = 256
 
 
 def opened(path: str) -> Tokenizer:
-    """The tokenizer of a file, read once by each worker."""
+    """The tokenizer of a file, read once by each worker and kept until another operator's task begins."""
     enter(path)
-    if path not in _OPEN:
-        _OPEN[path] = Tokenizer(path)
-    return _OPEN[path]
+    return held(path, "tokenizer", lambda: Tokenizer(path))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -492,7 +491,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = opened(path)
-        for batch in batches:
+        for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
             counts, shas, backs, lists, texts = array("q"), [], [], [], []
             for text in batch.column(1):
                 sha, back, machine, n, ids_of, parts = hashlib.sha256(), hashlib.sha256(), IdDecoder(tok), 0, [], []

@@ -16,6 +16,7 @@ LONGEST = 256
 SLOT = 104
 
 _MAPS: weakref.WeakSet[Kept] = weakref.WeakSet()
+_HELD: dict[tuple, object] = {}
 #: Gives freed memory back to the system, where the C library can.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -24,6 +25,8 @@ def enter(owner: str) -> None:
     """Called when a task of any operator begins: what other operators have kept
     in this worker goes, so its memory is that of one operator; what earlier tasks
     have freed goes back to the system."""
+    for key in [k for k in _HELD if k[0] != owner]:
+        del _HELD[key]
     for kept in list(_MAPS):
         if kept.owner != owner:
             kept.clear()
@@ -32,6 +35,13 @@ def enter(owner: str) -> None:
         _TRIM(0)
 
 
+def held(owner: str, name, make):
+    """What ``make`` gives, kept in this worker until a task of another operator begins."""
+    if (owner, name) not in _HELD:
+        _HELD[owner, name] = make()
+    return _HELD[owner, name]
+
+
 class Kept:
     """A map from a string to what ``make`` gives for it, bounded in bytes.
 

@@ -193,12 +193,13 @@ def sample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
         enter("quality")
         m = shipped.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(f"{OWN}text"))
+            texts = batch.column(batch.schema.get_field_index(f"{OWN}text" if cast else "text"))
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             keys = np.array([m.weight(t.as_py()) + m.noise(i) for t, i in zip(texts, ids)], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + [pa.array(order_key(keys))], names=[*names, key])
 
-    keyed = docs.withColumn(f"{OWN}text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn(key, F.lit(0).cast("long")).schema)
+    cast = docs.schema["text"].dataType.simpleString() != "string"  # a text goes to the workers once
+    keyed = (docs.withColumn(f"{OWN}text", F.col("text").cast("string")) if cast else docs).mapInArrow(run, docs.withColumn(key, F.lit(0).cast("long")).schema)
     rows = written(keyed, "keyed")
     floor = threshold(own, labels, rows.select(F.col(key).alias("order_key")), share)
     return rows.filter(F.col(key) >= F.lit(floor)).select(names)

@@ -237,3 +237,10 @@ def test_words_go_to_the_library_many_at_a_time(monkeypatch):
     many = [" ".join(f"{a}{b}{c}," for b in "etaoin" for c in "shrdlu") for a in "abcdefghijklmnopq"]
     assert len(list(words.encoded(many))) == len(many) and 0 < len(calls) < 40  # of 612 words
     assert list(words.encoded([])) == []
+
+
+def test_a_tokenizer_goes_when_another_operator_begins():
+    tok = bpe.opened(WORD)
+    assert bpe.opened(WORD) is tok
+    caches.enter("another")
+    assert bpe.opened(WORD) is not tok
