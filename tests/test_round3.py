@@ -100,3 +100,11 @@ def test_relations_search_once(spark):
     """Frames are searched and brought to normal form before both sides of a relation read them."""
     plan = registry.queries()["claim_relations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "sha2" not in plan
+
+
+def test_support_is_judged_where_the_document_lies(spark, tmp_path):
+    """One shuffle for frames and units; documents without units, claims without terms, lines that repeat."""
+    texts = [None, "", "  \n ", "?? 123456 789012 345678", "planner makes station idiot lines", "the able planner. the able planner makes stations\nthe able planner\nidiot planner able", "que limiting idiot words\nidiot que limiting", "a\n" * 30 + "notion of stations and motions here", "x y z"]
+    rows = [(n, t, "de", "s", 0) for n, t in enumerate(texts * 3)]
+    same(spark, tmp_path, "semantic_support", documents=(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert shuffles(registry.queries()["semantic_support"](spark, str(tmp_path))) == 1
