@@ -14,30 +14,31 @@ so more than 24 of 64 differ with a probability below 0.0002 (long texts:
 0.000003). Both misses together are below 0.0006 for a pair at 0.8 exactly and
 vanish above it: at 0.85 they are below 0.00004.
 
-How it stays whole and bounded. Texts of equal words are one class. A round
-takes, for each class in each cell, its nearest candidates that are not in its
-component yet and share no cell of an earlier band with it, at most ``FIRST`` in the first round and ``GROWTH`` times as many
-in each further one; pairs once checked are not checked again. Rounds end when no
-class has an untried candidate outside its component, so no candidate is lost, and a
-group of near copies costs a few checks for each member instead of all pairs. A
-cell above ``LIMIT`` classes is dealt into parts. In the first round its smallest
-class meets every part, and from the second on only the classes outside the
-cell's commonest component do, for that component needs no check within. Pairs
-are checked where they met: a class's shingles go once to each cell in which it
-has pairs, not once with each pair; texts of over ``LONG`` shingles go with
-their pairs, so that no cell holds many long ones.
+How it stays whole and bounded. Texts of equal words are one class. Cells are
+found by one shuffle of (cell, class); only classes that share one are given
+their fingerprints, sizes and keys. A task names the classes of a cell that have
+a candidate there which shares no cell of an earlier band with them, and only
+these bring their shingles, once to each such cell. There every candidate pair
+of different components is checked, and a place gives back one link for each
+merge: neither candidates nor failed pairs leave a task, however large a group
+of texts is that are alike but not near. Places hold at most some ``LIMIT``
+classes and ``SHINGLES`` shingles; larger cells are dealt into parts, each of
+which meets the cell's smallest class. A second turn, for such cells alone,
+brings the classes outside a cell's commonest component to every part, in tiles
+of the same size, two tiles in a place; that component needs no check within.
+After it every candidate pair of different components has been checked.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexforge.llm.caches import enter
 from lexforge.llm.components import components
@@ -46,10 +47,8 @@ from lexforge.llm.shared import discard, written
 SEED = 42
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS, RADIUS = 20, 5, 24
-FIRST, GROWTH = 2, 16
-LIMIT = 4096
-#: Distinct shingles of the longest text that is held with others of its cell, and shares that a part's pairs are dealt into.
-LONG, SHARES = 2048, 4
+#: Classes, and distinct shingles, of a part of a cell.
+LIMIT, SHINGLES = 4096, 1 << 21
 #: Shingles hashed, and fingerprints compared, at a time.
 STRIP, TILE = 1 << 12, 512
 #: Classes that may be broadcast: 8 bytes each.
@@ -187,62 +186,131 @@ def _small(cell: np.ndarray, fp, sim, n, root, most: int, least: float, radius:
     return a[keep], b[keep], bool(keep.all())
 
 
-def candidates(members: DataFrame, rooted: DataFrame, turn: int, least: float, radius: int) -> DataFrame:
-    """(a, b, whole, cell, part, long) of one round: pairs a > b, whether a task
-    left any out, one place where they met, and whether a text is above ``LONG``."""
-    most = FIRST * GROWTH**turn
-    labelled = members.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = labelled.groupBy("cell", "root").agg(F.count("*").alias("c"), F.min("fp").alias("low"))
-    cells = by_root.groupBy("cell").agg(F.sum("c").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("major"), F.min("low").alias("hub")).filter("roots > 1")
-    parts = F.ceil(F.col("size") / LIMIT).cast("int")
-    home = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    everywhere = (F.col("fp") == F.col("hub")) if turn == 0 else (F.col("root") != F.col("major"))
-    dealt = labelled.join(cells, "cell").select("cell", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(home)).alias("part"), "fp", "sim", "n", "root", "band", "keys")
+#: Where rows meet, and what a row brings there.
+PLACE = ["cell", "part", "tile"]
+BROUGHT = ["side", "fp", "sim", "n", "root", "band"]
+KIND = "cell long, part int, tile int, side int, fp long, sim long, n int, root long, band int, keys array<int>"
+
+
+def _earlier(keys: pa.ListArray, band: np.ndarray) -> np.ndarray:
+    """Keys of the bands before each row's own as a matrix."""
+    out = np.zeros((len(band), BANDS), np.int32)
+    out[np.arange(BANDS)[None, :] < band[:, None]] = keys.flatten().to_numpy()
+    return out
+
+
+def parted(size: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(size / LIMIT), F.ceil(shingles / SHINGLES)).cast("int")
+
+
+def shared_cells(classes: DataFrame) -> DataFrame:
+    """(fp, sim, n, cell, band, parts, hub, keys): classes (fp, sim, n, keys) in
+    each cell that they share with others. ``keys`` are halves of the keys of
+    earlier bands, ``hub`` is the cell's smallest class."""
+    known = classes.filter("keys IS NOT NULL")
+    every = known.select("fp", "n", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("cell"), "fp", "n", "band")
+    here = Window.partitionBy("cell")
+    sized = every.select("cell", "fp", "band", F.count("*").over(here).alias("size"), F.sum("n").over(here).alias("shingles"), F.min("fp").over(here).alias("hub"))
+    met = sized.filter("size > 1").select("cell", "fp", "band", "hub", parted(F.col("size"), F.col("shingles")).alias("parts"))
+    # half of each key says whether a pair shares that band's cell
+    halves = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
+    return met.join(known.select("fp", "sim", "n", halves), "fp").withColumn("keys", F.slice("keys", 1, F.col("band")))
+
+
+def first_turn(members: DataFrame) -> DataFrame:
+    """Each class at its own part of each cell; the hub at every part."""
+    home = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    part = F.explode(F.when(F.col("fp") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(home)).alias("part")
+    return members.select("cell", part, F.lit(0).alias("tile"), F.lit(0).alias("side"), "fp", "sim", "n", F.col("fp").alias("root"), "band", "keys")
+
+
+def second_turn(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """For cells of several parts: classes outside the commonest component, dealt
+    into tiles, at every part (side 0), and each part at every tile (side 1)."""
+    labelled = members.filter("parts > 1").join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_root = labelled.groupBy("cell", "root").agg(F.count("*").alias("c"), F.sum("n").alias("m"))
+    most = by_root.groupBy("cell").agg(F.max_by(F.struct("root", "c", "m"), F.struct("c", "root")).alias("major"), F.sum("c").alias("c"), F.sum("m").alias("m"))
+    cells = most.select("cell", F.col("major.root").alias("major"), parted(F.col("c") - F.col("major.c"), F.col("m") - F.col("major.m")).alias("tiles")).filter("tiles > 0")
+    dealt = labelled.join(cells, "cell")
+    brought = ["fp", "sim", "n", "root", "band", "keys"]
+    own = lambda n, salt: F.pmod(F.xxhash64("fp", *salt), F.col(n)).cast("int")
+    outside = dealt.filter("root <> major").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), own("tiles", [F.lit(1)]).alias("tile"), F.lit(0).alias("side"), *brought)
+    return outside.unionByName(dealt.select("cell", own("parts", []).alias("part"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("side"), *brought))
+
+
+def with_candidates(dealt: DataFrame, least: float, radius: int) -> DataFrame:
+    """The rows that have a candidate of another component at their place."""
+
+    def asked(rows: dict) -> np.ndarray:
+        # a number for each place, ascending as the rows are sorted
+        place = np.concatenate([[0], np.cumsum(np.any([np.diff(rows[c]) != 0 for c in PLACE], axis=0))])
+        size = np.bincount(place)[place]
+        few = np.flatnonzero(size <= 64)
+        own = [rows[k][few] for k in ("fp", "sim", "n", "root")]
+        found = [few[_small(place[few], *own, 1, least, radius, rows["keys"][few], rows["band"][few])[0]]]
+        for big in np.unique(place[size > 64]):
+            at = np.flatnonzero(place == big)
+            a = nearest(*(rows[k][at] for k in ("fp", "sim", "n", "root")), 1, least, radius, keys=rows["keys"][at], band=rows["band"][at])[0]
+            found.append(at[a])
+        return np.unique(np.concatenate(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("simhash")
+        held: list[pa.RecordBatch] = []
+
+        def done(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = {c: batch.column(c).to_numpy() for c in PLACE + BROUGHT}
+            rows["keys"] = _earlier(batch.column("keys"), rows["band"])
+            return batch.take(pa.array(asked(rows)))
 
-        def links(rows: dict) -> pa.RecordBatch:
-            # a row number for each (cell, part), ascending as the rows are sorted
-            cell = np.concatenate([[0], np.cumsum((np.diff(rows["cell"]) != 0) | (np.diff(rows["part"]) != 0))])
-            size = np.bincount(cell)[cell]
-            few = np.flatnonzero(size <= 64)
-            own = {k: rows[k][few] for k in ("fp", "sim", "n", "root")}
-            a, b, whole = _small(cell[few], *own.values(), most, least, radius, rows["keys"][few], rows["band"][few])
-            pairs = [(few[a], few[b])]
-            for big in np.unique(cell[size > 64]):
-                at = np.flatnonzero(cell == big)
-                a, b, all_of, _, _ = nearest(*(rows[k][at] for k in ("fp", "sim", "n", "root")), most, least, radius, keys=rows["keys"][at], band=rows["band"][at])
-                pairs.append((at[a], at[b]))
-                whole &= all_of
-            a, b = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-            high, low = np.maximum(rows["fp"][a], rows["fp"][b]), np.minimum(rows["fp"][a], rows["fp"][b])
-            order = np.lexsort((cell[a], low, high))
-            first = np.append(True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))[: len(order)]
-            at = order[first]
-            long = np.maximum(rows["n"][a], rows["n"][b])[at] > LONG
-            columns = [high[at], low[at], np.full(len(at), whole), rows["cell"][a[at]], rows["part"][a[at]], long]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "whole", "cell", "part", "long"])
-
-        held = None
         for batch in batches:
-            rows = {c: batch.column(k).to_numpy() for k, c in enumerate(("cell", "part", "fp", "sim", "n", "root", "band"))}
-            rows["keys"] = batch.column(7).flatten().to_numpy().reshape(-1, BANDS)
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-            # the last cell of a batch may go on in the next
-            same = (rows["cell"] == rows["cell"][-1]) & (rows["part"] == rows["part"][-1]) if len(rows["cell"]) else np.zeros(0, bool)
-            cut = len(same) - int(same.sum())
-            if cut:
-                yield links({c: v[:cut] for c, v in rows.items()})
-            held = {c: v[cut:] for c, v in rows.items()}
-        if held is not None and len(held["cell"]):
-            yield links(held)
-
-    sorted_rows = dealt.repartition(F.col("cell"), F.col("part")).sortWithinPartitions("cell", "part")
-    found = sorted_rows.mapInArrow(run, "a long, b long, whole boolean, cell long, part int, long boolean")
-    place = F.min(F.struct("cell", "part")).alias("at")
-    return found.groupBy("a", "b").agg(F.min("whole").alias("whole"), place, F.max("long").alias("long")).select("a", "b", "whole", "at.cell", "at.part", "long")
+            if not batch.num_rows:
+                continue
+            # the last place of a batch may go on in the next
+            same = np.all([(x := batch.column(c).to_numpy()) == x[-1] for c in PLACE], axis=0)
+            cut = batch.num_rows - int(same.sum())
+            if cut or held and any(held[-1].column(c)[0] != batch.column(c)[0] for c in PLACE):
+                yield done(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield done(pa.concat_batches(held))
+
+    return dealt.repartition(*PLACE).sortWithinPartitions(*PLACE).select(*PLACE, *BROUGHT, "keys").mapInArrow(run, KIND)
+
+
+def place_links(rows: dict[str, np.ndarray], sets: list[np.ndarray], least: float = LEAST, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links that connect what the candidate pairs of one place that reach
+    ``least`` connect, one for each merge.
+
+    With two sides, those of side 0 meet those of side 1; else all meet all. A
+    row's overlaps with all its candidates are counted at once. Pairs of one
+    component are not checked.
+    """
+    fp, bits, n, side, keys, band = rows["fp"], rows["sim"].view(np.uint64), rows["n"], rows["side"], rows["keys"], rows["band"]
+    root = np.unique(rows["root"], return_inverse=True)[1]
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes.astype(np.int32), np.cumsum(lengths)[:-1])
+    present, out = np.zeros(len(values), bool), []
+    across = np.flatnonzero(side == 1) if side.any() else None
+    for i in range(len(fp)) if across is None else np.flatnonzero(side == 0):
+        j = np.arange(i + 1, len(fp)) if across is None else across
+        j = j[root[j] != root[i]]
+        j = j[(np.bitwise_count(bits[j] ^ bits[i]) <= radius) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]))]
+        j = j[~met_before(keys, band, np.full(len(j), i), j)]
+        if not len(j):
+            continue
+        present[codes[i]] = True
+        starts = np.cumsum(lengths[j]) - lengths[j]
+        both = np.add.reduceat(present[np.concatenate([codes[k] for k in j])], starts, dtype=np.int64)
+        present[codes[i]] = False
+        near = j[both / (lengths[i] + lengths[j] - both) >= least]
+        if len(near):
+            merged, first = np.unique(root[near], return_index=True)
+            out += [(int(fp[i]), int(fp[k])) for k in near[first]]
+            root[np.isin(root, merged)] = root[i]
+    return out
 
 
 def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -299,86 +367,58 @@ def similarity(a: bytes, b: bytes) -> float:
     return _jaccard(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
 
 
-def checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, near): whether the shingles of each pair (a, b, cell, part, long)
-    reach the similarity."""
+def checked(asked: DataFrame, sets: DataFrame, least: float, radius: int) -> DataFrame:
+    """(a, b): :func:`place_links` of every place. Shingles come once to each
+    place where their class has a candidate."""
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+
+        def done() -> list[tuple[int, int]]:
+            batch = pa.concat_batches([b for b in held])
+            rows = {c: batch.column(c).to_numpy() for c in BROUGHT}
+            rows["keys"] = _earlier(batch.column("keys"), rows["band"])
+            return place_links(rows, [np.frombuffer(x, np.uint32) for x in batch.column("shingles").to_pylist()], least, radius)
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.array([batch.column(c).to_numpy() for c in PLACE])
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(at, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]])
             out = []
-            *columns, packed = (batch.column(k) for k in range(6))
-            for k, (cell, part, share, a, b) in enumerate(zip(*(c.to_pylist() for c in columns))):
-                if (cell, part, share) != place:
-                    place, held = (cell, part, share), {}
-                if b is None:
-                    held[a] = np.frombuffer(packed[k].as_py(), np.uint32)
-                else:
-                    out.append((a, b, _jaccard(held[a], held[b]) >= least))
-            a, b, near = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(near, pa.bool_())], names=["a", "b", "near"])
-
-    kind = "a long, b long, near boolean"
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set"))
-    of_long = pairs.filter("long").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(apart, kind)
-    place = ["cell", "part", "share"]
-    dealt = pairs.filter("NOT long").select("cell", "part", F.pmod(F.xxhash64("a"), F.lit(SHARES)).cast("int").alias("share"), "a", "b")
-    asked = dealt.select(*place, F.explode(F.array("a", "b")).alias("fp")).distinct()
-    given = asked.join(sets, "fp").select(*place, F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    # the shingles of a place come before its pairs
-    rows = given.unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary"))).repartition(*place).sortWithinPartitions(*place, F.col("b").asc_nulls_first())
-    return rows.select(*place, "a", "b", "shingles").mapInArrow(together, kind).unionByName(of_long)
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if (here := tuple(at[:, low].tolist())) != place:
+                    out += done() if held else []
+                    place, held = here, []
+                held.append(batch.slice(low, high - low))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        if held and (out := done()):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+
+    rows = asked.join(sets, "fp").repartition(*PLACE).sortWithinPartitions(*PLACE)
+    return rows.select(*PLACE, *BROUGHT, "keys", "shingles").mapInArrow(run, "a long, b long")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, text_col: str, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) that connect what pairs of classes (fp, sim, n, keys) of
     similarity ``least`` connect, written to the shared folder."""
-    spark = docs.sparkSession
-    cell = F.posexplode("keys").alias("band", "key")
-    # half of each key says whether a pair shares that band's cell
-    halves = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("keys")
-    every = classes.filter("keys IS NOT NULL").select("fp", "sim", "n", halves, cell).select(F.xxhash64("band", "key").alias("cell"), "fp", "sim", "n", "band", "keys")
-    shared = every.groupBy("cell").agg(F.count("*").alias("c")).filter("c > 1").select("cell")
-    members = written(every.join(shared, "cell"), "cells")
-    links = spark.createDataFrame([], "a long, b long")
-    rooted = spark.createDataFrame([], "fp long, root long")
-    tried, sets, made = [], [], []
-    for turn in itertools.count():
-        found = written(candidates(members, rooted, turn, least, radius), "found")
-        made.append(found)
-        left_out = found.filter(~F.col("whole")).limit(1).count()
-        pairs = found.drop("whole")
-        for before in tried:
-            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        made.append(pairs)
-        if pairs.limit(1).count() == 0:
-            if turn and not left_out:
-                break
-            continue  # what was left out, or parts of a large cell, may still have to meet
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        for before in sets:
-            wanted = wanted.join(before.select("fp"), "fp", "left_anti")
-        wanted = written(wanted, "wanted")
-        made.append(wanted)
-        if wanted.limit(1).count():
-            sets.append(written(shingle_sets(docs, text_col, wanted, width), "shingles"))
-        known = sets[0]
-        for more in sets[1:]:
-            known = known.unionByName(more)
-        tried.append(written(checked(pairs, known, least), "checked"))
-        new = tried[-1].filter("near").select("a", "b")
-        if new.limit(1).count():
-            links = tried[0].filter("near").select("a", "b")
-            for more in tried[1:]:
-                links = links.unionByName(more.filter("near").select("a", "b"))
-            rooted = components(links).withColumnRenamed("node", "fp")
-    out = written(links, "similar")
-    for frame in [members, *made, *sets, *tried]:
-        discard(frame)
+    members = written(shared_cells(classes), "cells")
+
+    def links(dealt: DataFrame) -> DataFrame:
+        asked = written(with_candidates(dealt, least, radius), "asked")
+        wanted = written(asked.select("fp").distinct(), "wanted")
+        found = written(checked(asked, shingle_sets(docs, text_col, wanted, width), least, radius), "similar")
+        discard(asked)
+        discard(wanted)
+        return found
+
+    out = links(first_turn(members))
+    if members.filter("parts > 1").limit(1).count():
+        more = links(second_turn(members, components(out).withColumnRenamed("node", "fp")))
+        both = written(out.unionByName(more), "similar")
+        discard(out)
+        discard(more)
+        out = both
+    discard(members)
     return out
