@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,12 @@ def knowledge_graph(facts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     document to its facts, from each fact to its evidence, and from a
     relation's subject to its object where both resolve: by fact id, else by
     name within the document, else by name in any document. Of equal node ids
-    the first row stays, of equal edges the last.
+    the first row stays (facts: by type, then label), of equal edges the last.
     """
     doc = docs.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.lit("document").alias("type"), F.col("title").cast("string").alias("label"), "doc_id", F.lit(0).alias("part"))
     fact = facts.select(F.concat(F.lit("fact:"), "fact_id").alias("id"), F.col("fact_type").alias("type"), F.substring("text", 1, 120).alias("label"), "doc_id", F.lit(1).alias("part"))
     evidence = facts.filter("node_id <> ''").select(F.concat(F.lit("node:"), "node_id").alias("id"), F.lit("evidence").alias("type"), F.col("node_id").alias("label"), "doc_id", F.lit(2).alias("part")).distinct()
-    nodes = first_wins(doc.unionByName(fact).unionByName(evidence), ["id"], ["part", "label"]).drop("part")
+    nodes = first_wins(doc.unionByName(fact).unionByName(evidence), ["id"], ["part", "type", "label"]).drop("part")
     of = facts.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source"), F.concat(F.lit("fact:"), "fact_id").alias("target"), F.lit("has_fact").alias("type"))
     by = facts.filter("node_id <> ''").select(F.concat(F.lit("fact:"), "fact_id").alias("source"), F.concat(F.lit("node:"), "node_id").alias("target"), F.lit("supported_by").alias("type"))
     edges = of.unionByName(by).unionByName(_relations(facts))
@@ -33,13 +35,16 @@ def knowledge_graph(facts: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
 
 
 def _relations(facts: DataFrame) -> DataFrame:
-    named = facts.filter("fact_type <> 'relation'").select("fact_id", "doc_id", F.col("text").alias("name"), "position")
+    out = facts.filter("fact_type = 'relation'").select("doc_id", "subject_name", "object_name", "type")
+    others = facts.filter("fact_type <> 'relation'")
+    # texts that are longer than every name asked for are none of them, so they are not sent to meet those
+    longest = out.agg(F.max(F.greatest(F.length("subject_name"), F.length("object_name"))).alias("_longest"))
+    named = others.select("fact_id", "doc_id", F.col("text").alias("name"), "position").join(F.broadcast(longest), F.length("name") <= F.col("_longest")).drop("_longest")
     # the last of each name, by aggregates: a name may be that of most facts
     last = F.max(F.struct("position", "fact_id"))["fact_id"]
     here = named.groupBy("doc_id", "name").agg(last.alias("by_doc"))
     anywhere = named.groupBy("name").agg(last.alias("by_name"))
-    ids = named.select(F.col("fact_id").alias("name"), F.col("fact_id").alias("by_id")).distinct()
-    out = facts.filter("fact_type = 'relation'").select("doc_id", "subject_name", "object_name", "type")
+    ids = others.select(F.col("fact_id").alias("name")).distinct().withColumn("by_id", F.col("name"))
     for end in ("subject", "object"):
         found = out.join(ids.withColumnRenamed("name", f"{end}_name"), f"{end}_name", "left")
         found = found.join(here.withColumnRenamed("name", f"{end}_name"), ["doc_id", f"{end}_name"], "left")
@@ -86,6 +91,34 @@ def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
+def fact_report(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The :func:`report` of the :func:`knowledge_graph` of facts and documents,
+    counted from the facts, without the graph: neither nodes nor edges are made.
+
+    Ids of facts are not null. A fact's edge from its document leaves neither of
+    them alone, so only documents without facts are isolated.
+    """
+    # what differs within a fact id is counted where the id's rows meet, by ranks: a count of distinct values would deal the rows out twice more
+    met = facts.select("fact_id", "fact_type", "doc_id", F.nullif("node_id", F.lit("")).alias("node_id")).repartition("fact_id")
+    place = lambda c: F.dense_rank().over(Window.partitionBy("fact_id").orderBy(c))
+    ranked = met.withColumns({"_of": place("doc_id"), "_by": place("node_id")})  # null has a rank: a fact without a document has an edge all the same, one without a node has none
+    each = ranked.groupBy("fact_id").agg(F.min("fact_type").alias("type"), F.max("_of").alias("of"), (F.max("_by") - F.max(F.col("node_id").isNull().cast("int"))).alias("by"))
+    counted = each.groupBy("type").agg(F.count("*").alias("n"), F.sum("of").alias("of"), F.sum("by").alias("by"))
+    row = lambda part, kind, n: F.struct(F.lit(part).alias("part"), kind.alias("type"), n.alias("n"))
+    spread = lambda df, *rows: df.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    has = facts.select("doc_id").distinct().withColumn("_met", F.lit(True))
+    known = docs.select("doc_id").distinct().join(has, "doc_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("_met").isNull()).alias("alone"))
+    evidence = facts.filter("node_id <> ''").select("node_id").distinct().agg(F.count("*").alias("n"))
+    relations = _relations(facts).distinct().groupBy("type").agg(F.count("*").alias("n"))
+    parts = [
+        spread(counted, row("node", F.col("type"), F.col("n")), row("edge", F.lit("has_fact"), F.col("of")), row("edge", F.lit("supported_by"), F.col("by"))),
+        spread(known, row("node", F.lit("document"), F.col("n")), row("isolated", F.lit("document"), F.col("alone"))),
+        spread(evidence, row("node", F.lit("evidence"), F.col("n"))),
+        relations.select(F.lit("edge").alias("part"), "type", "n"),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("part", "type").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def mermaid(nodes: DataFrame, edges: DataFrame, max_nodes: int = 80, max_edges: int = 160) -> str:
     """A drawing of the first nodes and edges by id: a report with fixed limits."""
     some = {r["id"]: (f"n{k}", (r["label"] or r["id"]).replace('"', "'")) for k, r in enumerate(nodes.orderBy("id").limit(max_nodes).collect())}

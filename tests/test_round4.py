@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import fact_terms
 from lexforge.functions import text as T
-from lexforge.operators import citations, containment, rule_facts
+from lexforge.operators import citations, containment, graph, rule_facts
 from lexforge.operators import nodes as N
+from lexforge.plans import q_facts
 
 NODES = "doc_id long, node_id string, order_index int, kind string, node_path string, text string"
 
@@ -72,3 +73,31 @@ def test_sentences_of_plain_texts_are_trimmed(spark):
     df = spark.createDataFrame([(" 0 1 letters one . 012 letters two 210\n short one \n3 letters  three 3",)], "text string")
     assert df.select(N.sentence_list(F.lit(" 0 1 letters one. 012 letters two 210\n short one \n3 letters three 3"))).first()[0] == ["0 1 letters one", "012 letters two 210", "3 letters three 3"]
     assert df.select(N.sentence_list(F.col("text"))).first()[0] == ["0 1 letters one", "012 letters two 210", "3 letters three 3"]
+
+
+def test_a_graphs_report_is_counted_from_its_facts(spark):
+    columns = "fact_id string, fact_type string, doc_id int, node_id string, type string, text string, subject_name string, object_name string, position int"
+    rows = [(f"c{n}", "claim", n % 4, f"{n % 4}:{n % 3}", "method", f"a claim about cat {n}" * 9, "", "", n) for n in range(12)]
+    rows += [("c0", "claim", 3, "3:9", "method", "said again", "", "", 1), ("c0", "claim", 3, "", "method", "and again", "", "", 2), ("c1", "claim", None, None, "method", "nowhere", "", "", 3)]
+    rows += [(f"e{n}", "entity", n % 4, f"{n % 4}:0", "task", "cat" if n % 2 else "dog", "", "", n) for n in range(6)]
+    rows += [("r0", "relation", 0, "0:0", "uses", "x", "c0", "cat", 1), ("r1", "relation", 1, "1:0", "uses", "x", "c0", "cat", 2), ("r2", "relation", 2, "", "has_fact", "x", "dog", "e1", 3), ("r3", "relation", 9, "9:0", "limits", "x", "c1", "nobody", 4), ("r4", "relation", 9, "9:0", "limits", "x", "c1", None, 5)]
+    given, docs = spark.createDataFrame(rows, columns), spark.createDataFrame([(n, "t") for n in (0, 1, 2, 3, 5, 6, 6)], "doc_id int, title string")
+    counts = lambda df: sorted((r["part"], r["type"], r["n"]) for r in df.collect())
+    assert counts(graph.fact_report(given, docs)) == counts(graph.report(*graph.knowledge_graph(given, docs)))
+    assert ("isolated", "document", 2) in counts(graph.fact_report(given, docs))
+    assert counts(graph.fact_report(given.limit(0), docs)) == counts(graph.report(*graph.knowledge_graph(given.limit(0), docs)))
+
+
+def test_graph_facts_of_repeated_documents(spark, tmp_path):
+    text = "motion and theand relation here. another motion of theand things\nsecond line about nation and dela"
+    rows = [(1, text, "a"), (2, "nothing of that kind is said here", "b")]
+    reports = []
+    for more in ([], [(1, "the relation of a nation in theand motion", "a")]):
+        path = f"{tmp_path}/{len(more)}"
+        spark.createDataFrame(rows + more, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+        facts, docs = q_facts._graph_facts(spark, path)
+        joined = q_facts.A.mentions(q_facts._claims(spark, path), q_facts._entities(spark, path))
+        key = lambda df: sorted((r["subject_name"], r["object_name"], r["fact_id"]) for r in df.collect())
+        assert key(facts.filter("fact_type = 'relation'")) == key(joined) != []
+        reports.append(q_facts.G.fact_report(facts, docs).count())
+    assert min(reports) > 5
